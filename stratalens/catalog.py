@@ -123,8 +123,7 @@ def letter_states():
 
 @query
 def model_block_distance(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = blocks.block_distances(hidden_states(docs, letter_states))
+    found = blocks.block_distances(hidden_states(views.texts(spark, sf_dir), letter_states))
     return found.select("n", "block_start", six("average_distance"))
 
 
@@ -549,7 +548,7 @@ def train_labels(spark, sf_dir):
 @query
 def collate_pad(spark, sf_dir):
     examples = tokens.train_labels(views.prompt_completion_ids(spark, sf_dir), max_len=512)
-    docs = views.table(spark, sf_dir, "documents").where(F.size(text.words(F.col("text"))) > 0).select("doc_id")
+    docs = views.table(spark, sf_dir, "documents").select("doc_id")
     batches = rows.assign_batches(docs, ["doc_id"], 8).select("doc_id", "batch_id")
     padded = tokens.collate_pad(examples.join(batches, "doc_id"), pad_id=0)
     return padded.select(

@@ -2,22 +2,63 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict, deque
+from collections import defaultdict, deque
 from collections.abc import Callable, Iterable
 
-ORDERS = (1, 2, 3, 4)
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-def ngram_counts(tokens: list[str], n: int) -> Counter:
-    return Counter(zip(*(tokens[i:] for i in range(n))))
+ORDERS = (1, 2, 3, 4)
 
 
-def clipped_matches(predicted: list[str], references: list[list[str]], n: int) -> int:
-    """n-grams of the prediction, each counted at most as often as in one reference."""
-    best: Counter = Counter()
-    for reference in references:
-        best |= ngram_counts(reference, n)
-    return (ngram_counts(predicted, n) & best).total()
+def _codes(values: pa.Array | np.ndarray) -> np.ndarray:
+    """Small integers that are equal where the values are."""
+    return pa.array(values).dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def _own_ngrams(code: np.ndarray, text: np.ndarray):
+    """For each order: where the n-grams begin, and a code per n-gram. None crosses a text's end."""
+    at, gram = np.arange(len(code)), code
+    width = int(code.max(initial=0)) + 1
+    for n in ORDERS:
+        if n > 1:
+            inside = at + n - 1 < len(code)
+            at, gram = at[inside], gram[inside]
+            inside = text[at] == text[at + n - 1]
+            at, gram = at[inside], gram[inside]
+            gram = _codes(gram * width + code[at + n - 1])
+        yield at, gram
+
+
+def clip_counts(predicted: pa.Array, references: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """n-gram matches per sample and order, prediction lengths, reference lengths per sample.
+
+    Texts are tokens joined by spaces. An n-gram of the prediction counts at
+    most as often as it occurs in one of the sample's references.
+    """
+    n_samples = len(predicted)
+    n_refs = references.value_lengths().fill_null(0).to_numpy()
+    owner = np.concatenate([np.arange(n_samples), np.repeat(np.arange(n_samples), n_refs)])
+    first = np.cumsum(n_refs) - n_refs
+    side = np.concatenate([np.zeros(n_samples, int), 1 + np.arange(n_refs.sum()) - np.repeat(first, n_refs)])
+    split = pc.split_pattern(pa.concat_arrays([predicted, references.flatten()]), " ")
+    flat = split.flatten()
+    filled = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    text = np.repeat(np.arange(len(owner)), split.value_lengths().to_numpy())[filled]
+    lengths = np.bincount(text, minlength=len(owner))
+    sides = int(side.max(initial=0)) + 1
+    matches = np.zeros((n_samples, len(ORDERS)), np.int64)
+    for n, (at, gram) in zip(ORDERS, _own_ngrams(_codes(flat)[filled], text)):
+        sample = owner[text[at]]
+        entry = _codes(sample * (int(gram.max(initial=0)) + 1) + gram)
+        n_entries = int(entry.max(initial=-1)) + 1
+        counts = np.bincount(entry * sides + side[text[at]], minlength=n_entries * sides).reshape(-1, sides)
+        clipped = np.minimum(counts[:, 0], counts[:, 1:].max(axis=1, initial=0))
+        of_entry = np.zeros(n_entries, np.int64)
+        of_entry[entry] = sample
+        matches[:, n - 1] = np.bincount(of_entry, weights=clipped, minlength=n_samples)
+    return matches, lengths[:n_samples], np.split(lengths[n_samples:], np.cumsum(n_refs)[:-1])
 
 
 def reference_length(predicted: int, references: Iterable[int], rule: str = "closest") -> int:

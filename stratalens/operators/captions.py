@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stratalens.functions import overlap
@@ -30,18 +34,19 @@ def first_reference(refs: Column) -> Column:
 _BLEU_FIELDS = [f"{kind}_{n}" for kind in ("match", "total") for n in overlap.ORDERS] + ["pred_len", "ref_len"]
 
 
-def _bleu_counts(rule: str):
-    @F.pandas_udf(", ".join(f"{name} long" for name in _BLEU_FIELDS))
-    def counts(generated: pd.Series, refs: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, others in zip(generated, refs):
-            predicted, references = text.split(), [other.split() for other in others]
-            rows.append(
-                [overlap.clipped_matches(predicted, references, n) for n in overlap.ORDERS]
-                + [max(len(predicted) - n + 1, 0) for n in overlap.ORDERS]
-                + [len(predicted), overlap.reference_length(len(predicted), map(len, references), rule)]
-            )
-        return pd.DataFrame(rows, columns=_BLEU_FIELDS)
+def _bleu_kernel(keys: tuple[str, ...], rule: str, slice_rows: int = 128):
+    """A mapInArrow function: the ten BLEU numbers of every sample, next to its keys."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for offset in range(0, whole.num_rows, slice_rows):
+                batch = whole.slice(offset, slice_rows)
+                matches, lengths, refs = overlap.clip_counts(batch.column("predicted"), batch.column("references"))
+                totals = [np.maximum(lengths - n + 1, 0) for n in overlap.ORDERS]
+                nearest = [overlap.reference_length(p, r.tolist(), rule) for p, r in zip(lengths.tolist(), refs)]
+                values = [*matches.T, *totals, lengths, np.array(nearest, np.int64)]
+                columns = [batch.column(key) for key in keys] + [pa.array(v.astype(np.int64)) for v in values]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, *_BLEU_FIELDS])
 
     return counts
 
@@ -54,9 +59,14 @@ def bleu4(
     n-grams match within a sample only, so they are counted where the sample
     lies; tasks add up ten numbers and no n-gram is shuffled.
     """
-    predicted = token_text(F.col("generated"), separators)
-    references = F.transform("refs", lambda ref: token_text(ref, separators))
-    counted = captions.select(*keys, _bleu_counts(length_rule)(predicted, references).alias("c")).select(*keys, "c.*")
+    texts = captions.select(
+        *keys,
+        F.coalesce(token_text(F.col("generated"), separators), F.lit("")).alias("predicted"),
+        F.transform("refs", lambda ref: F.coalesce(token_text(ref, separators), F.lit(""))).alias("references"),
+    )
+    fields = [T.StructField(name, T.LongType()) for name in _BLEU_FIELDS]
+    schema = T.StructType([*[texts.schema[key] for key in keys], *fields])
+    counted = texts.mapInArrow(_bleu_kernel(keys, length_rule), schema)
     sums = counted.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in _BLEU_FIELDS])
     precisions = [F.col(f"match_{n}") / F.nullif(f"total_{n}", F.lit(0)) for n in overlap.ORDERS]
     log_mean = sum((F.ln(p) for p in precisions), F.lit(0.0)) / len(precisions)
@@ -80,39 +90,29 @@ def rouge_l_scores(captions: DataFrame, separators: str = UNICODE_SEPARATORS) ->
 
 def _meteor(stemming: bool):
     @F.pandas_udf("double")
-    def score(generated: pd.Series, reference: pd.Series, pairs: pd.Series) -> pd.Series:
+    def score(generated: pd.Series, reference: pd.Series, entries: pd.Series) -> pd.Series:
         scores = []
-        for predicted, target, linked in zip(generated, reference, pairs):
-            synonyms: dict[str, set[str]] = {}
-            for pair in linked:
-                synonyms.setdefault(pair["word"], set()).add(pair["synonym"])
-            scores.append(
-                overlap.meteor_score(
-                    predicted.split(), target.split(), stem=porter if stemming else None, synonyms=synonyms
-                )
-            )
+        for predicted, target, listed in zip(generated, reference, entries):
+            synonyms = {entry["word"]: set(entry["synonyms"]) for entry in listed}
+            stages = {"stem": porter if stemming else None, "synonyms": synonyms}
+            scores.append(overlap.meteor_score(predicted.split(), target.split(), **stages))
         return pd.Series(scores, dtype=float)
 
     return score
 
 
-_NO_PAIRS = "array<struct<word string, synonym string>>"
+_NO_ENTRIES = "array<struct<word string, synonyms array<string>>>"
 
 
-def _with_synonym_pairs(captions: DataFrame, synonyms: DataFrame, separators: str) -> DataFrame:
-    """Add the synonym pairs that link a word of the caption with one of its first reference."""
+def _with_synonyms(captions: DataFrame, synonyms: DataFrame, separators: str) -> DataFrame:
+    """Add the dictionary entries of the caption's words."""
+    dictionary = synonyms.groupBy("word").agg(F.collect_set("synonym").alias("synonyms"))
     found = captions.select(
-        "sample_id",
-        F.explode(F.array_distinct(tokens(F.col("generated"), separators))).alias("word"),
-        F.array_distinct(tokens(first_reference(F.col("refs")), separators)).alias("targets"),
-    ).join(synonyms.select("word", "synonym").distinct(), "word")
-    linked = (
-        found.where(F.array_contains("targets", F.col("synonym")))
-        .groupBy("sample_id")
-        .agg(F.collect_list(F.struct("word", "synonym")).alias("pairs"))
-    )
-    return captions.join(linked, "sample_id", "left").withColumn(
-        "pairs", F.coalesce("pairs", F.array().cast(_NO_PAIRS))
+        "sample_id", F.explode(F.array_distinct(tokens(F.col("generated"), separators))).alias("word")
+    ).join(dictionary, "word")
+    entries = found.groupBy("sample_id").agg(F.collect_list(F.struct("word", "synonyms")).alias("entries"))
+    return captions.join(entries, "sample_id", "left").withColumn(
+        "entries", F.coalesce("entries", F.array().cast(_NO_ENTRIES))
     )
 
 
@@ -124,16 +124,16 @@ def meteor_scores(
 ) -> DataFrame:
     """METEOR of every caption with its first reference.
 
-    ``synonyms`` holds ``(word, synonym)`` rows; it is joined by word, so it may
-    have any size, and each row takes along only the pairs its texts contain.
+    ``synonyms`` holds ``(word, synonym)`` rows and may have any size: it is
+    joined by word, and a caption takes along only the entries of its words.
     """
     if synonyms is None:
-        paired = captions.withColumn("pairs", F.array().cast(_NO_PAIRS))
+        listed = captions.withColumn("entries", F.array().cast(_NO_ENTRIES))
     else:
-        paired = _with_synonym_pairs(captions, synonyms, separators)
+        listed = _with_synonyms(captions, synonyms, separators)
     predicted = token_text(F.col("generated"), separators)
     reference = token_text(first_reference(F.col("refs")), separators)
-    return paired.withColumn("meteor", _meteor(stemming)(predicted, reference, F.col("pairs"))).drop("pairs")
+    return listed.withColumn("meteor", _meteor(stemming)(predicted, reference, F.col("entries"))).drop("entries")
 
 
 def mean_score(scores: DataFrame, name: str, keys: tuple[str, ...] = ()) -> DataFrame:

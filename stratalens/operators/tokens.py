@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from stratalens.functions.arrays import IGNORED_LABEL, masked_labels, ones, pad_right, truncate
 from stratalens.operators.rows import enumerate_rows
@@ -22,27 +25,60 @@ def vocabulary(occurrences: DataFrame) -> DataFrame:
 
 
 HOT_SHARE = 1000
+SMALL_VOCABULARY = 64 << 20  # characters
 
 
-def word_ids(df: DataFrame, key: str, words: Column) -> DataFrame:
+def word_ids(df: DataFrame, key: str, words: Column, small: int = SMALL_VOCABULARY) -> DataFrame:
     """``key`` and ``input_ids``: the ids of all words of a row, in order.
 
-    A word with more than a 1/1000 share of all occurrences is hot; there are
+    A vocabulary of up to ``small`` characters goes to every task and rows stay
+    where they are; a larger one meets the words in a join.
+    """
+    listed = df.select(key, words.alias("words"))
+    vocab = vocabulary(listed.select(F.explode("words").alias("word")))
+    uses, chars = vocab.agg(F.sum("uses"), F.sum(F.length("word"))).first()
+    if (chars or 0) <= small:
+        return _ids_by_lookup(listed, key, vocab)
+    return _ids_by_join(listed, key, vocab, uses)
+
+
+def _ids_by_lookup(listed: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
+    """Ids are positions in the sorted word list, so the list alone is sent."""
+    words = vocab.select("word").orderBy("id").toArrow().column("word").combine_chunks()
+    sent = listed.sparkSession.sparkContext.broadcast(words)
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for batch in batches:
+            lists = batch.column("words")
+            lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(lists.value_lengths().fill_null(0))], lists.flatten())
+            ids = pc.add(pc.index_in(lists.values, value_set=known), 1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key), pa.ListArray.from_arrays(lists.offsets, ids)], names=[key, "input_ids"]
+            )
+
+    fields = [listed.schema[key], T.StructField("input_ids", T.ArrayType(T.IntegerType()))]
+    return listed.mapInArrow(look_up, T.StructType(fields))
+
+
+def _ids_by_join(listed: DataFrame, key: str, vocab: DataFrame, uses: int) -> DataFrame:
+    """A word with more than a 1/1000 share of all occurrences is hot; there are
     fewer than 1000 of those, so they are broadcast, and only the other words
     meet the vocabulary in a shuffle join, where none can fill a task.
     """
-    found = df.select(key, F.posexplode(words).alias("pos", "word"))
-    vocab = vocabulary(found)
-    total = vocab.agg(F.sum("uses")).first()[0] or 0
-    is_hot = F.col("uses") * HOT_SHARE > total
-    hot = vocab.where(is_hot).select("word", "id")
+    found = listed.select(key, F.posexplode_outer("words").alias("pos", "word"))
+    is_hot = F.col("uses") * HOT_SHARE > uses
+    hot = F.broadcast(vocab.where(is_hot).select("word", "id"))
     cold = vocab.where(~is_hot).select("word", F.col("id").alias("cold_id"))
-    marked = found.join(F.broadcast(hot), "word", "left")
-    known = marked.where("id is not null").select(key, "pos", "id")
-    rest = marked.where("id is null").select(key, "pos", "word").join(cold, "word")
-    entries = known.unionByName(rest.select(key, "pos", F.col("cold_id").alias("id")))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "id")))
-    return entries.groupBy(key).agg(F.transform(ordered, lambda entry: entry["id"]).alias("input_ids"))
+    marked = found.join(hot, "word", "left")
+    done = F.col("id").isNotNull() | F.col("word").isNull()
+    rest = marked.where(~done).select(key, "pos", "word").join(cold, "word")
+    entries = marked.where(done).select(key, "pos", "id").unionByName(
+        rest.select(key, "pos", F.col("cold_id").alias("id"))
+    )
+    entry = F.when(F.col("id").isNotNull(), F.struct("pos", "id"))
+    ordered = F.array_sort(F.collect_list(entry))
+    return entries.groupBy(key).agg(F.transform(ordered, lambda e: e["id"]).alias("input_ids"))
 
 
 def pad_fixed(df: DataFrame, max_len: int, pad_id: int) -> DataFrame:

@@ -161,7 +161,8 @@ TOKENS = r"""
 w AS (SELECT doc_id, unnest(w) word, generate_subscripts(w, 1) pos FROM
        (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') w FROM documents)),
 voc AS (SELECT word, row_number() OVER (ORDER BY word) id FROM (SELECT DISTINCT word FROM w)),
-ids AS (SELECT doc_id, list(cast(id AS int) ORDER BY pos) input_ids FROM w JOIN voc USING (word) GROUP BY doc_id)"""
+found AS (SELECT doc_id, list(cast(id AS int) ORDER BY pos) input_ids FROM w JOIN voc USING (word) GROUP BY doc_id),
+ids AS (SELECT doc_id, coalesce(input_ids, []) input_ids FROM documents LEFT JOIN found USING (doc_id))"""
 EXAMPLES = """
 halves AS (SELECT doc_id, input_ids[1 : len(input_ids) // 2][1:512] p, input_ids[len(input_ids) // 2 + 1 :][1:512] c FROM ids),
 ex AS (SELECT doc_id, list_concat(p, c) input_ids, list_transform(list_concat(p, c), lambda x: 1) attention_mask,

@@ -16,7 +16,7 @@ def build_session(app_name: str = "stratalens", master: str | None = None, **con
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        **{key.replace("__", "."): value for key, value in conf.items()},
+        **conf,
     }
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -59,3 +59,15 @@ def save_shared(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash rows over all slots when the scan has fewer splits than the cluster has slots.
+
+    For costly per-row work on an input of few files; an input with enough
+    splits is left where it is, without a shuffle.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 2 * slots:
+        return df
+    return df.repartition(2 * slots, key)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stratalens.functions.text import words
 from stratalens.operators.rows import enumerate_rows
 from stratalens.operators.tokens import word_ids
+from stratalens.session import spread
 
 N_LAYERS = 24
 MODEL = "m24"
@@ -16,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, on all slots."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+
+
 def hidden_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """25 consecutive vectors are the layer states of one sample; layer 0 is the embedding output."""
     return table(spark, sf_dir, "embeddings").select(
@@ -90,7 +96,7 @@ def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     The prediction has the lines in reverse order; the references are the text
     as it is, and in lower case without its first two words.
     """
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir).select(
         F.col("doc_id").alias("sample_id"),
         F.array_join(F.reverse(F.split("text", "\n")), "\n").alias("generated"),
         F.array(
@@ -162,8 +168,7 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as word ids."""
-    docs = table(spark, sf_dir, "documents")
-    return word_ids(docs, "doc_id", words(F.lower("text")))
+    return word_ids(texts(spark, sf_dir), "doc_id", words(F.lower("text")))
 
 
 def prompt_completion_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
