@@ -52,7 +52,7 @@ def _ids_by_lookup(listed: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
         for batch in batches:
             lists = batch.column("words")
             lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(lists.value_lengths().fill_null(0))], lists.flatten())
-            ids = pc.add(pc.index_in(lists.values, value_set=known), 1)
+            ids = pc.add(pc.index_in(lists.values, value_set=known), pa.scalar(1, pa.int32()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key), pa.ListArray.from_arrays(lists.offsets, ids)], names=[key, "input_ids"]
             )
