@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 # The suffix tables of the paper, longest match first within a step.
 STEP_2 = {
@@ -83,7 +82,6 @@ def _final_letters(word: str) -> str:
     return word[:-1] if word.endswith("ll") and _measure(word) > 1 else word
 
 
-@lru_cache(maxsize=100_000)
 def porter(word: str) -> str:
     if len(word) <= 2:
         return word

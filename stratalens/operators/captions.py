@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -92,9 +93,10 @@ def _meteor(stemming: bool):
     @F.pandas_udf("double")
     def score(generated: pd.Series, reference: pd.Series, entries: pd.Series) -> pd.Series:
         scores = []
+        stem = lru_cache(100_000)(porter) if stemming else None
         for predicted, target, listed in zip(generated, reference, entries):
             synonyms = {entry["word"]: set(entry["synonyms"]) for entry in listed}
-            stages = {"stem": porter if stemming else None, "synonyms": synonyms}
+            stages = {"stem": stem, "synonyms": synonyms}
             scores.append(overlap.meteor_score(predicted.split(), target.split(), **stages))
         return pd.Series(scores, dtype=float)
 
