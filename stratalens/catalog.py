@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -143,12 +142,7 @@ def report_round_trip(spark, sf_dir):
 
 @query
 def prune_keep_layers(spark, sf_dir):
-    found = best(spark, sf_dir).select("n", "block_start", "block_end")
-    kept = [
-        pruning.kept_layers(found, views.N_LAYERS, rule).select(F.lit(rule).alias("rule"), "n", "layer")
-        for rule in pruning.KEEP_RULES
-    ]
-    return reduce(DataFrame.unionByName, kept)
+    return pruning.kept_layers(best(spark, sf_dir), views.N_LAYERS, list(pruning.KEEP_RULES)).select("rule", "n", "layer")
 
 
 @query
@@ -177,8 +171,9 @@ def accuracy_history(spark, sf_dir):
     scored = accuracy.choice_accuracy(
         views.responses(spark, sf_dir).withColumn("predicted", choices.parse_choice(F.col("response"))), ["run_id"]
     )
-    for seq in (1, 2):
-        tables.append_history(scored.select("run_id", F.lit(seq).cast("long").alias("seq"), "accuracy"), path)
+    tables.append_history(scored.select("run_id", F.lit(1).cast("long").alias("seq"), "accuracy"), path)
+    again = tables.read_history(spark, path).withColumn("seq", F.col("seq") + 1)
+    tables.append_history(again, path)
     return tables.read_history(spark, path).select("run_id", "seq", six("accuracy"))
 
 
@@ -438,14 +433,14 @@ def energy_log_round_trip(spark, sf_dir):
 @query
 def run_result_record(spark, sf_dir):
     path = shared_path(spark, "runs")
-    log = views.inference_log(spark, sf_dir)
-    started = log.groupBy("run_id").agg(runs.run_id(F.min("started_at")).alias("stamp"), F.max("latency_ms").alias("peak"))
+    log = views.inference_log(spark, sf_dir).withColumn("memory_mib", F.col("latency_ms"))
+    stamp = runs.run_id(F.min("started_at")).alias("stamp")
+    summary = telemetry.run_summary(
+        log, stamp, *telemetry.latency_columns(), *telemetry.throughput_columns(), *telemetry.memory_columns()
+    )
     energy = telemetry.last_energy_row(views.energy_log(spark, sf_dir), ["timestamp", "event_id"], ["run_id"])
     flat = (
-        telemetry.latency_summary(log)
-        .join(telemetry.throughput(log).drop("n_samples"), "run_id")
-        .join(energy.select("run_id", "energy_consumed", "emissions"), "run_id")
-        .join(started, "run_id")
+        summary.join(energy.select("run_id", "energy_consumed", "emissions"), "run_id")
         .select(
             F.col("stamp").alias("run_id"),
             F.col("run_id").alias("model_id"),
@@ -461,7 +456,7 @@ def run_result_record(spark, sf_dir):
             "std_latency_ms",
             F.col("energy_consumed").alias("energy_kwh"),
             F.col("emissions").alias("co2_kg"),
-            F.col("peak").alias("peak_vram_mib"),
+            F.col("peak_memory_mib").alias("peak_vram_mib"),
             F.lit(None).cast("double").alias("total_vram_mib"),
             F.lit("cpu").alias("device"),
             F.lit("N/A").alias("gpu_name"),
@@ -503,7 +498,7 @@ def stream_latency(spark, sf_dir):
 
 @query
 def epoch_loss(spark, sf_dir):
-    log = views.training_log(spark, sf_dir)
+    log = views.losses(spark, sf_dir)
     both = losses.epoch_loss(log).select("run_id", "epoch", "batches", six("average_loss"))
     valid = losses.epoch_loss(log, skip_nan=True).select(
         "run_id", "epoch", F.col("batches").alias("valid_batches"), F.round("average_loss", 6).alias("valid_loss")

@@ -22,8 +22,14 @@ def choice_accuracy(matched: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def performance_curve(best: DataFrame, accuracy: DataFrame) -> DataFrame:
-    """Accuracy by number of removed layers; the unpruned model is the point ``n = 0``."""
-    points = accuracy.select("model", "n", "accuracy")
-    pruned = best.select("model", "n", "block_start", "block_end").join(points, ["model", "n"])
-    base = points.where("n = 0")
-    return base.unionByName(pruned, allowMissingColumns=True)
+    """Accuracy by number of removed layers; the unpruned model is the point ``n = 0``.
+
+    A left join keeps that point, so the accuracies are computed once.
+    """
+    blocks = best.select("model", "n", "block_start", "block_end")
+    return (
+        accuracy.select("model", "n", "accuracy")
+        .join(blocks, ["model", "n"], "left")
+        .where("n = 0 or block_start is not null")
+        .select("model", "n", "block_start", "block_end", "accuracy")
+    )

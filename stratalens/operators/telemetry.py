@@ -9,13 +9,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 COMPONENTS = ("cpu_energy", "gpu_energy", "ram_energy")
 
 
-def latency_summary(log: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
+def latency_columns() -> list[Column]:
     """Mean and population standard deviation of the latency."""
-    return log.groupBy(*keys).agg(
-        F.count("*").alias("n_samples"),
-        F.avg("latency_ms").alias("mean_latency_ms"),
-        F.stddev_pop("latency_ms").alias("std_latency_ms"),
-    )
+    return [F.avg("latency_ms").alias("mean_latency_ms"), F.stddev_pop("latency_ms").alias("std_latency_ms")]
 
 
 def epoch_micros(ts: Column) -> Column:
@@ -23,21 +19,35 @@ def epoch_micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
-def throughput(log: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
-    """Samples over loop wall time: first start to last end, not the sum of latencies."""
+def throughput_columns() -> list[Column]:
+    """Loop wall time, first start to last end, and samples over it (not over the sum of latencies)."""
     started = epoch_micros(F.col("started_at").cast("timestamp_ntz"))
     ended = started + F.round(F.col("latency_ms") * 1000).cast("long")
     wall = (F.max(ended) - F.min(started)) / 1e6
-    return (
-        log.groupBy(*keys)
-        .agg(F.count("*").alias("n_samples"), wall.alias("total_time_s"))
-        .withColumn("samples_per_s", F.col("n_samples") / F.nullif("total_time_s", F.lit(0.0)))
-    )
+    rate = F.count("*") / F.nullif(wall, F.lit(0.0))
+    return [wall.alias("total_time_s"), rate.alias("samples_per_s")]
 
 
-def peak_memory(log: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
+def memory_columns() -> list[Column]:
     """Highest allocation of a run; 0 when none was measured."""
-    return log.groupBy(*keys).agg(F.coalesce(F.max("memory_mib"), F.lit(0.0)).alias("peak_memory_mib"))
+    return [F.coalesce(F.max("memory_mib"), F.lit(0.0)).alias("peak_memory_mib")]
+
+
+def run_summary(log: DataFrame, *columns: Column, keys: Sequence[str] = ("run_id",)) -> DataFrame:
+    """Number of samples and any of the summaries above, in one pass over the log."""
+    return log.groupBy(*keys).agg(F.count("*").alias("n_samples"), *columns)
+
+
+def latency_summary(log: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
+    return run_summary(log, *latency_columns(), keys=keys)
+
+
+def throughput(log: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
+    return run_summary(log, *throughput_columns(), keys=keys)
+
+
+def peak_memory(log: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
+    return run_summary(log, *memory_columns(), keys=keys).drop("n_samples")
 
 
 def last_energy_row(log: DataFrame, order: Sequence[str] = ("timestamp",), keys: Sequence[str] = ("project_name",)) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Fixed values of a plan.
@@ -19,11 +21,16 @@ def keep_layers(layer: Column, start: Column, end: Column, rule: str = "half_ope
     return KEEP_RULES[rule](layer, start, end)
 
 
-def kept_layers(blocks: DataFrame, n_layers: int, rule: str = "half_open") -> DataFrame:
-    """Every block against every layer of its model, keeping the layers outside the block."""
-    layers = F.explode(F.sequence(F.lit(0), F.lit(n_layers - 1)))
-    return blocks.withColumn("layer", layers).where(
-        keep_layers(F.col("layer"), F.col("block_start"), F.col("block_end"), rule)
+def kept_layers(blocks: DataFrame, n_layers: int, rules: Sequence[str] = ("half_open",)) -> DataFrame:
+    """Every block against every layer of its model, keeping the layers outside the block, per rule."""
+    layer = F.col("layer")
+    kept = [
+        F.when(keep_layers(layer, F.col("block_start"), F.col("block_end"), rule), F.lit(rule)) for rule in rules
+    ]
+    return (
+        blocks.withColumn("layer", F.explode(F.sequence(F.lit(0), F.lit(n_layers - 1))))
+        .withColumn("rule", F.explode(F.array(*kept)))
+        .where("rule is not null")
     )
 
 

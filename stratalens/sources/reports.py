@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from stratalens.operators.blocks import best_block
-
 # Wording of a report.
 TITLE = "Analysis of Layer Similarities for "
 SIZE_LINE = "Number of Layers to Skip : "
@@ -79,7 +77,7 @@ def _report_text() -> Column:
         "entries",
         lambda e: F.concat_ws(",", e["block_start"], e["block_end"], e["average_distance"]),
     )
-    trailer = F.format_string("Layer %d to %d is the best block to prune.", "best_start", "best_end")
+    trailer = F.format_string("Layer %d to %d is the best block to prune.", "best.block_start", "best.block_end")
     head = F.array(
         F.concat(F.lit(TITLE), F.col("model"), F.lit(" ")),
         F.concat(F.lit(SIZE_LINE), F.col("n").cast("string"), F.lit(" ")),
@@ -93,9 +91,7 @@ def write_distance_reports(rows: DataFrame, path: str, layout: str = "table") ->
     if layout == "table":
         rows.repartition(*KEYS).write.partitionBy(*KEYS).parquet(path)
         return
-    best = best_block(rows, KEYS).select(
-        *KEYS, F.col("block_start").alias("best_start"), F.col("block_end").alias("best_end")
-    )
     entries = F.array_sort(F.collect_list(F.struct("block_start", "block_end", "average_distance")))
-    texts = rows.groupBy(*KEYS).agg(entries.alias("entries")).join(best, KEYS)  # at most one row per layer
+    least = F.min(F.when(~F.isnan("average_distance"), F.struct("average_distance", "block_start", "block_end")))
+    texts = rows.groupBy(*KEYS).agg(entries.alias("entries"), least.alias("best"))  # at most one row per layer
     texts.select(*KEYS, _report_text().alias("value")).repartition(*KEYS).write.partitionBy(*KEYS).text(path)

@@ -146,16 +146,20 @@ def energy_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def training_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Losses per event type in time order; every 17th event has none (NaN)."""
-    events = table(spark, sf_dir, "events").select(
+def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses per event type; every 17th event has none (NaN)."""
+    return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("run_id"),
         F.lit(1).alias("epoch"),
         "ts",
         "event_id",
         F.when(F.col("event_id") % 17 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("loss"),
     )
-    numbered = enumerate_rows(events, ["ts", "event_id"], within=["run_id"], name="batch_idx")
+
+
+def training_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The losses numbered in time order, from 1 in every run."""
+    numbered = enumerate_rows(losses(spark, sf_dir), ["ts", "event_id"], within=["run_id"], name="batch_idx")
     return numbered.select("run_id", "epoch", (F.col("batch_idx") + 1).alias("batch_idx"), "loss")
 
 

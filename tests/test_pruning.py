@@ -14,7 +14,7 @@ def block(spark):
     [("half_open", range(9, 14)), ("left_open", range(10, 15)), ("closed", range(9, 15))],
 )
 def test_rules_remove_their_layers(spark, block, rule, removed):
-    kept = {r.layer for r in pruning.kept_layers(block, 26, rule).collect()}
+    kept = {r.layer for r in pruning.kept_layers(block, 26, [rule]).collect()}
     assert kept == set(range(26)) - set(removed)
     layers = spark.range(26).select(F.lit("m").alias("model"), F.col("id").cast("int").alias("layer"))
     assert {r.layer for r in pruning.apply_plans(block, layers, rule).collect()} == kept

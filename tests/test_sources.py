@@ -16,9 +16,9 @@ def report(model, n, rows, best, blank=" "):
 def test_reads_framed_reports(spark, tmp_path):
     folder = tmp_path / "some_set"
     folder.mkdir()
-    (folder / "layer_distances_m_x_2.csv").write_text(report("m_x", 2, ["1,3,0.5", "2,4,0.25"], 2))
-    (folder / "layer_distances_m_x_10.csv").write_text(report("m_x", 10, ["1,11,nan"], 1, blank=""))
-    (folder / "layer_distances_m_x_26.csv").write_text(report("m_x", 26, [], 0).replace("\n", "\r\n"))
+    (folder / "distances_m_x_2.csv").write_text(report("m_x", 2, ["1,3,0.5", "2,4,0.25"], 2))
+    (folder / "distances_m_x_10.csv").write_text(report("m_x", 10, ["1,11,nan"], 1, blank=""))
+    (folder / "distances_m_x_26.csv").write_text(report("m_x", 26, [], 0).replace("\n", "\r\n"))
     rows, best = reports.read_distance_reports(spark, str(folder))
     found = {(r.dataset, r.model, r.n, r.block_start, r.block_end, str(r.average_distance)) for r in rows.collect()}
     assert found == {
@@ -44,9 +44,9 @@ def test_report_round_trip(spark, tmp_path, layout):
 
 
 def test_names(spark):
-    paths = ["a/layer_distances_m_12.csv", "a/layer_distances_m.csv", "a/plain.csv"]
+    paths = ["a/distances_m_12.csv", "a/distances_m.csv", "a/plain.csv"]
     df = spark.createDataFrame([(p,) for p in paths], "p string")
-    found = df.select(reports.file_suffix_number(F.col("p")), reports.report_label(F.col("p"), "layer_distances_m"))
+    found = df.select(reports.file_suffix_number(F.col("p")), reports.report_label(F.col("p"), "distances_m"))
     assert [tuple(r) for r in found.collect()] == [(12, "12"), (0, "base"), (0, "plain")]
     trailer = spark.createDataFrame([("Layer 14 to 9 is the best",)], "t string")
     assert tuple(trailer.select(reports.parse_best_block(F.col("t"))).first()[0]) == (9, 14)
@@ -98,7 +98,7 @@ def test_run_results_history_plans_payloads(spark, tmp_path):
     record = {"run_id": "r", "n_samples": 2, "quality": {"bleu4": 0.5}, "hardware": {"device": "cpu", "total_vram_mib": 0}}
     runs = tmp_path / "runs"
     runs.mkdir()
-    (runs / "baseline_r.json").write_text(json.dumps(record, indent=2))
+    (runs / "r.json").write_text(json.dumps(record, indent=2))
     read = tables.read_run_results(spark, str(runs), layout="files")
     assert read.first().quality.bleu4 == 0.5 and read.first().hardware.total_vram_mib == 0.0
     lines = str(tmp_path / "lines")
