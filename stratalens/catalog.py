@@ -67,6 +67,13 @@ def best_block(spark, sf_dir):
     return best(spark, sf_dir).select("n", "block_start", "block_end", six("average_distance"))
 
 
+@query
+def min_distance(spark, sf_dir):
+    found = blocks.min_distance(distances(spark, sf_dir))
+    means = F.array_join(F.transform("mean_distances", lambda d: F.format_string("%.6f", d)), ",")
+    return found.select("n", six("min_distance"), "layer_idx", means.alias("mean_distances"))
+
+
 @query
 def distance_matrix(spark, sf_dir):
     matrix = blocks.distance_matrix(distances(spark, sf_dir), ALL_N)
@@ -186,6 +193,14 @@ def corpus_first_n(spark, sf_dir):
     return corpus.select("doc_id", "text")
 
 
+@query
+def items_of_split(spark, sf_dir):
+    path = shared_path(spark, "items")
+    split = F.when(F.col("answer") == 0, "dev").otherwise("test")
+    views.items(spark, sf_dir).withColumn("split", split).write.partitionBy("split").parquet(path)
+    return tables.read_items(spark, path, "mmlu").select("item_id", "question", F.size("choices").alias("n_choices"), "answer")
+
+
 @query
 def prompt_mmlu(spark, sf_dir):
     return prompts.format_items(views.items(spark, sf_dir), "mmlu").select("item_id", "prompt")
@@ -489,7 +504,8 @@ def stream_latency(spark, sf_dir):
         "run_id",
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
         "n_samples",
-        six("mean_latency_ms"),
+        # Two-decimal latencies: the rounded sum is exact whatever the order of addition.
+        F.round(F.round("latency_sum", 4) / F.col("n_samples"), 6).alias("mean_latency_ms"),
     )
 
 

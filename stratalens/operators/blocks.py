@@ -107,6 +107,20 @@ def best_block(distances: DataFrame, keys: Sequence[str] = ("n",)) -> DataFrame:
     )
 
 
+def min_distance(distances: DataFrame) -> DataFrame:
+    """Per ``n`` the smallest mean, its 0-based layer, and all means in layer order; NaN propagates."""
+    rank = F.struct("average_distance", "block_start")
+    means = F.array_sort(F.collect_list(F.struct("block_start", "average_distance")))  # at most one per layer
+    nan = F.max(F.isnan("average_distance"))
+    found = distances.groupBy("n").agg(F.min(rank).alias("least"), means.alias("means"), nan.alias("nan"))
+    return found.select(
+        "n",
+        F.when(F.col("nan"), F.lit(float("nan"))).otherwise(F.col("least.average_distance")).alias("min_distance"),
+        (F.col("least.block_start") - 1).alias("layer_idx"),
+        F.transform("means", lambda m: m["average_distance"]).alias("mean_distances"),
+    )
+
+
 def distance_matrix(distances: DataFrame, n_values: Sequence[int], axis: str = "start") -> DataFrame:
     """One column per ``n``; rows are block starts, or ``block_end - 1`` with ``axis='end'``."""
     row = {"start": F.col("block_start"), "end": F.col("block_end") - 1}[axis]

@@ -184,6 +184,13 @@ def oracle_queries() -> dict[str, str]:
     sql["block_distance_all"] = with_parts(*LAYERED, select=f"SELECT {row} FROM dist")
     sql["block_distance_n"] = with_parts(*LAYERED, select=f"SELECT {row} FROM dist WHERE n = 3")
     sql["best_block"] = with_parts(*LAYERED, BEST, select=f"SELECT {row} FROM best")
+    sql["min_distance"] = with_parts(
+        *LAYERED,
+        select="""SELECT n, round(min(average_distance), 6) min_distance,
+                    arg_min(block_start, (average_distance, block_start)) - 1 layer_idx,
+                    string_agg(printf('%.6f', average_distance), ',' ORDER BY block_start) mean_distances
+                  FROM dist GROUP BY n""",
+    )
     sql["distance_matrix"] = matrix("block_start")
     sql["distance_matrix_end"] = matrix("block_end - 1")
     sql["last_token_state"] = """
@@ -252,6 +259,10 @@ def oracle_queries() -> dict[str, str]:
     )
 
     sql["corpus_first_n"] = "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 100"
+    sql["items_of_split"] = with_parts(
+        ITEMS,
+        select="SELECT item_id, question, cast(len(choices) AS int) n_choices, answer FROM items WHERE answer <> 0",
+    )
     plain = f"concat('Question: ', question, chr(10), {LETTERED}, chr(10), 'Answer:') prompt"
     sql["prompt_mmlu"] = with_parts(
         ITEMS,

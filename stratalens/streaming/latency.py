@@ -8,7 +8,7 @@ from stratalens.session import shared_path
 
 
 def windowed_latency(log: DataFrame, window: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """Count and mean latency per run and tumbling window; batch or stream."""
+    """Count, sum and mean of the latency per run and tumbling window; batch or stream."""
     timed = log.withColumn("started_at", F.col("started_at").cast("timestamp"))
     if log.isStreaming:
         timed = timed.withWatermark("started_at", delay)
@@ -19,6 +19,7 @@ def windowed_latency(log: DataFrame, window: str = "1 hour", delay: str = "1 hou
             "run_id",
             F.col("w.start").alias("window_start"),
             "n_samples",
+            "latency_sum",
             (F.col("latency_sum") / F.col("n_samples")).alias("mean_latency_ms"),
         )
     )

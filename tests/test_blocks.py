@@ -139,3 +139,11 @@ def test_matrix_holds_the_rows_in_numeric_order(spark):
     assert {tuple(r) for r in by_start.collect()} == {(1, 0.2, 0.1), (2, 0.3, None)}
     by_end = blocks.distance_matrix(df, [2, 10], axis="end")
     assert {tuple(r) for r in by_end.collect()} == {(2, 0.2, None), (3, 0.3, None), (10, None, 0.1)}
+
+
+def test_min_distance_lists_all_means(spark):
+    data = [(1, 2, 0.25), (1, 1, 0.5), (1, 3, 0.25), (2, 1, float("nan")), (2, 2, 0.75)]
+    df = spark.createDataFrame(data, "n int, block_start int, average_distance double").repartition(5)
+    found = {r.n: r for r in blocks.min_distance(df).collect()}
+    assert (found[1].min_distance, found[1].layer_idx, found[1].mean_distances) == (0.25, 1, [0.5, 0.25, 0.25])
+    assert math.isnan(found[2].min_distance)
