@@ -504,8 +504,8 @@ def stream_latency(spark, sf_dir):
         "run_id",
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
         "n_samples",
-        # Two-decimal latencies: the rounded sum is exact whatever the order of addition.
-        F.round(F.round("latency_sum", 4) / F.col("n_samples"), 6).alias("mean_latency_ms"),
+        # Two-decimal latencies: the rounded sum is exact whatever the order of addition, and so is the mean.
+        (F.round("latency_sum", 4) / F.col("n_samples")).alias("mean_latency_ms"),
     )
 
 

@@ -407,7 +407,7 @@ def oracle_queries() -> dict[str, str]:
            FROM events GROUP BY 1)"""
     sql["stream_latency"] = """
         SELECT event_type run_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') window_start, count(*) n_samples,
-          round(avg(value), 6) mean_latency_ms FROM events GROUP BY 1, 2"""
+          round(sum(value), 4) / count(*) mean_latency_ms FROM events GROUP BY 1, 2"""
 
     sql["epoch_loss"] = with_parts(
         LOSSES,
