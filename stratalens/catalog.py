@@ -514,12 +514,11 @@ def stream_latency(spark, sf_dir):
 
 @query
 def epoch_loss(spark, sf_dir):
-    log = views.losses(spark, sf_dir)
-    both = losses.epoch_loss(log).select("run_id", "epoch", "batches", six("average_loss"))
-    valid = losses.epoch_loss(log, skip_nan=True).select(
-        "run_id", "epoch", F.col("batches").alias("valid_batches"), F.round("average_loss", 6).alias("valid_loss")
+    found = losses.epoch_loss(views.losses(spark, sf_dir))
+    valid = F.round(F.col("loss_sum") / F.nullif("valid_batches", F.lit(0)), 6)
+    return found.select(
+        "run_id", "epoch", "batches", six("average_loss"), "valid_batches", valid.alias("valid_loss")
     )
-    return both.join(valid, ["run_id", "epoch"])
 
 
 def running(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,8 +20,8 @@ def strip(text: Column) -> Column:
 
 
 def token_text(text: Column, separators: str = UNICODE_SEPARATORS) -> Column:
-    """Lower-case tokens joined by single spaces; empty when there are none."""
-    return F.trim(F.regexp_replace(F.lower(text), separators, " "))
+    """Lower-case tokens joined by single spaces; empty when there are none, or no text."""
+    return F.coalesce(F.trim(F.regexp_replace(F.lower(text), separators, " ")), F.lit(""))
 
 
 def tokens(text: Column, separators: str = UNICODE_SEPARATORS) -> Column:

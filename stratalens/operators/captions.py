@@ -62,8 +62,8 @@ def bleu4(
     """
     texts = captions.select(
         *keys,
-        F.coalesce(token_text(F.col("generated"), separators), F.lit("")).alias("predicted"),
-        F.transform("refs", lambda ref: F.coalesce(token_text(ref, separators), F.lit(""))).alias("references"),
+        token_text(F.col("generated"), separators).alias("predicted"),
+        F.transform("refs", lambda ref: token_text(ref, separators)).alias("references"),
     )
     fields = [T.StructField(name, T.LongType()) for name in _BLEU_FIELDS]
     schema = T.StructType([*[texts.schema[key] for key in keys], *fields])

@@ -17,12 +17,13 @@ def _valid(loss: str) -> Column:
 def epoch_loss(log: DataFrame, keys: Sequence[str] = RUN, skip_nan: bool = False) -> DataFrame:
     """Mean loss per epoch. NaN batches count in the divisor unless ``skip_nan``."""
     nan = F.isnan("loss") | F.col("loss").isNull()
-    batches = F.count(F.when(~nan, 1)) if skip_nan else F.count("*")
-    return (
-        log.groupBy(*keys)
-        .agg(F.sum(_valid("loss")).alias("loss_sum"), batches.alias("batches"))
-        .withColumn("average_loss", F.col("loss_sum") / F.nullif("batches", F.lit(0)))
+    sums = log.groupBy(*keys).agg(
+        F.sum(_valid("loss")).alias("loss_sum"),
+        F.count("*").alias("batches"),
+        F.count(F.when(~nan, 1)).alias("valid_batches"),
     )
+    divisor = "valid_batches" if skip_nan else "batches"
+    return sums.withColumn("average_loss", F.col("loss_sum") / F.nullif(divisor, F.lit(0)))
 
 
 def running_loss(log: DataFrame, keys: Sequence[str] = RUN, chunk: int = 1 << 18) -> DataFrame:

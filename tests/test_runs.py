@@ -45,7 +45,7 @@ def test_epoch_loss(spark):
     log = loss_log(spark, [NAN, 2.0, 4.0]).unionByName(loss_log(spark, [NAN, NAN], "none"))
     kept = {r.run_id: (r.batches, r.average_loss) for r in losses.epoch_loss(log).collect()}
     assert kept == {"r": (3, 2.0), "none": (2, 0.0)}
-    valid = {r.run_id: (r.batches, r.average_loss) for r in losses.epoch_loss(log, skip_nan=True).collect()}
+    valid = {r.run_id: (r.valid_batches, r.average_loss) for r in losses.epoch_loss(log, skip_nan=True).collect()}
     assert valid == {"r": (2, 3.0), "none": (0, None)}
 
 
