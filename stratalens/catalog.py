@@ -298,6 +298,16 @@ def bleu4(spark, sf_dir):
     )
 
 
+@query
+def bleu4_matched(spark, sf_dir):
+    """Predictions and references from two tables: documents against a conversation's first question."""
+    made = views.captions(spark, sf_dir).select("sample_id", "generated")
+    asked = views.table(spark, sf_dir, "conversations").where("role = 'user'")
+    samples = asked.groupBy(F.col("conv_id").alias("sample_id")).agg(F.array(F.min_by("text", "turn")).alias("refs"))
+    score = captions.bleu4(captions.match_references(made, samples), length_rule="shortest")
+    return score.select(*[f"match_{n}" for n in (1, 2, 3, 4)], "pred_len", "ref_len", six("bleu4"))
+
+
 @query
 def rouge_l(spark, sf_dir):
     scores = captions.rouge_l_scores(views.captions(spark, sf_dir))

@@ -44,7 +44,7 @@ def word_ids(df: DataFrame, key: str, words: Column, small: int = SMALL_VOCABULA
 
 def _ids_by_lookup(listed: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
     """Ids are positions in the sorted word list, so the list alone is sent."""
-    words = vocab.select("word").orderBy("id").toArrow().column("word").combine_chunks()
+    words = vocab.select("word", "id").toArrow().sort_by("id").column("word").combine_chunks()
     sent = listed.sparkSession.sparkContext.broadcast(words)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

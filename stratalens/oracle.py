@@ -320,6 +320,16 @@ def oracle_queries() -> dict[str, str]:
         select="""SELECT s.* EXCLUDE (lp), cast(c AS bigint) pred_len, cast(r AS bigint) ref_len,
                     round(CASE WHEN c > r THEN 1 ELSE exp(1 - r / c) END * exp(lp), 6) bleu4 FROM s, lens""",
     )
+    sql["bleu4_matched"] = with_parts(
+        """captions AS (SELECT doc_id sample_id, array_to_string(list_reverse(string_split(text, chr(10))), chr(10)) generated,
+             [q, q] refs FROM documents JOIN
+             (SELECT conv_id doc_id, arg_min(text, turn) q FROM conversations WHERE role = 'user' GROUP BY 1) USING (doc_id))""",
+        NGRAMS,
+        f"s AS (SELECT {fields}, avg(CASE WHEN m > 0 THEN ln(m / t) END) lp, min(m) least FROM matched)",
+        select="""SELECT match_1, match_2, match_3, match_4, cast(c AS bigint) pred_len, cast(r AS bigint) ref_len,
+                    round(CASE WHEN least = 0 THEN 0 WHEN c > r THEN exp(lp) ELSE exp(1 - r / c) * exp(lp) END, 6) bleu4
+                  FROM s, lens""",
+    )
     sql["meteor_exact"] = with_parts(
         CAPTIONS, OCCURRENCES,
         select="""SELECT sample_id, round(CASE WHEN m IS NULL THEN 0 ELSE
