@@ -6,11 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from stratalens.operators.joins import salted_join
 
 
-def match_predictions(predictions: DataFrame, items: DataFrame) -> DataFrame:
-    """Predictions next to the truth of their item."""
-    return predictions.join(items.select("item_id", "truth"), "item_id")
+
+def match_predictions(predictions: DataFrame, items: DataFrame, runs: Sequence[str] = ("run_id",)) -> DataFrame:
+    """Predictions next to the truth of their item; an item may have any number of ``runs``."""
+    return salted_join(predictions, items.select("item_id", "truth"), "item_id", spread_by=runs)
 
 
 def choice_accuracy(matched: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -1,0 +1,43 @@
+"""A join that stays even when one key holds much of the left side."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, functions as F
+
+HOT_SHARE = 1000
+SALTS = 64
+
+
+def salted_join(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    spread_by: Sequence[str],
+    how: str = "inner",
+    share: int = HOT_SHARE,
+    salts: int = SALTS,
+) -> DataFrame:
+    """``left`` joined with a ``right`` side whose ``key`` is unique.
+
+    Keys with more than a 1/``share`` part of the left rows (so fewer than
+    ``share`` of them, which bounds the broadcast) are cut into ``salts`` by
+    the hash of ``spread_by``; only their right rows are repeated. All other
+    rows are joined as they are. Each side is shuffled once.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("_rows"))
+    total = counts.agg(F.sum("_rows")).scalar()
+    hot = counts.where(F.col("_rows") * share > total).select(key, F.lit(True).alias("_hot"))
+    is_hot = F.coalesce("_hot", F.lit(False))
+    own = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    salted = left.join(F.broadcast(hot), key, "left").select(
+        *[left[name] for name in left.columns],
+        F.when(is_hot | left[key].isNull(), own).otherwise(0).alias("_salt"),
+    )
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    repeated = right.join(F.broadcast(hot), key, "left").select(
+        *[right[name] for name in right.columns],
+        F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))).alias("_salt"),
+    )
+    return salted.join(repeated, [key, "_salt"], how).drop("_salt")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from stratalens.operators.joins import salted_join
+
 
 def _read_urls(payloads: DataFrame) -> DataFrame:
     """Each url once, however many copies of its payload there are."""
@@ -11,8 +13,8 @@ def _read_urls(payloads: DataFrame) -> DataFrame:
 
 
 def with_payload(samples: DataFrame, payloads: DataFrame) -> DataFrame:
-    return samples.join(_read_urls(payloads), "url", "left_semi")
+    return salted_join(samples, _read_urls(payloads), "url", samples.columns, "left_semi")
 
 
 def without_payload(samples: DataFrame, payloads: DataFrame) -> DataFrame:
-    return samples.join(_read_urls(payloads), "url", "left_anti")
+    return salted_join(samples, _read_urls(payloads), "url", samples.columns, "left_anti")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratalens.functions.text import words
+from stratalens.operators.joins import salted_join
 from stratalens.operators.rows import enumerate_rows
 from stratalens.operators.tokens import word_ids
 from stratalens.session import spread
@@ -115,9 +116,9 @@ def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     system = (
         talk.where("role = 'system'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("context"))
     )
+    pairs = asked.join(answered, ["conv_id", "turn"])
     return (
-        asked.join(answered, ["conv_id", "turn"])
-        .join(system, "conv_id", "left")
+        salted_join(pairs, system, "conv_id", spread_by=["turn"], how="left")
         .select("conv_id", "turn", "instruction", F.coalesce("context", F.lit("")).alias("context"), "response")
     )
 

@@ -101,12 +101,12 @@ def test_accuracy_and_curve(spark):
         "model string, n int, item_id long, predicted int",
     )
     items = spark.createDataFrame([(1, 1), (2, 0)], "item_id long, truth int")
-    scored = accuracy.choice_accuracy(accuracy.match_predictions(pred, items), ["model", "n"])
+    scored = accuracy.choice_accuracy(accuracy.match_predictions(pred, items, ["model", "n"]), ["model", "n"])
     assert {r.n: (r.correct, r.total, r.accuracy) for r in scored.collect()} == {
         0: (2, 2, 1.0), 1: (1, 2, 0.5), 9: (0, 1, 0.0),
     }
     best = spark.createDataFrame([("m", 1, 3, 4)], "model string, n int, block_start int, block_end int")
     curve = accuracy.performance_curve(best, scored)
     assert {(r.n, r.block_start, r.accuracy) for r in curve.collect()} == {(0, None, 1.0), (1, 3, 0.5)}
-    empty = accuracy.choice_accuracy(accuracy.match_predictions(pred.where("false"), items)).first()
+    empty = accuracy.choice_accuracy(accuracy.match_predictions(pred.where("false"), items, ["model", "n"])).first()
     assert (empty.total, empty.accuracy) == (0, None)
