@@ -7,37 +7,40 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 HOT_SHARE = 1000
+LEAST_ROWS = 100_000
 SALTS = 64
 
 
+def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> list:
+    """Keys with more than a 1/``share`` part of the rows, so fewer than ``share`` of them."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows"))
+    total = counts.agg(F.sum("_rows")).scalar()
+    # On small tables every key has such a part; only keys worth a task of their own matter.
+    hot = counts.where((F.col("_rows") * share > total) & (F.col("_rows") >= LEAST_ROWS))
+    return [row[0] for row in hot.select(key).collect()]
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
     key: str,
     spread_by: Sequence[str],
     how: str = "inner",
-    share: int = HOT_SHARE,
+    hot: list | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """``left`` joined with a ``right`` side whose ``key`` is unique.
 
-    Keys with more than a 1/``share`` part of the left rows (so fewer than
-    ``share`` of them, which bounds the broadcast) are cut into ``salts`` by
-    the hash of ``spread_by``; only their right rows are repeated. All other
-    rows are joined as they are. Each side is shuffled once.
+    Rows of a hot key are cut into ``salts`` by the hash of ``spread_by``, and
+    its right row is repeated as often; all other rows are joined as they are.
+    Each side is shuffled once. Without hot keys this is the plain join.
     """
-    counts = left.groupBy(key).agg(F.count("*").alias("_rows"))
-    total = counts.agg(F.sum("_rows")).scalar()
-    hot = counts.where(F.col("_rows") * share > total).select(key, F.lit(True).alias("_hot"))
-    is_hot = F.coalesce("_hot", F.lit(False))
+    hot = hot_keys(left, key) if hot is None else hot
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.col(key).isin(hot)
     own = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    salted = left.join(F.broadcast(hot), key, "left").select(
-        *[left[name] for name in left.columns],
-        F.when(is_hot | left[key].isNull(), own).otherwise(0).alias("_salt"),
-    )
     every = F.sequence(F.lit(0), F.lit(salts - 1))
-    repeated = right.join(F.broadcast(hot), key, "left").select(
-        *[right[name] for name in right.columns],
-        F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))).alias("_salt"),
-    )
+    salted = left.withColumn("_salt", F.when(is_hot | F.col(key).isNull(), own).otherwise(0))
+    repeated = right.withColumn("_salt", F.explode(F.when(is_hot, every).otherwise(F.array(F.lit(0)))))
     return salted.join(repeated, [key, "_salt"], how).drop("_salt")

@@ -116,9 +116,9 @@ def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
     system = (
         talk.where("role = 'system'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("context"))
     )
-    pairs = asked.join(answered, ["conv_id", "turn"])
     return (
-        salted_join(pairs, system, "conv_id", spread_by=["turn"], how="left")
+        salted_join(asked, system, "conv_id", spread_by=["turn"], how="left")
+        .join(answered, ["conv_id", "turn"])
         .select("conv_id", "turn", "instruction", F.coalesce("context", F.lit("")).alias("context"), "response")
     )
 

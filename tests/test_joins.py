@@ -3,30 +3,38 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stratalens.operators.joins import salted_join
+from stratalens.operators import joins
+from stratalens.operators.joins import hot_keys, salted_join
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-@pytest.mark.parametrize("share", [1, 3, 1000])
-def test_salted_equals_plain(spark, how, share):
+@pytest.mark.parametrize("hot", [[], ["hot"], ["hot", "k3", "k4", "none"]])
+def test_salted_equals_plain(spark, how, hot):
     rng = random.Random(11)
     rows = [("hot" if i % 3 == 0 else None if i % 7 == 0 else f"k{rng.randrange(30)}", i % 50) for i in range(3000)]
     left = spark.createDataFrame(rows, "k string, v int").repartition(4)
     right = spark.createDataFrame([("hot", 1), *[(f"k{i}", i) for i in range(0, 30, 2)]], "k string, w int")
-    found = salted_join(left, right, "k", ["v"], how, share=share, salts=8)
+    found = salted_join(left, right, "k", ["v"], how, hot=hot, salts=8)
     plain = left.join(right, "k", how)
     assert found.columns == plain.columns
     key = lambda row: str(tuple(row))
     assert sorted(found.collect(), key=key) == sorted(plain.collect(), key=key)
 
 
+def test_hot_keys_are_found_and_few(spark, monkeypatch):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 5 != 0, F.col("id")).alias("k"))
+    assert hot_keys(df, "k") == []
+    monkeypatch.setattr(joins, "LEAST_ROWS", 1)
+    assert hot_keys(df, "k", share=10) == [7] and hot_keys(df.where("k <> 7"), "k", share=1000) == []
+
+
 def test_a_hot_key_is_spread(spark):
     left = spark.range(20_000).select(F.lit("hot").alias("k"), "id")
     right = spark.createDataFrame([("hot", 1)], "k string, w int")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = salted_join(left, right, "k", ["id"])
+        joined = salted_join(left, right, "k", ["id"], hot=["hot"])
         sizes = joined.groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
