@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratalens.llm import mixing, packing, sharding
+from stratalens.llm import minhash, mixing, packing, sharding
 from stratalens.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.sharded(table(spark, sf_dir, "documents"))
     text = F.coalesce("text", F.lit(""))
@@ -32,5 +36,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op6_packing, op9_sharding, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op6_packing, op7_minhash, op9_sharding, op10_mixing)}
 ORACLE: dict[str, str] = {}
