@@ -73,7 +73,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether two sorted sets reach the likeness."""
     shared = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * shared >= percent * (len(a) + len(b) - shared)
+    return shared > 0 and 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
 def _spokes(buckets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -146,8 +146,8 @@ def _blocks(buckets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             for k in range(len(sets) - 1):
                 rest = np.arange(k + 1, len(sets))
                 least, most = np.minimum(sizes[k], sizes[rest]), np.maximum(sizes[k], sizes[rest])
-                rest = rest[(component[rest] != component[k]) & (100 * least >= percent * most) & (not apart | (own[rest] != own[k]))]
-                if not len(rest):
+                rest = rest[(component[rest] != component[k]) & (100 * least >= percent * most) & (own[rest] != own[k] if apart else True)]
+                if not len(rest) or not sizes[k]:
                     continue
                 spans = np.repeat(at[rest] - np.r_[0, np.cumsum(sizes[rest])[:-1]], sizes[rest]) + np.arange(sizes[rest].sum())
                 place = np.searchsorted(sets[k], flat[spans])
