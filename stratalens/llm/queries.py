@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratalens.llm import embeddings, langid, merkle, minhash, mixing, packing, sharding
+from stratalens.llm import embeddings, langid, merkle, minhash, mixing, packing, sharding, token_files
 from stratalens.llm.common import table
 
 
@@ -20,6 +20,12 @@ def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.tokenized(table(spark, sf_dir, "documents"), public_tokenizers.path(token_files.TOKENIZER))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -48,5 +54,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_embeddings, op4_merkle, op6_packing, op7_minhash, op9_sharding, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_embeddings, op4_merkle, op5_tokens, op6_packing, op7_minhash, op9_sharding, op10_mixing)}
 ORACLE: dict[str, str] = {}
