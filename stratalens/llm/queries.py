@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratalens.llm import embeddings, langid, merkle, minhash, mixing, packing, sharding, token_files
+from stratalens.llm import embeddings, langid, merkle, minhash, mixing, packing, sharding, token_files, warc
 from stratalens.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
+
+
 def op4_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -54,5 +59,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_embeddings, op4_merkle, op5_tokens, op6_packing, op7_minhash, op9_sharding, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_embeddings, op3_warc, op4_merkle, op5_tokens, op6_packing, op7_minhash, op9_sharding, op10_mixing)}
 ORACLE: dict[str, str] = {}

@@ -129,7 +129,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
                 payload, index = (files.task_file(folder, part, s) for s in (".tokens", ".npz"))
                 system, path = files.located(payload)
                 system.create_dir(path.rpartition("/")[0], recursive=True)
-                out, end = system.open_output_stream(path), np.array([end_id], dtype=encoder.kind).tobytes()
+                out, end = system.open_output_stream(path, compression=None), np.array([end_id], dtype=encoder.kind).tobytes()
                 out.write(MAGIC + bytes([encoder.kind.itemsize]))
             ids.append(batch.column("doc_id"))
             for own in encoder.encode(batch.column("text")):
@@ -149,7 +149,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
         data = io.BytesIO()
         np.savez(data, **held)
         system, path = files.located(index)
-        with system.open_output_stream(path) as stream:
+        with system.open_output_stream(path, compression=None) as stream:
             stream.write(data.getvalue())
         last = pc.max(ids).as_py()
         yield pa.RecordBatch.from_pydict({
