@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratalens.llm import embeddings, langid, merkle, minhash, mixing, packing, sharding, token_files, warc
+from stratalens.llm import brown, embeddings, langid, merkle, minhash, mixing, packing, sharding, token_files, warc
 from stratalens.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.scores(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.sharded(table(spark, sf_dir, "documents"))
     text = F.coalesce("text", F.lit(""))
@@ -59,5 +63,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_embeddings, op3_warc, op4_merkle, op5_tokens, op6_packing, op7_minhash, op9_sharding, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_embeddings, op3_warc, op4_merkle, op5_tokens, op6_packing, op7_minhash, op8_brown, op9_sharding, op10_mixing)}
 ORACLE: dict[str, str] = {}

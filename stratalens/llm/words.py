@@ -43,8 +43,8 @@ def steps(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words with A-Z lower-cased, in order, and the number of words in each row."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words with A-Z lower-cased, in order, the number of words in each row, and the words' last two bytes."""
     inside = ~_SEPARATES[data]
     breaks = np.zeros(len(data) + 1, dtype=bool)
     breaks[offsets] = True
@@ -52,7 +52,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     starts = np.flatnonzero(inside & ~before)
     kept = np.flatnonzero(inside)
     if not len(starts):
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets) - 1, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(len(offsets) - 1, dtype=np.int64), np.zeros(0, dtype=np.int64)
     firsts = np.searchsorted(kept, starts)
     lengths = np.diff(np.r_[firsts, len(kept)])
     place = np.arange(len(kept)) - np.repeat(firsts, lengths)
@@ -60,13 +60,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     if lengths.max() > PLACES:
         values = values * (2 * (place // PLACES) + 1).astype(np.uint64)
     hashes = mix(np.add.reduceat(values, firsts) + lengths.astype(np.uint64))
-    return hashes, np.diff(np.searchsorted(starts, offsets))
+    last = firsts + lengths - 1
+    lower = _LOWER[data[kept[last]]].astype(np.int64)
+    endings = lower + 256 * np.where(lengths > 1, _LOWER[data[kept[last - 1]]], 0).astype(np.int64)
+    return hashes, np.diff(np.searchsorted(starts, offsets)), endings
 
 
 def texts_to_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, hashes of all words, and word offsets of its rows, for each slice of a text column."""
     for row, data, offsets in steps(column):
-        hashes, counts = word_hashes(data, offsets)
+        hashes, counts, _ = word_hashes(data, offsets)
         yield row, hashes, np.r_[0, np.cumsum(counts)]
 
 
