@@ -20,7 +20,7 @@ BAND_VALUES = 5
 #: Linked if 100 * shared >= PERCENT * united shingles.
 PERCENT = 80
 #: Partners that share one copy of a hub's text, and documents of a block when a bucket is compared in full.
-HUB_PARTNERS = 500
+HUB_PARTNERS = 128
 BLOCK = 256
 
 _RNG = np.random.default_rng(11)
@@ -94,7 +94,7 @@ def _spokes(buckets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         F.lit(0).alias("role"),
     )
     roles = save_shared(partners.unionByName(whole), "near-roles")
-    texts = roles.join(docs.select("doc_id", "text"), "doc_id")
+    texts = roles.hint("merge").join(docs, "doc_id")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, sets = None, []
@@ -161,7 +161,7 @@ def _blocks(buckets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 {"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())}
             )
 
-    texts = keyed.join(docs.select("doc_id", "text"), "doc_id")
+    texts = keyed.hint("merge").join(docs, "doc_id")
     dealt = texts.repartition(*keys).sortWithinPartitions(*keys)
     return dealt.select(*keys, "own", "doc_id", "component", "text").mapInArrow(compare, "a long, b long")
 
@@ -200,6 +200,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
     buckets = save_shared(buckets.groupBy("n", "hub", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "hub"), "buckets")
     members = save_shared(bands.join(buckets, "bucket"), "members")
+    # The texts of all documents move once; from here on only those that share a bucket with another one do.
+    met = members.select("doc_id").distinct()
+    docs = save_shared(docs.select("doc_id", "text").join(met.hint("merge"), "doc_id", "left_semi"), "near-texts")
     links = save_shared(copies.unionByName(_spokes(members, docs, percent)), "near-links")
     found = save_shared(connected_components(links), "components")
     placed = members.join(found, members.doc_id == found.vertex, "left").select(
