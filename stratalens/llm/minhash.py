@@ -120,14 +120,27 @@ def _spokes(buckets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 def _blocks(buckets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Edges a, b between members of a bucket that are in different components, all pairs confirmed on full sets.
 
-    ``buckets``: bucket, doc_id, component. A bucket of more than ``BLOCK``
-    members is cut into blocks, and every pair of blocks is a task's work of
-    its own. Within a pair of blocks, a document is compared with those not
-    yet in its component, and only edges that join components come out.
+    ``buckets``: bucket, doc_id, component. Members of a bucket's largest
+    component need no comparison with each other, so it is cut into blocks of
+    ``BLOCK`` members, the rest into blocks of its own, and each block of the
+    rest meets every block: a piece of work is a pair of blocks (i of the rest,
+    j of either). Within it, a document is compared with those not yet in its
+    component, and only edges that join components come out.
     """
-    sizes = save_shared(buckets.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts")), "cuts")
-    cut = buckets.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    parts = buckets.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    shape = parts.groupBy("bucket").agg(
+        F.max(F.struct("n", "component")).alias("main"), F.ceil(F.max("n") / BLOCK).cast("int").alias("mains"),
+        F.ceil((F.sum("n") - F.max("n")) / BLOCK).cast("int").alias("rests"),
+    )
+    shape = save_shared(shape.select("bucket", F.col("main.component").alias("main"), "mains", "rests"), "bucket-shapes")
+    in_main = F.col("component") == F.col("main")
+    cut = buckets.join(shape, "bucket").withColumn(
+        "own", F.pmod(F.xxhash64("doc_id"), F.when(in_main, F.col("mains")).otherwise(F.col("rests"))).cast("int")
+    )
+    # Blocks are numbered: those of the rest from 0, those of the largest component after them.
+    cut = cut.withColumn("own", F.when(in_main, F.col("own") + F.col("rests")).otherwise(F.col("own")))
+    last = F.when(in_main, F.col("rests")).otherwise(F.col("rests") + F.col("mains")) - 1
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     keyed = save_shared(
         cut.select("doc_id", "component", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own"),
         "near-blocks",
