@@ -7,8 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from stratalens.llm.common import WORD, free_name
 from stratalens.llm.components import connected_components
 from stratalens.llm.words import grouped, mix, shingle_sets
 from stratalens.session import save_shared
@@ -235,3 +236,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         "doc_id", "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which one of each component of near-duplicates stays.
+
+    That is the row with the component's least doc_id; of rows that repeat
+    this id, the one with the least text. Rows without words or without id stay.
+    """
+    found = save_shared(near_duplicates(docs, percent), "near-duplicates")
+    repeats = found.where("kept AND n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    repeats = save_shared(repeats.where("doc_id IS NOT NULL").select("doc_id"), "repeated-ids")
+    left_out = found.where("NOT kept").select("doc_id").distinct().unionByName(repeats)
+    once = docs.join(left_out, "doc_id", "left_anti").select(*docs.columns)
+    rank = free_name(docs, "_rank")
+    first = Window.partitionBy("doc_id").orderBy("text")
+    wordy = docs.where(F.regexp_like("text", F.lit(WORD))).join(repeats, "doc_id", "left_semi")
+    wordless = docs.where(~F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False))).join(repeats, "doc_id", "left_semi")
+    chosen = wordy.withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1)
+    return once.unionByName(chosen.select(*docs.columns)).unionByName(wordless.select(*docs.columns))
