@@ -300,10 +300,8 @@ def bleu4(spark, sf_dir):
 
 @query
 def bleu4_matched(spark, sf_dir):
-    """Predictions and references from two tables: documents against a conversation's first question."""
-    made = views.captions(spark, sf_dir).select("sample_id", "generated")
-    asked = views.table(spark, sf_dir, "conversations").where("role = 'user'")
-    samples = asked.groupBy(F.col("conv_id").alias("sample_id")).agg(F.array(F.min_by("text", "turn")).alias("refs"))
+    """Predictions and references from two tables: an assistant's turn against the user's turn before it."""
+    made, samples = views.turns(spark, sf_dir)
     score = captions.bleu4(captions.match_references(made, samples), length_rule="shortest")
     return score.select(*[f"match_{n}" for n in (1, 2, 3, 4)], "pred_len", "ref_len", six("bleu4"))
 
@@ -443,8 +441,9 @@ def energy_log_round_trip(spark, sf_dir):
     path = shared_path(spark, "energy")
     log = views.energy_log(spark, sf_dir)
     fields = [field.strip().split(" ") for field in schemas.ENERGY_LOG.replace("\n", " ").split(",")]
+    # Stored in another order than the schema's: the reader goes by name.
     columns = [
-        F.col(name) if name in log.columns else F.lit(None).cast(kind).alias(name) for name, kind in fields
+        F.col(name) if name in log.columns else F.lit(None).cast(kind).alias(name) for name, kind in reversed(fields)
     ]
     log.select(*columns).write.option("header", True).csv(path)
     stored = tables.read_energy_log(spark, path)
@@ -503,19 +502,16 @@ def quality_gate(spark, sf_dir):
 
 @query
 def stream_latency(spark, sf_dir):
-    schema = views.table(spark, sf_dir, "events").schema
-    # As a pattern the path may be one file or a folder; a plain path must be a folder.
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
-    log = events.select(
-        F.col("event_type").alias("run_id"), F.col("ts").alias("started_at"), F.col("value").alias("latency_ms")
-    )
+    """The events arrive in six files in no order of time, one file per trigger."""
+    path, log = shared_path(spark, "arrivals"), views.inference_log(spark, sf_dir).drop("sample_id")
+    log.repartition(6, F.col("started_at")).write.parquet(path)
+    log = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
     found = drain(windowed_latency(log), ["run_id", "window_start"], "latency")
     return found.select(
         "run_id",
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
         "n_samples",
-        # Two-decimal latencies: the rounded sum is exact whatever the order of addition, and so is the mean.
-        (F.round("latency_sum", 4) / F.col("n_samples")).alias("mean_latency_ms"),
+        six("mean_latency_ms"),
     )
 
 
@@ -555,19 +551,19 @@ def token_ids(spark, sf_dir):
 
 @query
 def pad_fixed(spark, sf_dir):
-    padded = tokens.pad_fixed(views.token_ids(spark, sf_dir), max_len=128, pad_id=0)
+    padded = tokens.pad_fixed(views.token_ids(spark, sf_dir, first=128), max_len=128, pad_id=0)
     return padded.select("doc_id", id_text("input_ids"), id_text("attention_mask"))
 
 
 @query
 def train_labels(spark, sf_dir):
-    examples = tokens.train_labels(views.prompt_completion_ids(spark, sf_dir), max_len=512)
+    examples = tokens.train_labels(views.prompt_completion_ids(spark, sf_dir, 512), max_len=512)
     return examples.select("doc_id", id_text("input_ids"), id_text("attention_mask"), id_text("labels"))
 
 
 @query
 def collate_pad(spark, sf_dir):
-    examples = tokens.train_labels(views.prompt_completion_ids(spark, sf_dir), max_len=512)
+    examples = tokens.train_labels(views.prompt_completion_ids(spark, sf_dir, 512), max_len=512)
     docs = views.table(spark, sf_dir, "documents").select("doc_id")
     batches = rows.assign_batches(docs, ["doc_id"], 8).select("doc_id", "batch_id")
     padded = tokens.collate_pad(examples.join(batches, "doc_id"), pad_id=0)

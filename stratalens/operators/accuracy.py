@@ -6,13 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from stratalens.operators.joins import salted_join
 
-
-
-def match_predictions(predictions: DataFrame, items: DataFrame, runs: Sequence[str] = ("run_id",)) -> DataFrame:
-    """Predictions next to the truth of their item; an item may have any number of ``runs``."""
-    return salted_join(predictions, items.select("item_id", "truth"), "item_id", spread_by=runs)
+def match_predictions(predictions: DataFrame, items: DataFrame) -> DataFrame:
+    """Predictions next to the truth of their item; an item with very many of them is split by the adaptive skew join."""
+    return predictions.join(items.select("item_id", "truth"), "item_id")
 
 
 def choice_accuracy(matched: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -26,12 +23,11 @@ def choice_accuracy(matched: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def performance_curve(best: DataFrame, accuracy: DataFrame) -> DataFrame:
     """Accuracy by number of removed layers; the unpruned model is the point ``n = 0``.
 
-    A left join keeps that point, so the accuracies are computed once.
+    A left join keeps that point, and any scored model without a best block, with NULL blocks.
     """
     blocks = best.select("model", "n", "block_start", "block_end")
     return (
         accuracy.select("model", "n", "accuracy")
         .join(blocks, ["model", "n"], "left")
-        .where("n = 0 or block_start is not null")
         .select("model", "n", "block_start", "block_end", "accuracy")
     )

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from stratalens.functions import overlap
 from stratalens.functions.stem import porter
 from stratalens.functions.text import UNICODE_SEPARATORS, strip, token_text, tokens
-from stratalens.operators.joins import salted_join
 
 EMPTY_MARK = "(empty)"  # fixed value: shown for an empty caption
 
@@ -113,7 +112,7 @@ def _with_synonyms(captions: DataFrame, synonyms: DataFrame, separators: str) ->
     found = captions.select(
         "sample_id", F.explode(F.array_distinct(tokens(F.col("generated"), separators))).alias("word")
     )
-    found = salted_join(found, dictionary, "word", spread_by=["sample_id"])
+    found = found.join(dictionary, "word")
     entries = found.groupBy("sample_id").agg(F.collect_list(F.struct("word", "synonyms")).alias("entries"))
     return captions.join(entries, "sample_id", "left").withColumn(
         "entries", F.coalesce("entries", F.array().cast(_NO_ENTRIES))

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stratalens.functions.arrays import IGNORED_LABEL, masked_labels, ones, pad_right, truncate
 from stratalens.operators.rows import enumerate_rows
@@ -24,61 +21,30 @@ def vocabulary(occurrences: DataFrame) -> DataFrame:
     return enumerate_rows(counted, ["word"], name="id").withColumn("id", (F.col("id") + 1).cast("int"))
 
 
-HOT_SHARE = 1000
-SMALL_VOCABULARY = 64 << 20  # characters
+def word_ids(df: DataFrame, key: str, words: Column, wanted: dict[str, Column]) -> DataFrame:
+    """``key`` and, for each name in ``wanted``, the ids of its words in order.
 
+    The vocabulary is that of all ``words``; ``wanted`` are arrays of these
+    words, cut as the caller needs them, so nothing that is cut is looked up.
+    Words meet their ids in a join; a word with very many uses is split by the
+    adaptive skew join. ``key`` must be unique and not NULL.
+    """
+    vocab = vocabulary(df.select(F.explode(words).alias("word")))
+    listed = df.select(key, *[column.alias(f"_w{i}") for i, column in enumerate(wanted.values())])
+    numbers = range(len(wanted))
+    found = listed.select(key, F.explode_outer(F.concat(*[_entries(i) for i in numbers])).alias("_e")).select(key, "_e.*")
+    entry = F.when(F.col("id").isNotNull(), F.struct("part", "pos", "id"))
+    entries = found.join(vocab.select("word", "id"), "word", "left").groupBy(key)
+    ordered = entries.agg(F.array_sort(F.collect_list(entry)).alias("_ids"))
+    return ordered.select(key, *[_ids_of(i).alias(name) for i, name in enumerate(wanted)])
 
-def word_ids(df: DataFrame, key: str, words: Column, small: int = SMALL_VOCABULARY) -> DataFrame:
-    """``key`` and ``input_ids``: the ids of all words of a row, in order.
 
-    A vocabulary of up to ``small`` characters goes to every task and rows stay
-    where they are; a larger one meets the words in a join.
-    """
-    listed = df.select(key, words.alias("words"))
-    vocab = vocabulary(listed.select(F.explode("words").alias("word")))
-    uses, chars = vocab.agg(F.sum("uses"), F.sum(F.length("word"))).first()
-    if (chars or 0) <= small:
-        return _ids_by_lookup(listed, key, vocab)
-    return _ids_by_join(listed, key, vocab, uses)
-
-
-def _ids_by_lookup(listed: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
-    """Ids are positions in the sorted word list, so the list alone is sent."""
-    words = vocab.select("word", "id").toArrow().sort_by("id").column("word").combine_chunks()
-    sent = listed.sparkSession.sparkContext.broadcast(words)
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        for batch in batches:
-            lists = batch.column("words")
-            lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(lists.value_lengths().fill_null(0))], lists.flatten())
-            ids = pc.add(pc.index_in(lists.values, value_set=known), pa.scalar(1, pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(key), pa.ListArray.from_arrays(lists.offsets, ids)], names=[key, "input_ids"]
-            )
-
-    fields = [listed.schema[key], T.StructField("input_ids", T.ArrayType(T.IntegerType()))]
-    return listed.mapInArrow(look_up, T.StructType(fields))
-
-
-def _ids_by_join(listed: DataFrame, key: str, vocab: DataFrame, uses: int) -> DataFrame:
-    """A word with more than a 1/1000 share of all occurrences is hot; there are
-    fewer than 1000 of those, so they are broadcast, and only the other words
-    meet the vocabulary in a shuffle join, where none can fill a task.
-    """
-    found = listed.select(key, F.posexplode_outer("words").alias("pos", "word"))
-    is_hot = F.col("uses") * HOT_SHARE > uses
-    hot = F.broadcast(vocab.where(is_hot).select("word", "id"))
-    cold = vocab.where(~is_hot).select("word", F.col("id").alias("cold_id"))
-    marked = found.join(hot, "word", "left")
-    done = F.col("id").isNotNull() | F.col("word").isNull()
-    rest = marked.where(~done).select(key, "pos", "word").join(cold, "word")
-    entries = marked.where(done).select(key, "pos", "id").unionByName(
-        rest.select(key, "pos", F.col("cold_id").alias("id"))
-    )
-    entry = F.when(F.col("id").isNotNull(), F.struct("pos", "id"))
-    ordered = F.array_sort(F.collect_list(entry))
-    return entries.groupBy(key).agg(F.transform(ordered, lambda e: e["id"]).alias("input_ids"))
+def _entries(i: int) -> Column:
+    return F.transform(f"_w{i}", lambda w, at: F.struct(F.lit(i).alias("part"), at.alias("pos"), w.alias("word")))
+
+
+def _ids_of(i: int) -> Column:
+    return F.transform(F.filter("_ids", lambda e: e["part"] == i), lambda e: e["id"])
 
 
 def pad_fixed(df: DataFrame, max_len: int, pad_id: int) -> DataFrame:
@@ -104,10 +70,13 @@ def train_labels(df: DataFrame, max_len: int) -> DataFrame:
 
 
 def collate_pad(examples: DataFrame, pad_id: int) -> DataFrame:
-    """Pad every row to the longest of its batch (``batch_id``); a batch is small by construction."""
-    longest = F.max(F.size("input_ids")).over(Window.partitionBy("batch_id"))
+    """Pad every row to the longest of its batch (``batch_id``).
+
+    The longest is found on the narrow lengths; then each row is joined once.
+    """
+    longest = examples.groupBy("batch_id").agg(F.max(F.size("input_ids")).alias("_longest"))
     return (
-        examples.withColumn("_longest", longest)
+        examples.join(longest, "batch_id")
         .withColumn("input_ids", pad_right(F.col("input_ids"), F.col("_longest"), pad_id))
         .withColumn("attention_mask", pad_right(F.col("attention_mask"), F.col("_longest"), 0))
         .withColumn("labels", pad_right(F.col("labels"), F.col("_longest"), IGNORED_LABEL))

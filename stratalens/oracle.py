@@ -54,12 +54,11 @@ def letter_states() -> str:
 # --- items, answers, instructions ---------------------------------------------------------------
 
 ITEMS = """
-lines AS (SELECT l_orderkey k, l_linenumber ln, max({'p': l_extendedprice, 'q': l_partkey}) top
-          FROM lineitem GROUP BY 1, 2),
 items AS (SELECT o_orderkey item_id, concat('Which part of order ', o_orderkey, ' costs most?') question,
-            list(cast(top.q AS varchar) ORDER BY ln) choices,
-            cast(list_position(list(top.p ORDER BY ln), max(top.p)) - 1 AS int) answer
-          FROM orders JOIN lines ON o_orderkey = k GROUP BY o_orderkey)"""
+            list(cast(l_partkey AS varchar) ORDER BY l_linenumber, l_partkey, l_extendedprice) choices,
+            cast(list_position(list(l_extendedprice ORDER BY l_linenumber, l_partkey, l_extendedprice),
+              max(l_extendedprice)) - 1 AS int) answer
+          FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey)"""
 RESPONSES = """
 responses AS (SELECT event_type run_id, event_id item_id, concat('Question ', event_id, chr(10), CASE event_type
          WHEN 'view' THEN concat('Answer: ', chr(cast(65 + event_id % 4 AS int)))
@@ -73,7 +72,8 @@ parsed AS (SELECT *, unicode(nullif(substr({strip("split_part(list_extract(strin
            FROM responses)"""
 ANSWERS = (RESPONSES, PARSED)
 INSTRUCTIONS = """
-sys AS (SELECT conv_id, arg_min(text, turn) text FROM conversations WHERE role = 'system' GROUP BY conv_id),
+sys AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) text FROM conversations
+        WHERE role = 'system' GROUP BY conv_id),
 instructions AS (SELECT a.conv_id, a.turn, a.text instruction, coalesce(s.text, '') context, b.text response
   FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
   LEFT JOIN sys s ON s.conv_id = a.conv_id WHERE a.role = 'user' AND b.role = 'assistant')"""
@@ -97,6 +97,11 @@ def toks(sql: str) -> str:
     return f"list_filter(regexp_split_to_array(lower({sql}), '{TOKEN}'), lambda t: t <> '')"
 
 
+TURNS = """
+captions AS (SELECT {'c': a.conv_id, 't': a.turn} sample_id, a.text generated, [b.text, b.text] refs
+  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1
+  WHERE a.role = 'assistant' AND b.role = 'user')"""
+
 NGRAMS = f"""
 sides AS (SELECT sample_id, 0 src, {toks('generated')} w FROM captions
           UNION ALL SELECT sample_id, 1, {toks('refs[1]')} FROM captions
@@ -249,8 +254,7 @@ def oracle_queries() -> dict[str, str]:
         *LAYERED, BEST, *ANSWERS,
         """acc AS (SELECT cast(item_id % 25 AS int) n, avg(cast(coalesce(code - 65 = truth, false) AS int)) a
                    FROM parsed GROUP BY 1)""",
-        select="""SELECT 'm24' model, n, block_start, block_end, round(a, 6) accuracy FROM acc LEFT JOIN best USING (n)
-                  WHERE n = 0 OR block_start IS NOT NULL""",
+        select="""SELECT 'm24' model, n, block_start, block_end, round(a, 6) accuracy FROM acc LEFT JOIN best USING (n)""",
     )
     sql["accuracy_history"] = with_parts(
         *ANSWERS,
@@ -321,9 +325,7 @@ def oracle_queries() -> dict[str, str]:
                     round(CASE WHEN c > r THEN 1 ELSE exp(1 - r / c) END * exp(lp), 6) bleu4 FROM s, lens""",
     )
     sql["bleu4_matched"] = with_parts(
-        """captions AS (SELECT doc_id sample_id, array_to_string(list_reverse(string_split(text, chr(10))), chr(10)) generated,
-             [q, q] refs FROM documents JOIN
-             (SELECT conv_id doc_id, arg_min(text, turn) q FROM conversations WHERE role = 'user' GROUP BY 1) USING (doc_id))""",
+        TURNS,
         NGRAMS,
         f"s AS (SELECT {fields}, avg(CASE WHEN m > 0 THEN ln(m / t) END) lp, min(m) least FROM matched)",
         select="""SELECT match_1, match_2, match_3, match_4, cast(c AS bigint) pred_len, cast(r AS bigint) ref_len,
@@ -417,7 +419,7 @@ def oracle_queries() -> dict[str, str]:
            FROM events GROUP BY 1)"""
     sql["stream_latency"] = """
         SELECT event_type run_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') window_start, count(*) n_samples,
-          round(sum(value), 4) / count(*) mean_latency_ms FROM events GROUP BY 1, 2"""
+          round(sum(value) / count(*), 6) mean_latency_ms FROM events GROUP BY 1, 2"""
 
     sql["epoch_loss"] = with_parts(
         LOSSES,

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+SPREAD = "spark.stratalens.textPartitions"
+
+
 def build_session(app_name: str = "stratalens", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC, ANSI and AQE on; on a cluster leave ``master`` to spark-submit."""
     settings = {
@@ -26,14 +30,15 @@ def build_session(app_name: str = "stratalens", master: str | None = None, **con
     return builder.getOrCreate()
 
 
-_local_dirs: dict[str, str] = {}
+@lru_cache
+def _test_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="stratalens-")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+    """The folder named by ``spark.checkpoint.dir``, which every executor can reach.
 
-    Only a local-mode session without the setting gets a temporary folder; a
-    cluster must name one that every executor can reach.
+    Without the setting a cluster fails; a local-mode session, as in tests, gets one temporary folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -41,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return _local_dirs.setdefault(context.applicationId, tempfile.mkdtemp(prefix="stratalens-"))
+    return _test_dir(context.applicationId)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -62,12 +67,9 @@ def save_shared(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash rows over all slots when the scan has fewer splits than the cluster has slots.
+    """Hash rows over ``spark.stratalens.textPartitions`` partitions where that is set.
 
-    For costly per-row work on an input of few files; an input with enough
-    splits is left where it is, without a shuffle.
+    For costly work on an input of one file that Spark cannot split; else rows stay where the scan puts them.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * slots:
-        return df
-    return df.repartition(2 * slots, key)
+    partitions = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(partitions), key) if partitions else df

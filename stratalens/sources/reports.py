@@ -32,8 +32,14 @@ def parse_best_block(trailer: Column) -> Column:
     )
 
 
+def _decoded(value: Column) -> Column:
+    """Percent-encoding undone; a plus sign stays one."""
+    return F.coalesce(F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B"))), value)
+
+
 def _folder_value(path: Column, key: str) -> Column:
-    return F.nullif(F.regexp_extract(path, rf"/{key}=([^/]+)/", 1), F.lit(""))
+    """Value of a partition folder; the folder's own escapes are undone after those of the URL."""
+    return _decoded(_decoded(F.nullif(F.regexp_extract(path, rf"/{key}=([^/]+)/", 1), F.lit(""))))
 
 
 def read_distance_reports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -47,7 +53,7 @@ def read_distance_reports(spark: SparkSession, path: str) -> tuple[DataFrame, Da
     file = F.col("_metadata.file_path")
     lines = F.transform(F.split("value", "\n"), lambda line: F.rtrim(line))
     reports = text.select(
-        F.coalesce(_folder_value(file, "dataset"), F.regexp_extract(file, r"([^/]+)/[^/]+$", 1)).alias("dataset"),
+        F.coalesce(_folder_value(file, "dataset"), _decoded(F.regexp_extract(file, r"([^/]+)/[^/]+$", 1))).alias("dataset"),
         F.coalesce(_folder_value(file, "n").cast("int"), file_suffix_number(file)).alias("n"),
         lines.alias("lines"),
     ).select(

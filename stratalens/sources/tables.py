@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from stratalens import schemas
 from stratalens.operators.rows import first_n
@@ -56,13 +56,21 @@ def read_payloads(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def read_energy_log(spark: SparkSession, path: str) -> DataFrame:
-    """The energy log; an empty frame when the file does not exist."""
+    """The energy log, its columns found by name; an absent column is NULL, as is a value that cannot be read.
+
+    Files of a folder must agree in their headers. An empty frame when the file does not exist.
+    """
+    fields = T.StructType.fromDDL(schemas.ENERGY_LOG).fields
     try:
-        return spark.read.schema(schemas.ENERGY_LOG).option("header", True).csv(path)
+        stored = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schemas.ENERGY_LOG)
+    return stored.select(
+        *[(F.col(f"`{field.name}`") if field.name in stored.columns else F.lit(None)).try_cast(field.dataType).alias(field.name)
+          for field in fields]
+    )
 
 
 def energy_totals(log: DataFrame) -> DataFrame:

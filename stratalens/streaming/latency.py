@@ -7,10 +7,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from stratalens.session import shared_path
 
 
-def windowed_latency(log: DataFrame, window: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """Count, sum and mean of the latency per run and tumbling window; batch or stream."""
+def windowed_latency(log: DataFrame, window: str = "1 hour", delay: str | None = None) -> DataFrame:
+    """Count, sum and mean of the latency per run and tumbling window; batch or stream.
+
+    A stream keeps all windows, so rows count however late they come. Only with
+    ``delay`` are windows older than that closed, and rows that come later left out.
+    """
     timed = log.withColumn("started_at", F.col("started_at").cast("timestamp"))
-    if log.isStreaming:
+    if log.isStreaming and delay is not None:
         timed = timed.withWatermark("started_at", delay)
     return (
         timed.groupBy("run_id", F.window("started_at", window).alias("w"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratalens.functions.text import words
-from stratalens.operators.joins import salted_join
 from stratalens.operators.rows import enumerate_rows
 from stratalens.operators.tokens import word_ids
 from stratalens.session import spread
@@ -19,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents, on all slots."""
+    """Whole documents."""
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
@@ -45,16 +44,10 @@ def token_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One question per order: the options are its line numbers' dearest parts.
-
-    Lines are reduced to one per order and line number first, so an order with
-    very many lines stays a short list.
-    """
-    price = F.struct("l_extendedprice", "l_partkey")
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(price).alias("top"))
-    options = F.array_sort(F.collect_list(F.struct("l_linenumber", "top")))
-    listed = lines.groupBy("l_orderkey").agg(options.alias("options"))
-    prices = F.transform("options", lambda o: o["top"]["l_extendedprice"])
+    """One question per order: the options are the parts of all its lines, by line number, part and price."""
+    options = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_extendedprice")))
+    listed = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(options.alias("options"))
+    prices = F.transform("options", lambda o: o["l_extendedprice"])
     return (
         table(spark, sf_dir, "orders")
         .join(listed, F.col("o_orderkey") == F.col("l_orderkey"))
@@ -63,7 +56,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(
                 F.lit("Which part of order "), F.col("o_orderkey").cast("string"), F.lit(" costs most?")
             ).alias("question"),
-            F.transform("options", lambda o: o["top"]["l_partkey"].cast("string")).alias("choices"),
+            F.transform("options", lambda o: o["l_partkey"].cast("string")).alias("choices"),
             (F.array_position(prices, F.array_max(prices)) - 1).cast("int").alias("answer"),
         )
     )
@@ -107,22 +100,31 @@ def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns with the assistant's next turn; the system message is the context."""
+    """User turns with the assistant's next turn; the system messages, in order, are the context."""
     talk = table(spark, sf_dir, "conversations")
     asked = talk.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("instruction"))
     answered = talk.where("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response")
     )
-    system = (
-        talk.where("role = 'system'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("context"))
-    )
+    told = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    system = talk.where("role = 'system' AND text IS NOT NULL").groupBy("conv_id").agg(told.alias("told"))
+    system = system.select("conv_id", F.array_join(F.transform("told", lambda t: t["text"]), "\n").alias("context"))
     return (
-        salted_join(asked, system, "conv_id", spread_by=["turn"], how="left")
+        asked.join(system, "conv_id", "left")
         .join(answered, ["conv_id", "turn"])
         .select("conv_id", "turn", "instruction", F.coalesce("context", F.lit("")).alias("context"), "response")
     )
 
 
+def turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every answered user turn: the assistant's answer as a caption, and the turn before it as its reference."""
+    talk = table(spark, sf_dir, "conversations")
+    key = F.struct("conv_id", "turn").alias("sample_id")
+    made = talk.where("role = 'assistant'").select(key, F.col("text").alias("generated"))
+    asked = talk.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), "text")
+    return made, asked.select(key, F.array("text").alias("refs"))
+
+
 def inference_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("run_id"),
@@ -171,16 +173,19 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents as word ids."""
-    return word_ids(texts(spark, sf_dir), "doc_id", words(F.lower("text")))
+def token_ids(spark: SparkSession, sf_dir: str, first: int | None = None) -> DataFrame:
+    """Documents as word ids, whole or their ``first`` words; the vocabulary is that of the whole texts."""
+    listed = texts(spark, sf_dir).withColumn("words", words(F.lower("text")))
+    wanted = F.col("words") if first is None else F.slice("words", 1, first)
+    return word_ids(listed, "doc_id", F.col("words"), {"input_ids": wanted})
 
 
-def prompt_completion_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first half of a document's ids is the prompt, the rest the completion."""
-    half = F.floor(F.size("input_ids") / 2).cast("int")
-    return token_ids(spark, sf_dir).select(
-        "doc_id",
-        F.slice("input_ids", F.lit(1), half).alias("prompt_ids"),
-        F.slice("input_ids", half + 1, F.size("input_ids") - half).alias("completion_ids"),
-    )
+def prompt_completion_ids(spark: SparkSession, sf_dir: str, max_len: int) -> DataFrame:
+    """The first half of a document's words is the prompt, the rest the completion; ids of ``max_len`` words of each."""
+    listed = texts(spark, sf_dir).withColumn("words", words(F.lower("text")))
+    half = F.floor(F.size("words") / 2).cast("int")
+    sides = {
+        "prompt_ids": F.slice("words", F.lit(1), F.least(half, F.lit(max_len))),
+        "completion_ids": F.slice("words", half + 1, F.least(F.size("words") - half, F.lit(max_len))),
+    }
+    return word_ids(listed, "doc_id", F.col("words"), sides)

@@ -5,24 +5,18 @@ from stratalens.functions import choices, prompts
 from stratalens.functions.text import list_notation, strip
 from stratalens.operators import accuracy
 
-RESPONSES = [
-    "Question\nAnswer: A", "Answer:", "Answer: ", "no colon", "x: B: c", "  Answer:  C and more \n ", "Answer: D",
-    "Answer: b", "Answer: 2", "Answer: ?", "Answer: \U0001F600", "", "   ", "Answer: A\nlast line", "a\r\nAnswer: B",
-    "Answer: E　", "Answer: é", "Answer:A:B",
-]
+# Response and 1-based option; -1 where there is no answer.
+RESPONSES = {
+    "Question\nAnswer: A": 1, "Answer:": -1, "Answer: ": -1, "no colon": -1, "x: B: c": 2, "  Answer:  C and more \n ": 3,
+    "Answer: D": 4, "Answer: b": 34, "Answer: 2": -14, "Answer: ?": -1, "Answer: \U0001F600": 128448, "": -1, "   ": -1,
+    "Answer: A\nlast line": -1, "a\r\nAnswer: B": 2, "Answer: E\u3000": 5, "Answer: \u00e9": 169, "Answer:A:B": 1,
+}
 
 
-def python_rule(response):
-    try:
-        return ord(response.strip().split("\n")[-1].split(":")[1].strip()[0]) - 64
-    except IndexError:
-        return -1
-
-
-def test_parsing_equals_the_python_rule(spark):
+def test_parsing(spark):
     df = spark.createDataFrame([(r,) for r in RESPONSES], "response string")
     parsed = choices.parsed_or_mark(choices.parse_choice(F.col("response"), index_base=1))
-    assert [r[0] for r in df.select(parsed).collect()] == [python_rule(r) for r in RESPONSES]
+    assert [r[0] for r in df.select(parsed).collect()] == list(RESPONSES.values())
 
 
 def test_bases_and_marks(spark):
@@ -47,22 +41,35 @@ def test_list_notation_equals_python(spark):
     assert [r[0] for r in df.select(list_notation(F.col("x"))).collect()] == [str(x) for x in lists]
 
 
-@pytest.mark.parametrize("n", [1, 4, 13])
-def test_prompts(spark, n):
-    options = [f"o'{i}" if i % 2 else f"o{i}" for i in range(n)]
+def test_prompts(spark):
+    options = ["red", "it's", 'a "b"']
     df = spark.createDataFrame(
-        [("Why?", options, ([*options], [0] * (n - 1) + [1]))],
+        [("Why?", options, (options, [0, 0, 1]))],
         "question string, choices array<string>, mc1_targets struct<choices: array<string>, labels: array<int>>",
     )
-    lettered = "\n".join(f"{chr(65 + i)}. {o}" for i, o in enumerate(options))
-    numbered = "\n".join(f"{i + 1}. {o}" for i, o in enumerate(options))
-    head = "Choose the correct answer from the options below.\n"
-    assert prompts.format_items(df, "mmlu").first().prompt == f"{head}Question: Why?\n{lettered}\nAnswer:"
+    lettered = """Question: Why?
+A. red
+B. it's
+C. a "b"
+Answer:"""
+    headed = "Choose the correct answer from the options below.\n" + lettered
+    assert prompts.format_items(df, "mmlu").first().prompt == headed
     bare = df.select(prompts.mmlu_prompt(F.col("question"), F.col("choices"), header=False)).first()[0]
-    assert bare == f"Question: Why?\n{lettered}\nAnswer:"
-    assert prompts.format_items(df, "truthfulqa").first().prompt == f"Question: Why?\n{numbered}\nAnswer:"
+    assert bare == lettered
+    assert prompts.format_items(df, "truthfulqa").first().prompt == """Question: Why?
+1. red
+2. it's
+3. a "b"
+Answer:"""
     ctx = df.withColumnsRenamed({"question": "ctx", "choices": "endings"})
-    assert prompts.format_items(ctx, "hellaswag").first().prompt == f"Sentence: Why?\nOptions: {options}\nAnswer:"
+    assert prompts.format_items(ctx, "hellaswag").first().prompt == """Sentence: Why?
+Options: ['red', "it's", 'a "b"']
+Answer:"""
+
+
+def test_thirteen_options_are_marked(spark):
+    df = spark.createDataFrame([("Q", [str(i) for i in range(13)])], "question string, choices array<string>")
+    assert prompts.format_items(df, "mmlu").first().prompt.endswith("L. 11\nM. 12\nAnswer:")
 
 
 def test_instruction_context_line_only_when_not_blank(spark):
@@ -101,12 +108,12 @@ def test_accuracy_and_curve(spark):
         "model string, n int, item_id long, predicted int",
     )
     items = spark.createDataFrame([(1, 1), (2, 0)], "item_id long, truth int")
-    scored = accuracy.choice_accuracy(accuracy.match_predictions(pred, items, ["model", "n"]), ["model", "n"])
+    scored = accuracy.choice_accuracy(accuracy.match_predictions(pred, items), ["model", "n"])
     assert {r.n: (r.correct, r.total, r.accuracy) for r in scored.collect()} == {
         0: (2, 2, 1.0), 1: (1, 2, 0.5), 9: (0, 1, 0.0),
     }
     best = spark.createDataFrame([("m", 1, 3, 4)], "model string, n int, block_start int, block_end int")
     curve = accuracy.performance_curve(best, scored)
-    assert {(r.n, r.block_start, r.accuracy) for r in curve.collect()} == {(0, None, 1.0), (1, 3, 0.5)}
-    empty = accuracy.choice_accuracy(accuracy.match_predictions(pred.where("false"), items, ["model", "n"])).first()
+    assert {(r.n, r.block_start, r.accuracy) for r in curve.collect()} == {(0, None, 1.0), (1, 3, 0.5), (9, None, 0.0)}
+    empty = accuracy.choice_accuracy(accuracy.match_predictions(pred.where("false"), items)).first()
     assert (empty.total, empty.accuracy) == (0, None)

@@ -11,16 +11,16 @@ def ids_by_loop(texts):
     return [[vocabulary[w] for w in t.split()] for t in texts]
 
 
-def test_both_paths_give_the_ids_of_the_loop(spark):
+def test_ids_are_those_of_the_loop_whole_and_cut(spark):
     rng = random.Random(8)
     texts = [" ".join("the" if rng.random() < 0.5 else f"w{rng.randrange(300)}" for _ in range(rng.randrange(60))) for _ in range(400)]
     texts[3] = ""
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
     words = F.filter(F.split("text", " "), lambda w: w != "")
     expected = dict(enumerate(ids_by_loop(texts)))
-    for small in (1 << 20, 0):
-        found = tokens.word_ids(df, "doc_id", words, small=small)
-        assert {r.doc_id: r.input_ids for r in found.collect()} == expected
+    found = tokens.word_ids(df, "doc_id", words, {"input_ids": words, "cut": F.slice(words, 2, 5)}).collect()
+    assert {r.doc_id: r.input_ids for r in found} == expected
+    assert {r.doc_id: r.cut for r in found} == {k: ids[1:6] for k, ids in expected.items()}
 
 
 def test_tokenise_takes_any_column_function(spark):
