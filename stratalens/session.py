@@ -62,7 +62,7 @@ def save_shared(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # intermediate tables are written and read once or twice
     return spark.read.schema(df.schema).parquet(path)
 
 
