@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratalens.llm import brown, embeddings, langid, merkle, minhash, mixing, packing, sharding, token_files, warc
 from stratalens.llm.common import table
+from stratalens.llm.sql import ORACLE  # noqa: F401, read with QUERIES
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +65,3 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_langid, op2_embeddings, op3_warc, op4_merkle, op5_tokens, op6_packing, op7_minhash, op8_brown, op9_sharding, op10_mixing)}
-ORACLE: dict[str, str] = {}
