@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stratalens import schemas, views
 from stratalens.functions import choices, prompts, text
+from stratalens.functions.vectors import angular_distance
 from stratalens.inference import generate, hidden_states
 from stratalens.operators import accuracy, blocks, captions, losses, payloads, rows, runs, telemetry, tokens
 from stratalens.plans import pruning
@@ -133,6 +134,27 @@ def model_block_distance(spark, sf_dir):
     return found.select("n", "block_start", six("average_distance"))
 
 
+@query
+def pair_layers(spark, sf_dir):
+    """Block distances from single pairs of layers, by the column form of the distance."""
+    states = blocks.drop_embedding_state(views.hidden_states(spark, sf_dir))
+    pairs = blocks.pair_layers(states, 5).withColumn("d", angular_distance(F.col("low_v"), F.col("high_v")))
+    return pairs.groupBy((F.col("low_layer") + 1).alias("block_start")).agg(F.round(F.avg("d"), 6).alias("average_distance"))
+
+
+@query
+def report_names(spark, sf_dir):
+    name = F.replace("p_name", F.lit(" "), F.lit("_"))
+    ending = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("_"), F.col("p_size").cast("string"))).otherwise("")
+    path = F.concat(F.lit("reports/"), name, ending, F.lit(".csv"))
+    return views.table(spark, sf_dir, "part").select(
+        "p_partkey",
+        reports.file_suffix_number(path).alias("n"),
+        reports.report_label(path, "none").alias("label"),
+        F.when(F.col("p_size") == 2, reports.report_label(F.lit("a/distances.csv"), "distances")).alias("base_label"),
+    )
+
+
 @query
 def report_round_trip(spark, sf_dir):
     path = shared_path(spark, "reports")
@@ -152,6 +174,16 @@ def prune_keep_layers(spark, sf_dir):
     return pruning.kept_layers(best(spark, sf_dir), views.N_LAYERS, list(pruning.KEEP_RULES)).select("rule", "n", "layer")
 
 
+@query
+def apply_plans(spark, sf_dir):
+    """The best blocks against the stored layers of their model."""
+    layers = blocks.drop_embedding_state(views.hidden_states(spark, sf_dir)).select(
+        F.lit(views.MODEL).alias("model"), "layer"
+    )
+    kept = pruning.apply_plans(best(spark, sf_dir), layers.distinct(), "left_open")
+    return kept.select("model", "n", "layer")
+
+
 @query
 def prune_plan_slices(spark, sf_dir):
     path = shared_path(spark, "plans")
@@ -218,6 +250,25 @@ def prompt_hellaswag(spark, sf_dir):
     return prompts.format_items(items, "hellaswag").select("item_id", "prompt")
 
 
+@query
+def prompt_hellaswag_texts(spark, sf_dir):
+    """Endings with quotes, backslashes and line ends: whole documents, and what stands around their quotes."""
+    text = F.col("text")
+    marked = F.concat(F.replace(text, F.lit("e"), F.lit("'")), F.lit("\\"), F.replace(F.left(text, F.lit(9)), F.lit("n"), F.lit('"')))
+    items = views.texts(spark, sf_dir).select(
+        F.col("doc_id").alias("item_id"), F.lit("Go on").alias("ctx"), F.array(text, marked, F.lit("it's")).alias("endings")
+    )
+    return prompts.format_items(items, "hellaswag").select("item_id", "prompt")
+
+
+@query
+def truth_hellaswag(spark, sf_dir):
+    lines = views.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("item_id"), F.col("l_linenumber").cast("string").alias("label")
+    )
+    return lines.select("item_id", choices.ground_truth("hellaswag").alias("truth"))
+
+
 def truthful_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = F.transform("choices", lambda c, i: (i == F.col("answer")).cast("int"))
     targets = F.struct(F.col("choices"), labels.alias("labels"))
@@ -306,6 +357,58 @@ def bleu4_matched(spark, sf_dir):
     return score.select(*[f"match_{n}" for n in (1, 2, 3, 4)], "pred_len", "ref_len", six("bleu4"))
 
 
+@query
+def rouge_l_turns(spark, sf_dir):
+    made, asked = views.turns(spark, sf_dir)
+    scores = captions.rouge_l_scores(captions.match_references(made, asked))
+    return scores.select("sample_id.conv_id", "sample_id.turn", six("rouge_l"))
+
+
+def turn_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three scores of both runs over the assistant's turns, one row per run and metric."""
+    made = views.turn_captions(spark, sf_dir)
+    bleu = captions.bleu4(made, keys=("run_id",)).select("run_id", F.lit("bleu4").alias("metric"), F.col("bleu4").alias("value"))
+    rouge = captions.mean_score(captions.rouge_l_scores(made), "rouge_l", ("run_id",))
+    meteor = captions.mean_score(captions.meteor_scores(made, stemming=False), "meteor", ("run_id",))
+    return bleu.unionByName(rouge.select("run_id", F.lit("rougeL").alias("metric"), F.col("rouge_l").alias("value"))).unionByName(
+        meteor.select("run_id", F.lit("meteor").alias("metric"), F.col("meteor").alias("value"))
+    )
+
+
+@query
+def caption_scores(spark, sf_dir):
+    return turn_metrics(spark, sf_dir).select("run_id", "metric", six("value"))
+
+
+@query
+def caption_quality_gate(spark, sf_dir):
+    """The run that stops half way against the one that does not."""
+    found = turn_metrics(spark, sf_dir)
+    passed = runs.quality_gate(found.where("run_id = 'base'"), found.where("run_id = 'pruned'"))
+    return passed.select("metric", six("baseline"), six("candidate"), six("ratio"), six("target"), "passed")
+
+
+@query
+def caption_run_record(spark, sf_dir):
+    """Both runs as stored records with all twelve rounded numbers; lengths stand for what a machine would measure."""
+    path = shared_path(spark, "caption-runs")
+    names = [name for names in runs.SECTIONS.values() for name in names]
+    scores = turn_metrics(spark, sf_dir).groupBy("run_id").pivot("metric", runs.SECTIONS["quality"]).agg(F.first("value"))
+    size = F.length("generated").cast("double")
+    sizes = views.turn_captions(spark, sf_dir).groupBy("run_id").agg(
+        F.count("*").alias("n_samples"), (F.sum(size) / 7).alias("total_time_s"),
+        (F.count("*") * 7 / F.sum(size)).alias("throughput_samples_per_s"), F.avg(size).alias("mean_latency_ms"),
+        F.stddev_pop(size).alias("std_latency_ms"), (F.sum(size) / 3e6).alias("energy_kwh"), (F.sum(size) / 7e6).alias("co2_kg"),
+        (F.max(size) / 3).alias("peak_vram_mib"), (F.max(size) / 0.7).alias("total_vram_mib"),
+    )
+    texts = {"model_id": views.MODEL, "dtype": "float32", "dataset": DATASET, "prompt": "Say it again.", "device": "cpu", "gpu_name": "none"}
+    flat = scores.join(sizes, "run_id").select(
+        "run_id", "n_samples", F.lit(3.14159).alias("n_params_B"), *names, *[F.lit(text).alias(name) for name, text in texts.items()]
+    )
+    tables.write_run_results(runs.run_results(flat, "scores over turns", "from lengths"), path)
+    return runs.flatten_results(tables.read_run_results(spark, path), ["run_id", "model_id", "n_samples", "n_params_B"])
+
+
 @query
 def rouge_l(spark, sf_dir):
     scores = captions.rouge_l_scores(views.captions(spark, sf_dir))
@@ -342,7 +445,7 @@ def caption_round_trip(spark, sf_dir):
     path = shared_path(spark, "captions")
     records = shown_captions(spark, sf_dir).select(
         F.lit(views.MODEL).alias("model_id"),
-        F.lit("Describe this image in one sentence.").alias("prompt"),
+        F.lit("Name what you see.").alias("prompt"),
         "sample_idx",
         "coco_id",
         F.format_string("http://images.example.com/%d.jpg", "coco_id").alias("url"),
@@ -373,6 +476,24 @@ def output_flags(spark, sf_dir):
     )
 
 
+@query
+def normalised_refs(spark, sf_dir):
+    """Every third document has no list of references, only its caption."""
+    listed = F.when(F.col("doc_id") % 3 != 0, F.array(F.col("text"), F.lower("text")))
+    refs = captions.normalise_refs(listed, F.col("text"))
+    return views.texts(spark, sf_dir).select("doc_id", F.array_join(refs, "\n---\n").alias("refs"))
+
+
+@query
+def payload_files(spark, sf_dir):
+    """One landed file for each nation, read as bytes."""
+    path = shared_path(spark, "landed")
+    nations = views.table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("value"))
+    nations.repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    found = tables.read_payloads(spark, path, glob="*.txt")
+    return found.select("length", F.rtrim(F.decode("payload", "utf-8"), F.lit("\n")).alias("content"))
+
+
 @query
 def payload_present(spark, sf_dir):
     pages = views.payloads(spark, sf_dir)
@@ -436,6 +557,12 @@ def energy_per_sample(spark, sf_dir):
     return found.select("project_name", "n_samples", six("wh_per_sample"), six("co2_mg_per_sample"))
 
 
+@query
+def energy_totals(spark, sf_dir):
+    found = tables.energy_totals(views.energy_log(spark, sf_dir))
+    return found.select(six("energy_kwh"), six("co2_kg"))
+
+
 @query
 def energy_log_round_trip(spark, sf_dir):
     path = shared_path(spark, "energy")
@@ -469,10 +596,10 @@ def run_result_record(spark, sf_dir):
             F.col("stamp").alias("run_id"),
             F.col("run_id").alias("model_id"),
             F.lit("bfloat16").alias("dtype"),
-            F.lit(7.9411).alias("n_params_B"),
+            F.lit(2.71828).alias("n_params_B"),
             F.lit(DATASET).alias("dataset"),
             "n_samples",
-            F.lit("Describe this image in one sentence.").alias("prompt"),
+            F.lit("Name what you see.").alias("prompt"),
             *[F.lit(None).cast("double").alias(name) for name in runs.SECTIONS["quality"]],
             "total_time_s",
             F.col("samples_per_s").alias("throughput_samples_per_s"),
@@ -486,7 +613,7 @@ def run_result_record(spark, sf_dir):
             F.lit("N/A").alias("gpu_name"),
         )
     )
-    tables.write_run_results(runs.run_results(flat), path)
+    tables.write_run_results(runs.run_results(flat, "not scored", "largest reading of the log"), path)
     return runs.flatten_results(tables.read_run_results(spark, path), ["run_id", "model_id", "n_samples", "n_params_B"])
 
 
@@ -520,10 +647,10 @@ def stream_latency(spark, sf_dir):
 
 @query
 def epoch_loss(spark, sf_dir):
-    found = losses.epoch_loss(views.losses(spark, sf_dir))
-    valid = F.round(F.col("loss_sum") / F.nullif("valid_batches", F.lit(0)), 6)
-    return found.select(
-        "run_id", "epoch", "batches", six("average_loss"), "valid_batches", valid.alias("valid_loss")
+    log = views.losses(spark, sf_dir)
+    valid = losses.epoch_loss(log, skip_nan=True).select("run_id", "epoch", F.round("average_loss", 6).alias("valid_loss"))
+    return losses.epoch_loss(log).join(valid, ["run_id", "epoch"]).select(
+        "run_id", "epoch", "batches", six("average_loss"), "valid_batches", "valid_loss"
     )
 
 

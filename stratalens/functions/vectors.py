@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 COSINE_FLOOR = 1e-8  # fixed value: smallest product of norms
@@ -42,6 +43,64 @@ def stacked_layers(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return cube.reshape(n_samples, n_layers, dim), present.reshape(n_samples, n_layers)
 
 
+def _starts(columns: list[pa.ChunkedArray], rows: int) -> np.ndarray:
+    """Where a new combination of keys begins in sorted columns."""
+    new = np.zeros(rows, dtype=bool)
+    new[:1] = True
+    for column in columns:
+        own, before = column.slice(1), column.slice(0, max(rows - 1, 0))
+        differs = pc.or_kleene(pc.not_equal(own, before), pc.xor(pc.is_null(own), pc.is_null(before)))
+        new[1:] |= pc.fill_null(differs, False).to_numpy()
+    return np.flatnonzero(new)
+
+
+def pack_kernel(n_layers: int):
+    """A mapInArrow function over rows sorted by sample and layer: one row per sample with all its states."""
+
+    def packed(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        sample = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, rows.num_rows]))
+        layer = rows.column("layer").to_numpy()
+        used = np.flatnonzero((layer >= 0) & (layer < n_layers))[::-1]  # of repeated layers the first one stays
+        at = np.full(len(starts) * n_layers, -1, dtype=np.int64)
+        at[sample[used] * n_layers + layer[used]] = used
+        states = rows.column("v").combine_chunks().take(pa.array(at, mask=at < 0))
+        offsets = np.arange(len(starts) + 1, dtype=np.int32) * n_layers
+        samples = rows.column("sample_id").take(pa.array(starts)).combine_chunks()
+        return pa.RecordBatch.from_arrays([samples, pa.ListArray.from_arrays(offsets, states)], names=["sample_id", "layers"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            starts = _starts([rows.column("sample_id")], rows.num_rows)
+            last = int(starts[-1])  # the last sample may go on in the next batch
+            if last:
+                yield packed(rows.slice(0, last), starts[:-1])
+            held = rows.slice(last)
+        if held is not None:
+            yield packed(held, np.zeros(1, dtype=np.int64))
+
+    return pack
+
+
+def last_positions_kernel(keys: list[str]):
+    """A mapInArrow function: of each key in a batch the row with the highest ``pos``; NULL only without any."""
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                order = pc.sort_indices(table.drop(["v"]), [*((key, "ascending") for key in keys), ("pos", "descending")])
+                narrow = table.select(keys).take(order)
+                first = order.take(pa.array(_starts(narrow.columns, table.num_rows)))
+                yield batch.take(first)
+
+    return last
+
+
 def pair_totals_kernel(n: int | None, group: str | None, slice_rows: int = 64):
     """A mapInArrow function: distances of every layer pair, summed per batch.
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from stratalens.functions.vectors import pair_totals_kernel
+from stratalens.functions.vectors import last_positions_kernel, pack_kernel, pair_totals_kernel
 
 
 def drop_embedding_state(states: DataFrame) -> DataFrame:
@@ -17,11 +17,14 @@ def drop_embedding_state(states: DataFrame) -> DataFrame:
 def last_token_state(states: DataFrame, keys: Sequence[str] = ("sample_id", "layer")) -> DataFrame:
     """State at the highest position with mask 1; fails for a sample without one.
 
-    Partial aggregation keeps one state per key and task, so a sample with very
-    many positions is reduced before the shuffle.
+    Each Arrow batch is reduced to one state per key before anything is sorted
+    or shuffled, so a sample with very many positions stays small; only what is
+    left is aggregated.
     """
-    pos = F.when(F.col("mask") == 1, F.col("pos"))
-    picked = states.groupBy(*keys).agg(F.max(pos).alias("pos"), F.max_by("v", pos).alias("v"))
+    pos = F.when(F.col("mask") == 1, F.col("pos")).cast("int")
+    marked = states.select(*keys, pos.alias("pos"), "v")
+    last = marked.mapInArrow(last_positions_kernel(list(keys)), marked.schema)
+    picked = last.groupBy(*keys).agg(F.max("pos").alias("pos"), F.max_by("v", "pos").alias("v"))
     return picked.withColumn(
         "pos",
         F.when(F.col("pos").isNotNull(), F.col("pos")).otherwise(
@@ -36,15 +39,16 @@ def samples_without_token(states: DataFrame) -> DataFrame:
 
 
 def pack_layers(states: DataFrame, n_layers: int) -> DataFrame:
-    """One row per sample with ``layers``, an array of ``n_layers`` states.
+    """One row per sample with ``layers``, an array of ``n_layers`` states; a missing one is NULL.
 
-    One aggregate per layer instead of a collected list: the group never holds
-    more than ``n_layers`` vectors, and tasks combine before the shuffle.
+    There is one row per sample and layer, so nothing can be merged before the
+    shuffle: the vectors move once, are sorted once, and a kernel puts the
+    sorted stream together.
     """
-    per_layer = [
-        F.first(F.when(F.col("layer") == layer, F.col("v")), ignorenulls=True) for layer in range(n_layers)
-    ]
-    return states.groupBy("sample_id").agg(F.array(*per_layer).alias("layers"))
+    layers = T.StructField("layers", T.ArrayType(states.schema["v"].dataType))
+    ordered = states.select("sample_id", F.col("layer").cast("int").alias("layer"), "v").repartition("sample_id")
+    ordered = ordered.sortWithinPartitions("sample_id", "layer")
+    return ordered.mapInArrow(pack_kernel(n_layers), T.StructType([states.schema["sample_id"], layers]))
 
 
 def pair_layers(states: DataFrame, n: int) -> DataFrame:

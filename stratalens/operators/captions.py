@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stratalens.functions import overlap
 from stratalens.functions.stem import porter
-from stratalens.functions.text import UNICODE_SEPARATORS, strip, token_text, tokens
+from stratalens.functions.text import UNICODE_SEPARATORS, clean_generated, strip, token_text, tokens
 
 EMPTY_MARK = "(empty)"  # fixed value: shown for an empty caption
 
@@ -145,7 +145,7 @@ def mean_score(scores: DataFrame, name: str, keys: tuple[str, ...] = ()) -> Data
 
 def comparison_rows(captions: DataFrame) -> DataFrame:
     """What an inspection report shows per sample (``sample_idx``, ``coco_id``, captions)."""
-    generated = strip(F.col("generated"))
+    generated = clean_generated(F.col("generated"))
     return captions.select(
         "sample_idx",
         "coco_id",

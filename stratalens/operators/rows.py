@@ -11,7 +11,7 @@ from stratalens.session import save_shared
 
 
 def first_n(df: DataFrame, order: Sequence[str], n: int, strict: bool = False) -> DataFrame:
-    """The first ``n`` rows by ``order``; ``strict`` fails when the table is shorter."""
+    """The first ``n`` rows by ``order`` (few: one task holds them); ``strict`` fails when the table is shorter."""
     if strict and df.select(*order).limit(n).count() < n:
         raise ValueError(f"fewer than {n} rows")
     return df.orderBy(*order).limit(n)
@@ -63,7 +63,7 @@ def assign_batches(
     """``keys`` with ``row_idx`` and ``batch_id``; ``full_only`` drops a short last batch."""
     numbered = enumerate_rows(keys, order)
     if full_only:
-        total = keys.count()
+        total = numbered.count()  # of the stored table, not of the input again
         numbered = numbered.where(F.col("row_idx") < total - total % batch_size)
     return numbered.withColumn("batch_id", F.floor(F.col("row_idx") / batch_size))
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Decimals of the stored metrics, the quality description and the energy note.
+# Decimals of the stored metrics.
 DECIMALS = {
     "bleu4": 4,
     "rougeL": 4,
@@ -21,11 +21,6 @@ DECIMALS = {
     "total_vram_mib": 1,
     "n_params_B": 3,
 }
-QUALITY_TEXT = (
-    "bleu4: corpus BLEU-4 | rougeL: longest common subsequence F1 | "
-    "meteor: unigram F1 with stemming and synonym matching"
-)
-ENERGY_TEXT = "Measured by CodeCarbon over the full inference loop"
 
 # The sections of a run record and their numeric fields.
 SECTIONS = {
@@ -46,17 +41,20 @@ def round_metric(name: str) -> Column:
     return F.round(F.col(name).cast("double"), DECIMALS[name])
 
 
-def run_results(flat: DataFrame) -> DataFrame:
-    """Nested run records from one flat row per run with all fields."""
+def run_results(flat: DataFrame, description: str, note: str) -> DataFrame:
+    """Nested run records from one flat row per run with all fields.
+
+    ``description`` says what the quality scores are, ``note`` how the energy was measured.
+    """
     def section(name: str, *extra: Column) -> Column:
         return F.struct(*[round_metric(field).alias(field) for field in SECTIONS[name]], *extra).alias(name)
 
     identity = [round_metric(c).alias(c) if c in DECIMALS else F.col(c) for c in IDENTITY]
     return flat.select(
         *identity,
-        section("quality", F.lit(QUALITY_TEXT).alias("description")),
+        section("quality", F.lit(description).alias("description")),
         section("speed"),
-        section("energy", F.lit(ENERGY_TEXT).alias("note")),
+        section("energy", F.lit(note).alias("note")),
         section("hardware", F.col("device"), F.col("gpu_name")),
     )
 

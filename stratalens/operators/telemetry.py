@@ -51,10 +51,17 @@ def peak_memory(log: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
 
 
 def last_energy_row(log: DataFrame, order: Sequence[str] = ("timestamp",), keys: Sequence[str] = ("project_name",)) -> DataFrame:
-    """Latest row of each project."""
+    """Latest row of each project, by the first column of ``order`` and on ties by the others.
+
+    The latest time of each key comes from a hash aggregate of two narrow
+    columns; only the rows that have it are compared as a whole.
+    """
     rest = [name for name in log.columns if name not in keys]
+    times = log.groupBy(*[F.col(key).alias(f"_k{i}") for i, key in enumerate(keys)]).agg(F.max(order[0]).alias("_latest"))
+    same = [F.col(key).eqNullSafe(F.col(f"_k{i}")) for i, key in enumerate(keys)]
+    few = log.join(times, [*same, F.col(order[0]).eqNullSafe(F.col("_latest"))], "left_semi")
     latest = F.max_by(F.struct(*rest), F.struct(*order))
-    return log.groupBy(*keys).agg(latest.alias("last")).select(*keys, "last.*")
+    return few.groupBy(*keys).agg(latest.alias("last")).select(*keys, "last.*")
 
 
 def energy_per_sample(energy: DataFrame) -> DataFrame:

@@ -4,16 +4,30 @@ from __future__ import annotations
 
 import textwrap
 
-from stratalens.functions.text import BLANKS, SUFFIX_HEADINGS
-
 N_LAYERS = 24
 TOKEN = r"[^\p{L}\p{N}]+"
-BLANK_SQL = "concat(" + ", ".join(f"chr({ord(c)})" for c in BLANKS) + ")"
+# The code points that count as blank, and the headings of an unwanted suffix.
+BLANKS = (
+    9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200, 8201, 8202,
+    8232, 8233, 8239, 8287, 12288,
+)
+HEADINGS = "keywords|tags|title|description|categories|question|answer"
+BLANK_SQL = "concat(" + ", ".join(f"chr({c})" for c in BLANKS) + ")"
 
 
-def with_parts(*parts: str, select: str) -> str:
+def with_parts(*parts: str, select: str, recursive: bool = False) -> str:
     body = ",\n".join(textwrap.dedent(part).strip() for part in parts)
-    return f"WITH {body}\n{textwrap.dedent(select).strip()}"
+    return f"WITH {'RECURSIVE ' * recursive}{body}\n{textwrap.dedent(select).strip()}"
+
+
+def quoted(sql: str) -> str:
+    """A text in the notation of a list: double quotes only around a text with single and no double ones."""
+    body = f"replace({sql}, chr(92), chr(92) || chr(92))"
+    for code, letter in ((10, "n"), (13, "r"), (9, "t")):
+        body = f"replace({body}, chr({code}), chr(92) || '{letter}')"
+    single, double = f"contains({sql}, chr(39))", f"contains({sql}, chr(34))"
+    return f"""CASE WHEN {single} AND NOT {double} THEN concat(chr(34), {body}, chr(34))
+              ELSE concat(chr(39), replace({body}, chr(39), chr(92) || chr(39)), chr(39)) END"""
 
 
 def strip(sql: str) -> str:
@@ -127,6 +141,48 @@ found AS (SELECT sample_id, count(*) m, sum(CASE WHEN a = pa + 1 AND b = pb + 1
 sizes AS (SELECT sample_id, max(CASE WHEN src = 0 THEN len(w) END) p, max(CASE WHEN src = 1 THEN len(w) END) r
           FROM toks GROUP BY 1)"""
 
+TURN_CAPTIONS = r"""
+said AS (SELECT {'c': conv_id, 't': turn} sample_id, text, regexp_replace(text, '^\s*\S+\s+\S+\s*', '') ref
+         FROM conversations WHERE role = 'assistant'),
+captions AS (SELECT 'base' run_id, sample_id, text generated, ref FROM said
+             UNION ALL SELECT 'pruned', sample_id, substr(text, 1, length(text) // 2), ref FROM said)"""
+
+
+def lcs(source: str, keys: str, predicted: str, reference: str) -> str:
+    """The dynamic program, one row of it per token of the prediction."""
+    return f"""
+pairs_ AS (SELECT {keys}, {predicted} p, {reference} r FROM {source}),
+rows_ AS (SELECT {keys}, 0 i, list_transform(range(len(r) + 1), lambda x: 0) row_ FROM pairs_
+  UNION ALL SELECT {", ".join("l." + k.strip() for k in keys.split(","))}, l.i + 1, list_transform(range(1, len(t.r) + 2), lambda j:
+      greatest(l.row_[j], coalesce(list_max(list_transform(list_filter(range(1, j), lambda k: t.r[k] = t.p[l.i + 1]), lambda k: l.row_[k] + 1)), 0)))
+  FROM rows_ l JOIN pairs_ t USING ({keys}) WHERE l.i < len(t.p)),
+rouge AS (SELECT {keys}, CASE WHEN len(p) + len(r) = 0 THEN 0 ELSE 2.0 * row_[-1] / (len(p) + len(r)) END rouge_l
+  FROM rows_ JOIN pairs_ USING ({keys}) WHERE i = len(p))"""
+
+
+METRICS = f"""
+sides AS (SELECT run_id, sample_id, 0 src, {toks('generated')} w FROM captions
+          UNION ALL SELECT run_id, sample_id, 1, {toks('ref')} FROM captions),
+grams AS (SELECT run_id, sample_id, src, n, array_to_string(w[i : i + n - 1], ' ') g FROM
+           (SELECT *, unnest(range(1, len(w) - n + 2)) i FROM sides, range(1, 5) r(n))),
+counted AS (SELECT run_id, sample_id, src, n, g, count(*) c FROM grams GROUP BY ALL),
+matched AS (SELECT run_id, n, sum(least(p.c, coalesce(r.c, 0))) m, sum(p.c) t FROM (SELECT * FROM counted WHERE src = 0) p
+            LEFT JOIN (SELECT * FROM counted WHERE src = 1) r USING (run_id, sample_id, n, g) GROUP BY ALL),
+lens AS (SELECT run_id, sum(CASE WHEN src = 0 THEN len(w) END) c, sum(CASE WHEN src = 1 THEN len(w) END) r FROM sides GROUP BY 1),
+bleu AS (SELECT run_id, CASE WHEN min(m) = 0 THEN 0 ELSE exp(avg(CASE WHEN m > 0 THEN ln(m / t) END)) END * max(CASE WHEN c > r THEN 1 ELSE exp(1 - r / c) END) v
+         FROM matched JOIN lens USING (run_id) GROUP BY run_id),
+pos AS (SELECT run_id, sample_id, src, unnest(w) t, generate_subscripts(w, 1) i FROM sides),
+occ AS (SELECT *, row_number() OVER (PARTITION BY run_id, sample_id, src, t ORDER BY i) k FROM pos),
+hits AS (SELECT p.run_id, p.sample_id, p.i a, r.i b FROM occ p JOIN occ r USING (run_id, sample_id, t, k) WHERE p.src = 0 AND r.src = 1),
+steps AS (SELECT *, lag(a) OVER w pa, lag(b) OVER w pb FROM hits WINDOW w AS (PARTITION BY run_id, sample_id ORDER BY a)),
+found AS (SELECT run_id, sample_id, count(*) m, sum(CASE WHEN a = pa + 1 AND b = pb + 1 THEN 0 ELSE 1 END) ch FROM steps GROUP BY ALL),
+sizes AS (SELECT run_id, sample_id, max(CASE WHEN src = 0 THEN len(w) END) p, max(CASE WHEN src = 1 THEN len(w) END) r FROM sides GROUP BY ALL),
+meteor AS (SELECT run_id, avg(CASE WHEN m IS NULL THEN 0 ELSE 10 * (m / p) * (m / r) / (m / r + 9 * (m / p)) * (1 - 0.5 * power(ch / m, 3)) END) v
+           FROM sizes LEFT JOIN found USING (run_id, sample_id) GROUP BY run_id),
+{lcs("captions", "run_id, sample_id", toks("generated"), toks("ref")).strip()},
+metrics AS (SELECT run_id, 'bleu4' metric, v FROM bleu UNION ALL SELECT run_id, 'rougeL', avg(rouge_l) FROM rouge GROUP BY 1
+            UNION ALL SELECT run_id, 'meteor', v FROM meteor)"""
+
 SHOWN = f"""
 shown AS (SELECT row_number() OVER (ORDER BY sample_id) - 1 sample_idx, sample_id coco_id,
             CASE WHEN {strip('generated')} = '' THEN '(empty)' ELSE {strip('generated')} END generated,
@@ -189,6 +245,17 @@ def oracle_queries() -> dict[str, str]:
     sql["block_distance_all"] = with_parts(*LAYERED, select=f"SELECT {row} FROM dist")
     sql["block_distance_n"] = with_parts(*LAYERED, select=f"SELECT {row} FROM dist WHERE n = 3")
     sql["best_block"] = with_parts(*LAYERED, BEST, select=f"SELECT {row} FROM best")
+    sql["pair_layers"] = with_parts(
+        *LAYERED, select="SELECT block_start, round(average_distance, 6) average_distance FROM dist WHERE n = 5"
+    )
+    sql["apply_plans"] = with_parts(
+        *LAYERED, BEST, "layers AS (SELECT DISTINCT l - 1 l FROM h)",
+        select="SELECT 'm24' model, n, cast(l AS int) layer FROM best, layers WHERE l <= block_start OR l > block_end",
+    )
+    sql["report_names"] = """
+        SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size ELSE 0 END n,
+          CASE WHEN p_size % 2 = 0 THEN cast(p_size AS varchar) ELSE list_extract(string_split(p_name, ' '), -1) END AS label,
+          CASE WHEN p_size = 2 THEN 'base' END base_label FROM part"""
     sql["min_distance"] = with_parts(
         *LAYERED,
         select="""SELECT n, round(min(average_distance), 6) min_distance,
@@ -279,6 +346,11 @@ def oracle_queries() -> dict[str, str]:
         select="""SELECT item_id, concat('Sentence: ', question, chr(10), 'Options: [''',
                     array_to_string(choices, ''', '''), ''']', chr(10), 'Answer:') prompt FROM items""",
     )
+    marked = "concat(replace(text, 'e', chr(39)), chr(92), replace(substr(text, 1, 9), 'n', chr(34)))"
+    sql["prompt_hellaswag_texts"] = f"""
+        SELECT doc_id item_id, concat('Sentence: Go on', chr(10), 'Options: [', {quoted('text')}, ', ', {quoted(marked)}, ', "it''s"]',
+          chr(10), 'Answer:') prompt FROM documents"""
+    sql["truth_hellaswag"] = "SELECT l_orderkey item_id, cast(l_linenumber AS int) truth FROM lineitem"
     sql["prompt_truthfulqa"] = with_parts(
         ITEMS,
         select=f"SELECT item_id, concat('Question: ', question, chr(10), {NUMBERED}, chr(10), 'Answer:') prompt FROM items",
@@ -332,6 +404,37 @@ def oracle_queries() -> dict[str, str]:
                     round(CASE WHEN least = 0 THEN 0 WHEN c > r THEN exp(lp) ELSE exp(1 - r / c) * exp(lp) END, 6) bleu4
                   FROM s, lens""",
     )
+    sql["rouge_l_turns"] = with_parts(
+        """said AS (SELECT a.conv_id, a.turn, a.text x, b.text y FROM conversations a JOIN conversations b
+             ON a.conv_id = b.conv_id AND a.turn = b.turn + 1 WHERE a.role = 'assistant' AND b.role = 'user')""",
+        lcs("said", "conv_id, turn", toks("x"), toks("y")), recursive=True,
+        select="SELECT conv_id, turn, round(rouge_l, 6) rouge_l FROM rouge",
+    )
+    scored = (TURN_CAPTIONS, METRICS)
+    sql["caption_scores"] = with_parts(
+        *scored, recursive=True, select="SELECT run_id, metric, round(v, 6) AS \"value\" FROM metrics"
+    )
+    sql["caption_quality_gate"] = with_parts(
+        *scored, recursive=True,
+        select="""SELECT metric, round(b.v, 6) baseline, round(c.v, 6) candidate, round(c.v / nullif(b.v, 0), 6) ratio,
+                    round(0.8 * b.v, 6) target, c.v >= 0.8 * b.v passed
+                  FROM metrics b JOIN metrics c USING (metric) WHERE b.run_id = 'base' AND c.run_id = 'pruned'""",
+    )
+    numbers = {
+        "speed.total_time_s": "round(sum(x) / 7, 2)", "speed.throughput_samples_per_s": "round(count(*) * 7 / sum(x), 3)",
+        "speed.mean_latency_ms": "round(avg(x), 1)", "speed.std_latency_ms": "round(stddev_pop(x), 1)",
+        "energy.energy_kwh": "round(sum(x) / 3e6, 6)", "energy.co2_kg": "round(sum(x) / 7e6, 6)",
+        "hardware.peak_vram_mib": "round(max(x) / 3, 1)", "hardware.total_vram_mib": "round(max(x) / 0.7, 1)",
+    }
+    measured = " UNION ALL ".join(f"SELECT run_id, '{k}' metric, cast({v} AS double) v FROM sized GROUP BY 1" for k, v in numbers.items())
+    sql["caption_run_record"] = with_parts(
+        *scored, "sized AS (SELECT run_id, cast(length(generated) AS double) x FROM captions)",
+        f"every AS (SELECT run_id, concat('quality.', metric) metric, round(v, 4) v FROM metrics UNION ALL {measured})",
+        "counts AS (SELECT run_id, count(*) n_samples FROM captions GROUP BY 1)",
+        recursive=True,
+        select="""SELECT run_id, 'm24' model_id, n_samples, cast(3.142 AS double) "n_params_B", metric, v AS "value"
+                  FROM every JOIN counts USING (run_id)""",
+    )
     sql["meteor_exact"] = with_parts(
         CAPTIONS, OCCURRENCES,
         select="""SELECT sample_id, round(CASE WHEN m IS NULL THEN 0 ELSE
@@ -341,23 +444,27 @@ def oracle_queries() -> dict[str, str]:
     sql["comparison_rows"] = with_parts(CAPTIONS, SHOWN, select=f"SELECT *, {FILE_NAME} FROM shown")
     sql["caption_round_trip"] = with_parts(
         CAPTIONS, SHOWN,
-        select=f"""SELECT 'm24' model_id, 'Describe this image in one sentence.' prompt, sample_idx, coco_id,
+        select=f"""SELECT 'm24' model_id, 'Name what you see.' prompt, sample_idx, coco_id,
                     printf('http://images.example.com/%d.jpg', coco_id) url, {FILE_NAME}, generated, refs FROM shown""",
     )
     sql["first_sentence"] = with_parts(
         CAPTIONS,
         select=r"SELECT sample_id, regexp_extract(generated, '^\s*([^\n.!?]*[.!?]?)', 1) first_sentence FROM captions",
     )
-    headings = "|".join(h.lower() for h in SUFFIX_HEADINGS)
     sql["output_flags"] = with_parts(
         CAPTIONS,
-        f"""f AS (SELECT sample_id, regexp_matches(lower(generated), '\\n\\s*(?:{headings})\\b|\\n[^\\n]*\\?') has_suffix,
+        f"""f AS (SELECT sample_id, regexp_matches(lower(generated), '\\n\\s*(?:{HEADINGS})\\b|\\n[^\\n]*\\?') has_suffix,
                list_filter(list_transform(string_split(generated, chr(10)), lambda l: {strip('l')}), lambda l: l <> '') ls,
                {toks('generated')} ts FROM captions)""",
         select="""SELECT sample_id, has_suffix, round(len(ls) / nullif(len(list_distinct(ls)), 0), 6) line_repetition,
                     round(len(ts) / nullif(len(list_distinct(ts)), 0), 6) token_repetition FROM f""",
     )
     fetched = "SELECT url FROM pages WHERE page_id % 7 <> 0 AND html IS NOT NULL"
+    sql["normalised_refs"] = """
+        SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN concat(text, chr(10), '---', chr(10), lower(text)) ELSE text END refs
+        FROM documents"""
+    sql["payload_files"] = """
+        SELECT cast(strlen(n_name) + 1 AS bigint) length, n_name content FROM nation"""
     sql["payload_present"] = f"SELECT url, page_id FROM pages WHERE url IN ({fetched})"
     sql["payload_missing"] = f"SELECT url, page_id FROM pages WHERE url NOT IN ({fetched})"
 
@@ -390,6 +497,10 @@ def oracle_queries() -> dict[str, str]:
         select="""SELECT project_name, count(*) n_samples, round(sum(energy_consumed) * 1e3 / count(*), 6) wh_per_sample,
                     round(sum(emissions) * 1e6 / count(*), 6) co2_mg_per_sample FROM energy GROUP BY 1""",
     )
+    sql["energy_totals"] = with_parts(
+        ENERGY,
+        select="""SELECT round(arg_max(energy_consumed, ts), 6) energy_kwh, round(arg_max(emissions, ts), 6) co2_kg FROM energy""",
+    )
     sql["energy_log_round_trip"] = with_parts(
         ENERGY,
         select="""SELECT project_name, count(*) n_rows, round(sum(cpu_energy), 6) cpu_energy,
@@ -407,7 +518,7 @@ def oracle_queries() -> dict[str, str]:
     sql["run_result_record"] = with_parts(
         SPEED, ENERGY, last_energy("run_id"),
         select=" UNION ALL ".join(
-            f"SELECT stamp run_id, run_id model_id, n_samples, cast(7.941 AS double) \"n_params_B\", "
+            f"SELECT stamp run_id, run_id model_id, n_samples, cast(2.718 AS double) \"n_params_B\", "
             f"'{name}' metric, cast({value} AS double) AS \"value\" FROM speed JOIN last USING (run_id)"
             for name, value in metrics.items()
         ),

@@ -7,8 +7,6 @@ ITEMS = {
     "truthfulqa": "item_id long, question string, mc1_targets struct<choices: array<string>, labels: array<int>>",
 }
 
-INSTRUCTION = "instruction string, context string, response string, category string"
-
 CAPTION = (
     "sample_idx long, coco_id long, url string, img_file string, generated string, refs array<string>"
 )

@@ -84,20 +84,28 @@ def _report_text() -> Column:
         lambda e: F.concat_ws(",", e["block_start"], e["block_end"], e["average_distance"]),
     )
     trailer = F.format_string("Layer %d to %d is the best block to prune.", "best.block_start", "best.block_end")
+    trailer = F.when(F.size("entries") > 0, F.array(trailer)).otherwise(F.array().cast("array<string>"))
     head = F.array(
         F.concat(F.lit(TITLE), F.col("model"), F.lit(" ")),
         F.concat(F.lit(SIZE_LINE), F.col("n").cast("string"), F.lit(" ")),
         F.lit(HEADER),
     )
-    return F.array_join(F.concat(head, body, F.array(trailer)), "\n")
+    return F.array_join(F.concat(head, body, trailer), "\n")
 
 
-def write_distance_reports(rows: DataFrame, path: str, layout: str = "table") -> None:
-    """Store distance rows partitioned by data set, model and ``n``, as parquet or as report texts."""
+def write_distance_reports(rows: DataFrame, path: str, layout: str = "table", sizes: DataFrame | None = None) -> None:
+    """Store distance rows partitioned by data set, model and ``n``, as parquet or as report texts.
+
+    ``sizes`` (data set, model, ``n``) names all reports to write: one without rows, as for as many layers as
+    the model has, is a text without rows and without a best block.
+    """
     if layout == "table":
         rows.repartition(*KEYS).write.partitionBy(*KEYS).parquet(path)
         return
     entries = F.array_sort(F.collect_list(F.struct("block_start", "block_end", "average_distance")))
     least = F.min(F.when(~F.isnan("average_distance"), F.struct("average_distance", "block_start", "block_end")))
     texts = rows.groupBy(*KEYS).agg(entries.alias("entries"), least.alias("best"))  # at most one row per layer
+    if sizes is not None:
+        none = F.array().cast(texts.schema["entries"].dataType)
+        texts = sizes.select(*KEYS).distinct().join(texts, KEYS, "left").withColumn("entries", F.coalesce("entries", none))
     texts.select(*KEYS, _report_text().alias("value")).repartition(*KEYS).write.partitionBy(*KEYS).text(path)

@@ -125,6 +125,19 @@ def turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return made, asked.select(key, F.array("text").alias("refs"))
 
 
+def turn_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over the assistant's turns: one repeats the turn, one stops half way; the reference lacks two words."""
+    said = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    half = F.expr("substring(text, 1, cast(length(text) div 2 as int))")
+    runs = F.array(
+        F.struct(F.lit("base").alias("run_id"), F.col("text").alias("generated")),
+        F.struct(F.lit("pruned").alias("run_id"), half.alias("generated")),
+    )
+    refs = F.array(F.regexp_replace("text", r"^\s*\S+\s+\S+\s*", ""))
+    made = said.select(F.struct("conv_id", "turn").alias("sample_id"), F.explode(runs).alias("r"), refs.alias("refs"))
+    return made.select("sample_id", "r.*", "refs")
+
+
 def inference_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("run_id"),

@@ -97,7 +97,7 @@ def test_run_id_and_flattening(spark):
         "mean_latency_ms double, std_latency_ms double, energy_kwh double, co2_kg double, peak_vram_mib double, "
         "total_vram_mib double, device string, gpu_name string",
     )
-    record = runs.run_results(flat)
+    record = runs.run_results(flat, "scores", "log")
     found = {r.metric: r.value for r in runs.flatten_results(record).collect()}
     assert found == {
         "quality.bleu4": 0.0305, "quality.meteor": 0.2, "speed.total_time_s": 653.3,

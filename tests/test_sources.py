@@ -42,6 +42,17 @@ def test_report_round_trip(spark, tmp_path, layout):
     assert {tuple(r) for r in stored.select(*rows.columns).collect()} == set(data)
 
 
+def test_a_size_without_rows_has_a_report(spark, tmp_path):
+    rows = spark.createDataFrame([("d", "m", 1, 1, 2, 0.5)], "dataset string, model string, n int, block_start int, block_end int, average_distance double")
+    sizes = spark.createDataFrame([("d", "m", 1), ("d", "m", 26)], "dataset string, model string, n int")
+    path = tmp_path / "out"
+    reports.write_distance_reports(rows, str(path), "text", sizes)
+    text = next((path / "dataset=d" / "model=m" / "n=26").glob("*.txt")).read_text()
+    assert text == f"Analysis of Layer Similarities for m \nNumber of Layers to Skip : 26 \n{reports.HEADER}\n"
+    stored, best = reports.read_distance_reports(spark, str(path))
+    assert [r.n for r in stored.collect()] == [1] and [r.n for r in best.collect()] == [1]
+
+
 def test_names(spark):
     paths = ["a/distances_m_12.csv", "a/distances_m.csv", "a/plain.csv"]
     df = spark.createDataFrame([(p,) for p in paths], "p string")
