@@ -364,6 +364,14 @@ def rouge_l_turns(spark, sf_dir):
     return scores.select("sample_id.conv_id", "sample_id.turn", six("rouge_l"))
 
 
+@query
+def meteor_synonym_turns(spark, sf_dir):
+    made, asked = views.turns(spark, sf_dir)
+    matched = captions.match_references(made, asked)
+    scores = captions.meteor_scores(matched, stemming=False, synonyms=views.alike_words(spark, sf_dir))
+    return scores.select("sample_id.conv_id", "sample_id.turn", six("meteor"))
+
+
 def turn_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three scores of both runs over the assistant's turns, one row per run and metric."""
     made = views.turn_captions(spark, sf_dir)

@@ -410,6 +410,28 @@ def oracle_queries() -> dict[str, str]:
         lcs("said", "conv_id, turn", toks("x"), toks("y")), recursive=True,
         select="SELECT conv_id, turn, round(rouge_l, 6) rouge_l FROM rouge",
     )
+    sql["meteor_synonym_turns"] = with_parts(
+        f"""sides AS (SELECT a.conv_id, a.turn, s.src, CASE s.src WHEN 0 THEN {toks('a.text')} ELSE {toks('b.text')} END w
+              FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1, range(2) s(src)
+              WHERE a.role = 'assistant' AND b.role = 'user')""",
+        "pos AS (SELECT conv_id, turn, src, unnest(w) t, generate_subscripts(w, 1) i FROM sides)",
+        "occ AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, src, t ORDER BY i) k FROM pos)",
+        """equal AS (SELECT p.conv_id, p.turn, p.i a, r.i b FROM occ p JOIN occ r USING (conv_id, turn, t, k)
+                     WHERE p.src = 0 AND r.src = 1)""",
+        """rest AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, src, substr(t, 1, 5) ORDER BY i) q FROM occ o
+              WHERE NOT EXISTS (FROM equal e WHERE e.conv_id = o.conv_id AND e.turn = o.turn
+                                AND o.i = CASE o.src WHEN 0 THEN e.a ELSE e.b END))""",
+        """hits AS (FROM equal UNION ALL SELECT p.conv_id, p.turn, p.i, r.i FROM rest p JOIN rest r ON p.conv_id = r.conv_id
+              AND p.turn = r.turn AND p.q = r.q AND substr(p.t, 1, 5) = substr(r.t, 1, 5) WHERE p.src = 0 AND r.src = 1)""",
+        "steps AS (SELECT *, lag(a) OVER w pa, lag(b) OVER w pb FROM hits WINDOW w AS (PARTITION BY conv_id, turn ORDER BY a))",
+        """found AS (SELECT conv_id, turn, count(*) m, sum(CASE WHEN a = pa + 1 AND b = pb + 1 THEN 0 ELSE 1 END) ch
+                     FROM steps GROUP BY ALL)""",
+        """sizes AS (SELECT conv_id, turn, max(CASE WHEN src = 0 THEN len(w) END) p, max(CASE WHEN src = 1 THEN len(w) END) r
+                     FROM sides GROUP BY ALL)""",
+        select="""SELECT conv_id, turn, round(CASE WHEN m IS NULL THEN 0 ELSE
+                      10 * (m / p) * (m / r) / (m / r + 9 * (m / p)) * (1 - 0.5 * power(ch / m, 3)) END, 6) meteor
+                  FROM sizes LEFT JOIN found USING (conv_id, turn)""",
+    )
     scored = (TURN_CAPTIONS, METRICS)
     sql["caption_scores"] = with_parts(
         *scored, recursive=True, select="SELECT run_id, metric, round(v, 6) AS \"value\" FROM metrics"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratalens.functions.text import words
+from stratalens.functions.text import tokens, words
 from stratalens.operators.rows import enumerate_rows
 from stratalens.operators.tokens import word_ids
 from stratalens.session import spread
@@ -125,6 +125,14 @@ def turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return made, asked.select(key, F.array("text").alias("refs"))
 
 
+def alike_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A synonym table: words of the conversations that begin with the same five letters."""
+    word = F.explode(tokens(F.col("text"))).alias("word")
+    found = table(spark, sf_dir, "conversations").select(word).distinct().withColumn("_start", F.left("word", F.lit(5)))
+    other = found.select("_start", F.col("word").alias("synonym"))
+    return found.join(other, "_start").where("word <> synonym").select("word", "synonym")
+
+
 def turn_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs over the assistant's turns: one repeats the turn, one stops half way; the reference lacks two words."""
     said = table(spark, sf_dir, "conversations").where("role = 'assistant'")
