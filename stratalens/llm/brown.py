@@ -19,6 +19,8 @@ ENDINGS = 128
 CLASSES = 50
 RESIDENT = 200_000
 EXCHANGES = 8
+#: Tokens that a task counts before it passes the counts on.
+COUNTED = 2_000_000
 #: Added to counts of units and words, and the weight of the class frequencies in a class's transitions.
 ADDED = 0.5
 BACKOFF = 10.0
@@ -47,13 +49,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word, ending, n: the tokens of all ``docs``, counted in the tasks and then by shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            found = list(tokens(batch.column("text")))
-            if not found:
-                continue
-            words, first, n = np.unique(np.concatenate([f[1] for f in found]), return_index=True, return_counts=True)
-            group = np.concatenate([f[2] for f in found])[first]
-            yield pa.RecordBatch.from_pydict({"word": pa.array(words.view(np.int64)), "ending": pa.array(group), "n": pa.array(n)})
+            for _, hashes, group, _ in tokens(batch.column("text")):
+                held.append((hashes, group))
+                if sum(len(hashes) for hashes, _ in held) >= COUNTED:
+                    yield distinct(held)
+                    held = []
+        if held:
+            yield distinct(held)
+
+    def distinct(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        words, first, n = np.unique(np.concatenate([hashes for hashes, _ in held]), return_index=True, return_counts=True)
+        group = np.concatenate([group for _, group in held])[first]
+        return pa.RecordBatch.from_pydict({"word": pa.array(words.view(np.int64)), "ending": pa.array(group), "n": pa.array(n)})
 
     counted = docs.select("text").mapInArrow(count, "word long, ending long, n long")
     return counted.groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
