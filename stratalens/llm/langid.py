@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratalens.llm.common import crc32_of, free_name
@@ -53,14 +54,15 @@ def features(text: str | None) -> np.ndarray | None:
     """
     if not _LETTERS:
         _LETTERS.append(np.array([chr(i).isalpha() for i in range(0x110000)]))
-    counts = np.zeros(BUCKETS)
-    points = np.frombuffer((text or "").lower().encode("utf-32-le"), dtype=np.uint32)
-    is_letter = _LETTERS[0][points]
-    if not is_letter.any():
+    counts, kept, before = np.zeros(BUCKETS), [], False
+    for at in range(0, len(text or ""), STEP):
+        points = np.frombuffer(text[at : at + STEP].lower().encode("utf-32-le"), dtype=np.uint32)
+        is_letter = _LETTERS[0][points]
+        kept.append(np.where(is_letter, points, np.uint32(32))[is_letter | np.r_[before, is_letter[:-1]]])
+        before = bool(is_letter[-1])
+    if not any((points != 32).any() for points in kept):
         return None
-    points = np.where(is_letter, points, np.uint32(32))
-    points = points[is_letter | np.r_[False, is_letter[:-1]]]
-    points = np.r_[np.uint32(32), points, np.uint32(32)].astype(np.uint32)
+    points = np.concatenate([np.array([32], dtype=np.uint32), *kept, np.array([32], dtype=np.uint32)])
     for at in range(0, len(points), STEP):
         own = points[at : at + STEP + LONGEST - 1]
         gram = np.zeros(len(own) + 1, dtype=np.uint32)
@@ -142,10 +144,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     first = Window.partitionBy("lang").orderBy("_hash")
     chosen = likely.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") <= sample)
 
-    @F.pandas_udf("binary")
-    def featured(texts: pd.Series) -> pd.Series:
-        found = [features(text) for text in texts]
-        return pd.Series([None if x is None else x.tobytes() for x in found])
+    @F.arrow_udf("binary")
+    def featured(texts: pa.Array) -> pa.Array:
+        found = [features(text.as_py()) for text in texts]
+        return pa.array([None if x is None else x.tobytes() for x in found], pa.binary())
 
     chosen = save_shared(
         chosen.select("lang", "_rank", featured("text").alias("x")).where("x IS NOT NULL"), "lang-sample"
@@ -176,17 +178,17 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 def predictor(model: Model):
     """A function of a text column: struct of lang_pred and score."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             langs, scores = np.full(len(texts), UNDETERMINED, dtype=object), np.zeros(len(texts))
-            for at in range(0, len(texts), 128):
-                found = [features(text) for text in texts.iloc[at : at + 128]]
+            for at in range(0, len(texts), 64):
+                found = [features(text.as_py()) for text in texts.slice(at, 64)]
                 some = [i for i, x in enumerate(found) if x is not None]
                 if some and model.families:
                     rows = at + np.array(some)
                     langs[rows], scores[rows] = model.predict(np.stack([found[i] for i in some]))
-            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], names=["lang_pred", "score"])
 
     return predict
 

@@ -21,7 +21,7 @@ from stratalens.session import save_shared, shared_path
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Bounds of a task's memory: characters encoded in one step and words whose ids are remembered.
-STEP_CHARS = 4 << 20
+STEP_CHARS = 2 << 20
 REMEMBERED = 600_000
 MAGIC = b"TOKENS01"
 NO_ID = -(2**63)

@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text taken in one vector step; a longer text is a step of its own.
-STEP_BYTES = 2 << 20
+#: Bytes of text taken in one vector step, which needs some fifty times as much memory.
+STEP_BYTES = 1 << 19
 PLACES = 128
 
 _SEPARATES = np.zeros(256, dtype=bool)
@@ -44,7 +44,29 @@ def steps(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words with A-Z lower-cased, in order, the number of words in each row, and the words' last two bytes."""
+    """Hashes of the words with A-Z lower-cased, in order, the number of words in each row, and the words' last two bytes.
+
+    A single long text is taken in pieces cut between words.
+    """
+    if len(offsets) > 2 or len(data) <= 2 * STEP_BYTES:
+        return _word_hashes(data, offsets)
+    found, at = [], 0
+    while at < len(data):
+        end = min(at + STEP_BYTES, len(data))
+        if end < len(data):
+            cuts = np.flatnonzero(_SEPARATES[data[at:end]])
+            if len(cuts) and cuts[-1] > 0:
+                end = at + int(cuts[-1])
+            else:  # within one word longer than a step: go on to its end
+                while end < len(data) and not _SEPARATES[data[end]]:
+                    end += 1
+        found.append(_word_hashes(data[at:end], np.array([0, end - at])))
+        at = end
+    hashes, counts, endings = zip(*found)
+    return np.concatenate(hashes), np.sum(counts, axis=0), np.concatenate(endings)
+
+
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = ~_SEPARATES[data]
     breaks = np.zeros(len(data) + 1, dtype=bool)
     breaks[offsets] = True
