@@ -96,9 +96,19 @@ def append_history(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").parquet(path)
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """The history; unreadable files fail instead of restarting it. Order is ``seq``."""
-    return spark.read.schema(schemas.HISTORY).parquet(path)
+def read_history(spark: SparkSession, path: str, layout: str = "table") -> DataFrame:
+    """The history; unreadable files fail instead of restarting it. Order is ``seq``.
+
+    With ``array``, every file is a JSON array of accuracies, named after its run.
+    """
+    if layout == "table":
+        return spark.read.schema(schemas.HISTORY).parquet(path)
+    files = spark.read.text(path, wholetext=True)
+    listed = F.from_json("value", "array<double>", {"mode": "FAILFAST"})
+    name = F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.json)?$", 1)
+    return files.select(name.alias("run_id"), F.posexplode(listed).alias("seq", "accuracy")).select(
+        "run_id", (F.col("seq") + 1).cast("long").alias("seq"), "accuracy"
+    )
 
 
 def write_plans(plans: DataFrame, path: str) -> None:

@@ -128,6 +128,14 @@ def test_run_results_history_plans_payloads(spark, tmp_path):
     for seq in (1, 2):
         tables.append_history(spark.createDataFrame([("r", seq, 0.5 * seq)], schemas.HISTORY), history)
     assert [r.accuracy for r in tables.read_history(spark, history).orderBy("seq").collect()] == [0.5, 1.0]
+    arrays = tmp_path / "arrays"
+    arrays.mkdir()
+    (arrays / "first.json").write_text(json.dumps([0.5, 0.25], indent=2))
+    found = tables.read_history(spark, str(arrays), layout="array").orderBy("seq")
+    assert [tuple(r) for r in found.collect()] == [("first", 1, 0.5), ("first", 2, 0.25)]
+    (arrays / "first.json").write_text("[0.5, ")
+    with pytest.raises(Exception):
+        tables.read_history(spark, str(arrays), layout="array").collect()
     (tmp_path / "broken").mkdir()
     (tmp_path / "broken" / "x.parquet").write_text("not parquet")
     with pytest.raises(Exception):
