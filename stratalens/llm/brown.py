@@ -12,9 +12,12 @@ from stratalens.llm.common import crc32_of
 from stratalens.llm.words import mix, steps, word_hashes
 from stratalens.session import save_shared
 
-#: Parameters of the registered query. At most UNITS words are clustered one by one; all others are clustered as
-#: ENDINGS groups by their last two bytes. At most RESIDENT words have their counts in every task.
+#: Parameters of the registered query. The classes start from at most UNITS words and ENDINGS groups by the last two
+#: bytes of the others; then every word moves by its own counts: the RESIDENT most frequent ones, whose counts and
+#: classes are in every task, in ROUNDS rounds that take them in PARTS turns, and after them all rarer ones once.
 UNITS = 512
+ROUNDS = 4
+PARTS = 2
 ENDINGS = 128
 CLASSES = 50
 RESIDENT = 200_000
@@ -81,6 +84,10 @@ def _least_count(vocabulary: DataFrame, most: int) -> int:
     return int(np.ceil(least - 1e-9))
 
 
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1.0))
+
+
 def exchange(pairs: np.ndarray, classes: int, rounds: int = EXCHANGES) -> np.ndarray:
     """The class of every unit from the counts of unit pairs, by the exchange algorithm (Martin et al., 1998).
 
@@ -96,9 +103,6 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = EXCHANGES) -> np.nda
     table = member.T @ pairs @ member
     left, right = table.sum(axis=0), table.sum(axis=1)
 
-    def f(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1.0))
-
     for _ in range(rounds):
         moved = 0
         for u in order:
@@ -112,10 +116,10 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = EXCHANGES) -> np.nda
             table[a, a] -= own
             left[a] -= comes
             right[a] -= goes
-            gain = (f(table + after[None, :]) - f(table)).sum(axis=1) + (f(table + before[:, None]) - f(table)).sum(axis=0)
+            gain = (_f(table + after[None, :]) - _f(table)).sum(axis=1) + (_f(table + before[:, None]) - _f(table)).sum(axis=0)
             corner, both = np.diag(table), before + after + own
-            gain += f(corner + both) - f(corner) - (f(corner + after) - f(corner)) - (f(corner + before) - f(corner))
-            gain -= f(left + comes) - f(left) + f(right + goes) - f(right)
+            gain += _f(corner + both) - _f(corner) - (_f(corner + after) - _f(corner)) - (_f(corner + before) - _f(corner))
+            gain -= _f(left + comes) - _f(left) + _f(right + goes) - _f(right)
             b = int(np.argmax(gain))
             if gain[b] <= gain[a] + 1e-6:
                 b = a
@@ -170,8 +174,17 @@ def pair_counts(docs: DataFrame, units: Units) -> np.ndarray:
     return pairs.reshape(units.n, units.n)
 
 
+def transitions(table: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """log10 of P(class | class before), smoothed by the class frequencies; a class not ``used`` has no share."""
+    class_n = table.sum(axis=0)
+    share = np.where(used, class_n + ADDED, 0)
+    share = share / share.sum()
+    with np.errstate(divide="ignore"):
+        return np.log10((table + BACKOFF * share) / (table.sum(axis=1, keepdims=True) + BACKOFF))
+
+
 class Model:
-    """log10 of class transitions and of unit emissions; the last step from a group to its word is left open.
+    """The start: classes of units; log10 of class transitions and of unit emissions, the step from a group to its word left open.
 
     The chance of a token is P(class | class before) * P(unit | class), and,
     where the unit is a group of endings, * P(word | group) = (c + 0.5) /
@@ -182,36 +195,283 @@ class Model:
         self.units = units
         self.class_of = exchange(pairs, classes)
         member = np.eye(classes)[self.class_of]
-        table, unit_n = member.T @ pairs @ member, pairs.sum(axis=0)
-        class_n = unit_n @ member
-        share = (class_n + ADDED) / (class_n.sum() + ADDED * classes)
-        # A class without units is never emitted, so its share goes to the others.
-        share = np.where(member.any(axis=0), share, 0)
-        share = share / share.sum()
-        with np.errstate(divide="ignore"):
-            self.transition = np.log10((table + BACKOFF * share) / (table.sum(axis=1, keepdims=True) + BACKOFF))
-        self.emission = np.log10((unit_n + ADDED) / (class_n + ADDED * member.sum(axis=0))[self.class_of])
+        unit_n = pairs.sum(axis=0)
+        self.transition = transitions(member.T @ pairs @ member, member.any(axis=0))
+        self.emission = np.log10((unit_n + ADDED) / (unit_n @ member + ADDED * member.sum(axis=0))[self.class_of])
         for group in range(ENDINGS):
             n, v = groups.get(group, (0, 0))
             self.emission[len(units.words) + group] -= np.log10(n + ADDED * (v + 1))
 
-    def parts(self, hashes: np.ndarray, group: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each token's log10 chance up to the open step, and whether that is open."""
-        unit = self.units.of(hashes, group)
-        class_before = self.class_of[self.units.before(unit, offsets)]
-        found = self.transition[class_before, self.class_of[unit]] + self.emission[unit]
-        return found, unit >= len(self.units.words)
+
+class WordModel:
+    """log10 of class transitions and the parts of P(word | class) = (n + 0.5) / (N_class + 0.5 * (V_class + G_class)).
+
+    V_class are the training words of the class, G_class the groups of endings
+    whose unknown words it has: one unknown word of each group has its share. All sum up to 1.
+    """
+
+    def __init__(self, table: np.ndarray, words_of: np.ndarray, group_class: np.ndarray):
+        classes = len(table)
+        kinds = words_of + np.bincount(group_class, minlength=classes)
+        self.group_class = group_class
+        self.transition = transitions(table, kinds > 0)
+        self.divisor = np.log10(np.maximum(table.sum(axis=0) + ADDED * kinds, ADDED))
+
+
+def places(words: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each hash is in the sorted ``words``, and whether it is there."""
+    hashes = hashes.view(np.int64)
+    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
+    return at, words[at] == hashes
+
+
+def encoded(docs: DataFrame, words: np.ndarray) -> DataFrame:
+    """ids, rare, ending: all texts as places in ``words``, -1 for any other word; the hashes of those in order, and their groups."""
+    known = docs.sparkSession.sparkContext.broadcast(words)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, hashes, group, _ in tokens(batch.column("text")):
+                at, here = places(known.value, hashes)
+                parts = np.where(here, at, -1).astype(np.int32), hashes[~here], group[~here].astype(np.int16)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in parts], names=["ids", "rare", "ending"])
+
+    return docs.select("text").mapInArrow(encode, "ids binary, rare binary, ending binary")
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids of neighbours, the rare words and their groups, for a bounded number of tokens at a time; rare words have ids from len(words) on."""
+    end = int(np.searchsorted(words, END.view(np.int64)))
+
+    def of(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        ids, rare, ending = (np.concatenate(x) for x in zip(*held))
+        ids = ids.astype(np.int64)
+        rare, first, own = np.unique(rare, return_index=True, return_inverse=True)
+        ids[ids < 0] = len(words) + own
+        return np.r_[end, ids[:-1]], ids, rare, ending[first].astype(np.int64)  # every row ends in an end
+
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("ids", "rare", "ending"))):
+            held.append(tuple(np.frombuffer(x, dtype=kind) for x, kind in zip(row, (np.int32, np.int64, np.int16))))
+            if sum(len(ids) for ids, _, _ in held) >= COUNTED:
+                yield of(held)
+                held = []
+    if held:
+        yield of(held)
+
+
+def _table_of(found: pa.Table, classes: int) -> np.ndarray:
+    table = np.zeros(classes**2)
+    np.add.at(table, found["pair"].to_numpy(), found["n"].to_numpy())
+    return table.reshape(classes, classes)
+
+
+def class_table(texts: DataFrame, words: np.ndarray, class_of: np.ndarray, group_class: np.ndarray | None, classes: int) -> np.ndarray:
+    """How often each class follows each other one; without ``group_class`` only where both words are among ``words``."""
+    known = texts.sparkSession.sparkContext.broadcast((words, class_of, group_class))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, class_of, group_class = known.value
+        total = np.zeros(classes**2, dtype=np.int64)
+        for left, right, rare, ending in _neighbours(batches, words):
+            own = np.r_[class_of, group_class[ending] if group_class is not None else np.full(len(rare), -1)]
+            before, after = own[left], own[right]
+            total += np.bincount((before * classes + after)[(before >= 0) & (after >= 0)], minlength=len(total))
+        pair = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"pair": pa.array(pair), "n": pa.array(total[pair])})
+
+    found = texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return _table_of(found.toArrow(), classes)
+
+
+def class_counts(texts: DataFrame, words: np.ndarray, class_of: np.ndarray, group_class: np.ndarray, classes: int, rare: bool) -> DataFrame:
+    """word, ending, cells for each of ``words``, or for each rare word: its counts per class before and after it, and beside itself.
+
+    A cell is n * stride + key, stride = 4 * classes + 1; key is in turn the
+    class before it, of one of ``words`` or of a rare word, the class after it
+    in the same way, or the last for the word beside itself. A task sends at
+    most one row for each word and ``COUNTED`` tokens.
+    """
+    stride = 4 * classes + 1
+    known = texts.sparkSession.sparkContext.broadcast((words, class_of, group_class))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, class_of, group_class = known.value
+        for left, right, others, ending in _neighbours(batches, words):
+            key = np.r_[class_of, classes + group_class[ending]]
+            code = np.r_[right * stride + key[left], left * stride + 2 * classes + key[right], right[left == right] * stride + 4 * classes]
+            code = code[(code >= len(words) * stride) == rare]
+            code, n = np.unique(code, return_counts=True)
+            starts = np.flatnonzero(np.diff(code // stride, prepend=-1))
+            cells, ends = n * stride + code % stride, np.r_[starts[1:], len(code)]
+            names, groups = np.r_[words, others], np.r_[np.zeros(len(words), dtype=np.int64), ending]
+            for at in range(0, len(starts), 20_000):
+                first, last = starts[at : at + 20_000], ends[at : at + 20_000]
+                offsets = np.r_[first, last[-1]] - first[0]
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(cells[first[0] : last[-1]]))
+                word = code[first] // stride
+                yield pa.RecordBatch.from_arrays([pa.array(names[word]), pa.array(groups[word].astype(np.int32)), lists], names=["word", "ending", "cells"])
+
+    def added(table: pa.Table) -> pa.RecordBatch:
+        names, first, at = np.unique(table["word"].to_numpy(), return_index=True, return_inverse=True)
+        lists = table["cells"].combine_chunks()
+        lengths, values = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+        code, place = np.unique(np.repeat(at, lengths) * stride + values % stride, return_inverse=True)
+        n = np.bincount(place, weights=values // stride, minlength=len(code)).astype(np.int64)
+        offsets = np.searchsorted(code, np.arange(len(names) + 1) * stride).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(n * stride + code % stride))
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(table["ending"].to_numpy()[first]), lists], names=["word", "ending", "cells"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            names = table["word"].to_numpy()
+            cut = int(np.searchsorted(names, names[-1]))
+            held = table.slice(cut).combine_chunks()
+            if cut:
+                yield added(table.slice(0, cut).combine_chunks())
+        if held is not None:
+            yield added(held)
+
+    kinds = "word long, ending int, cells array<long>"
+    return texts.mapInArrow(count, kinds).repartition("word").sortWithinPartitions("word").mapInArrow(add_up, kinds)
+
+
+def _dense(batch: pa.RecordBatch, classes: int) -> np.ndarray:
+    """The cells of a batch as words x keys."""
+    stride, lists = 4 * classes + 1, batch.column("cells")
+    values = lists.flatten().to_numpy()
+    row = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+    dense = np.zeros((len(batch), stride))
+    dense[row, values % stride] = values // stride
+    return dense
+
+
+def likelihood(table: np.ndarray) -> float:
+    """Of the class bigrams, without the part that no choice of classes changes."""
+    return float(_f(table).sum() - _f(table.sum(axis=0)).sum() - _f(table.sum(axis=1)).sum())
+
+
+def gains(own: np.ndarray, before: np.ndarray, after: np.ndarray, beside: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """words x classes: what the likelihood gains if a word, taken out of its class, joins each class; all others stay."""
+    every, total = np.arange(len(own)), before.sum(axis=1)
+    before, after = before.copy(), after.copy()
+    before[every, own] -= beside
+    after[every, own] -= beside
+    gain = np.zeros(before.shape)
+    for here, there, cells in ((after, before, table), (before, after, table.T)):
+        word, c = np.nonzero(here > 0)
+        n = here[word, c][:, None]
+        left = cells[:, c].T - np.where((c == own[word])[:, None], there[word], 0)
+        left[np.arange(len(word)), own[word]] -= n[:, 0] + np.where(c == own[word], beside[word], 0)
+        if len(word):
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            gain[word[starts]] += np.add.reduceat(_f(left + n) - _f(left), starts)
+    corner = np.tile(np.diag(table), (len(own), 1))
+    corner[every, own] -= before[every, own] + after[every, own] + beside
+    both = before + after + beside[:, None]
+    gain += _f(corner + both) + _f(corner) - _f(corner + after) - _f(corner + before)
+    for margin in (table.sum(axis=0), table.sum(axis=1)):
+        left = np.tile(margin, (len(own), 1))
+        left[every, own] -= total
+        gain -= _f(left + total[:, None]) - _f(left)
+    return gain
+
+
+def moved(counts: DataFrame, words: np.ndarray, class_of: np.ndarray, group_class: np.ndarray, table: np.ndarray, turn: int | None) -> DataFrame:
+    """word, ending, class, n, cells after each word of this turn (of none: each word) has moved to its best class, all at once."""
+    classes = len(table)
+    known = counts.sparkSession.sparkContext.broadcast((words, class_of, group_class, table))
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, class_of, group_class, table = known.value
+        for batch in batches:
+            for start in range(0, len(batch), 1024):
+                part = batch.slice(start, 1024)
+                names, dense = part.column("word").to_numpy(), _dense(part, classes)
+                before, after = (dense[:, k : k + classes] + dense[:, k + classes : k + 2 * classes] for k in (0, 2 * classes))
+                at, here = places(words, names)
+                own = np.where(here, class_of[at], group_class[part.column("ending").to_numpy()])
+                gain = gains(own, before, after, dense[:, -1], table)
+                best, every = gain.argmax(axis=1), np.arange(len(own))
+                go = gain[every, best] > gain[every, own] + 1e-6
+                if turn is not None:
+                    go &= mix(names.view(np.uint64)) % np.uint64(PARTS) == turn % PARTS
+                found = np.where(go, best, own).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("word"), part.column("ending"), pa.array(found), pa.array(before.sum(axis=1).astype(np.int64)), part.column("cells")],
+                    names=["word", "ending", "class", "n", "cells"],
+                )
+
+    return counts.mapInArrow(move, "word long, ending int, class int, n long, cells array<long>")
+
+
+def word_classes(training: DataFrame, words: np.ndarray, class_of: np.ndarray, group_class: np.ndarray, classes: int) -> tuple[np.ndarray, DataFrame, np.ndarray]:
+    """Classes of ``words``; word, ending, class, n of all other training words; and the class table.
+
+    The start are the classes ``class_of`` the words and ``group_class`` of the
+    endings of the others. A round of ``words`` stands only if the likelihood
+    has grown by it; the others move once, against the table of the last round.
+    """
+    texts = save_shared(encoded(training, words), "encoded")
+    table = class_table(texts, words, class_of, group_class, classes)
+    for turn in range(ROUNDS):
+        counts = class_counts(texts, words, class_of, group_class, classes, rare=False)
+        # At most RESIDENT + UNITS + 1 rows.
+        found = moved(counts, words, class_of, group_class, table, turn).select("word", "class").toArrow()
+        tried = class_of.copy()
+        tried[places(words, found["word"].to_numpy())[0]] = found["class"].to_numpy()
+        after = class_table(texts, words, tried, group_class, classes)
+        if likelihood(after) <= likelihood(table):
+            break
+        class_of, table = tried, after
+    counts = class_counts(texts, words, class_of, group_class, classes, rare=True)
+    rare = save_shared(moved(counts, words, class_of, group_class, table, None), "rare-classes")
+
+    def beside_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((classes, classes))
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                part = batch.slice(at, 1024)
+                dense, own = _dense(part, classes), np.eye(classes)[part.column("class").to_numpy()]
+                total += dense[:, :classes].T @ own + own.T @ dense[:, 2 * classes : 3 * classes]
+        pair = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"pair": pa.array(pair), "n": pa.array(total.ravel()[pair].astype(np.int64))})
+
+    known = training.sparkSession.sparkContext.broadcast(words)
+
+    def both_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for left, right, names, _ in _neighbours(batches, known.value):
+            here = (left >= len(known.value)) & (right >= len(known.value))
+            left, right = names[left[here] - len(known.value)], names[right[here] - len(known.value)]
+            for at in range(0, len(left), 100_000):
+                yield pa.RecordBatch.from_pydict({"a": pa.array(left[at : at + 100_000]), "b": pa.array(right[at : at + 100_000])})
+
+    found = rare.select("class", "cells").mapInArrow(beside_words, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    table = class_table(texts, words, class_of, None, classes) + _table_of(found.toArrow(), classes)
+    pairs = texts.mapInArrow(both_rare, "a long, b long")
+    for word, own in (("a", "ac"), ("b", "bc")):
+        pairs = pairs.join(rare.select(F.col("word").alias(word), F.col("class").cast("long").alias(own)), word)
+    found = pairs.groupBy((F.col("ac") * classes + F.col("bc")).alias("pair")).agg(F.count("*").alias("n"))
+    return class_of, rare.select("word", "ending", "class", "n"), table + _table_of(found.toArrow(), classes)
 
 
 def scores(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for every row of ``docs``.
 
     Read are doc_id and text. Learned from are all documents whose
-    crc32(doc_id) mod 5 is not 1. Words are counted over all of them; the
+    crc32(doc_id) mod 5 is not 1. Words are counted over all of them. The
     frequent ones and groups of endings of the others are clustered by the
-    exchange algorithm on their pair counts, a bounded table. Scoring adds up
-    in the tasks all that needs bounded tables; the counts of rare words are
-    joined by shuffle, and a rare word is never a hot key.
+    exchange algorithm on their pair counts, a bounded table; from these
+    classes on, every training word moves by its own counts. A word unseen in
+    training has the class that most training words of its ending have.
+    Scoring adds up in the tasks all that needs bounded tables; the counts and
+    classes of rare words are joined by shuffle.
 
     A NULL or empty text is one end token. A NULL id counts as the empty text
     in the split. Repeated rows are learned from and scored each. Without
@@ -225,54 +485,92 @@ def scores(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     frequent = vocabulary.where(F.col("n") >= _least_count(vocabulary, UNITS)).select("word").toArrow()
     units = Units(frequent["word"].to_numpy().view(np.uint64))
-    pairs = pair_counts(training, units)
+    unit_class = exchange(pair_counts(training, units), classes)
     of_units = [int(word) for word in units.words.view(np.int64)]
-    rest = vocabulary.where(~F.col("word").isin(of_units))
-    groups = rest.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # one row per group
-    model = Model(units, pairs, {row["ending"]: (row["n"], row["v"]) for row in groups}, classes)
-
-    least = _least_count(vocabulary, RESIDENT)
-    resident = vocabulary.where((F.col("n") >= least) | F.col("word").isin(of_units)).select("word", "n")
-    held = {word: 0 for word in of_units} | dict(resident.collect())  # at most RESIDENT + 1 rows
-    order = sorted(held)
-    resident = np.array(order, dtype=np.int64), np.array([held[word] for word in order], dtype=np.int64)
-    known = spark.sparkContext.broadcast((*resident, model))
+    resident = vocabulary.where((F.col("n") >= _least_count(vocabulary, RESIDENT)) | F.col("word").isin(of_units))
+    resident = resident.toArrow()  # at most RESIDENT + UNITS + 1 rows
+    words = np.union1d(resident["word"].to_numpy(), [END.view(np.int64)])
+    counts, ending = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+    at, _ = places(words, resident["word"].to_numpy())
+    counts[at], ending[at] = resident["n"].to_numpy(), resident["ending"].to_numpy()
+    start = unit_class[units.of(words.view(np.uint64), ending)]
+    class_of, rare, table = word_classes(training, words, start, unit_class[len(units.words) :], classes)
+
+    kinds = np.zeros((ENDINGS, classes))
+    np.add.at(kinds, (ending, class_of), 1)  # the end is a word even if nothing is learned
+    for row in rare.groupBy("ending", "class").agg(F.count("*").alias("v")).collect():  # at most ENDINGS * CLASSES rows
+        kinds[row["ending"], row["class"]] += row["v"]
+    group_class = np.where(kinds.any(axis=1), kinds.argmax(axis=1), unit_class[len(units.words) :])
+    known = spark.sparkContext.broadcast((words, counts, class_of, WordModel(table, kinds.sum(axis=0), group_class)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, model = known.value
+        words, counts, class_of, model = known.value
+        end = int(np.searchsorted(words, END.view(np.int64)))
         for batch in batches:
-            size, sums, rare = len(batch), np.zeros((4, len(batch))), []
+            sums, sizes, found = np.zeros((4, len(batch))), np.zeros(len(batch), dtype=np.int64), []
             for row, hashes, group, offsets in tokens(batch.column("text")):
-                at = np.minimum(np.searchsorted(words, hashes.view(np.int64)), len(words) - 1)
-                here = words[at] == hashes.view(np.int64)
-                part, open_ = model.parts(hashes, group, offsets)
+                at, here = places(words, hashes)
+                own, first = np.where(here, class_of[at], model.group_class[group]), offsets[:-1]
+                before, here_before, word_before = np.r_[0, own[:-1]], np.r_[True, here[:-1]], np.r_[END, hashes[:-1]]
+                before[first], here_before[first], word_before[first] = class_of[end], True, END
                 base = np.where(here, np.log10(counts[at] + ADDED), 0.0)
-                for k, values in enumerate((np.ones(len(hashes)), here & (counts[at] > 0), base, part + open_ * base)):
-                    sums[k, row : row + len(offsets) - 1] = np.add.reduceat(values.astype(np.float64), offsets[:-1])
-                gone = hashes[~here].view(np.int64)  # words of groups, as units are resident
-                cuts = np.searchsorted(np.flatnonzero(~here), offsets)
-                rare += [gone[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+                part = np.where(here, base - model.divisor[own], 0.0)
+                part[here & here_before] += model.transition[before, own][here & here_before]
+                for k, values in enumerate((np.ones(len(hashes)), here & (counts[at] > 0), base, part)):
+                    sums[k, row : row + len(first)] = np.add.reduceat(values.astype(np.float64), first)
+                # An end follows every rare word, at the latest; where the neighbour is rare too, the pair is told apart.
+                sizes[row : row + len(first)] = np.add.reduceat((~here).astype(np.int64), first)
+                here_after, after = np.r_[here[1:], True], np.r_[own[1:], 0]
+                columns = (
+                    hashes.view(np.int64), own, np.where(here_before, before, -1), np.where(here_after, after, -1),
+                    np.where(here_before, 0, word_before.view(np.int64)), before,
+                )
+                found.append([x[~here] for x in columns])
+            columns = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, dtype=np.int64)] * 6
+            columns = [pa.array(x if k in (0, 4) else x.astype(np.int32)) for k, x in enumerate(columns)]
+            rows = pa.StructArray.from_arrays(columns, names=["word", "own", "before", "after", "a", "ac"])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)),
-                 pa.array(sums[2]), pa.array(sums[3]), pa.array(rare if size else [], pa.list_(pa.int64()))],
+                 pa.array(sums[2]), pa.array(sums[3]), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), rows)],
                 names=["doc_id", "held_out", "n_tokens", "n_resident", "base", "part", "rare"],
             )
 
-    kinds = "doc_id long, held_out boolean, n_tokens long, n_resident long, base double, part double, rare array<long>"
+    one = "struct<word: long, own: int, before: int, after: int, a: long, ac: int>"
+    kinds = f"doc_id long, held_out boolean, n_tokens long, n_resident long, base double, part double, rare array<{one}>"
     held_out = ~is_training(F.col("doc_id"))
     scored = read.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(score, kinds)
     scored = save_shared(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
-    looked_up = rare.join(vocabulary.select("word", "n"), "word", "left")
-    n = F.coalesce(F.col("n"), F.lit(0))
-    open_sums = looked_up.groupBy("row").agg(
-        F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("n_rare"),
-        F.sum(F.col("times") * F.log10(n + ADDED)).alias("rare_sum"),
-    )
+    open_ = scored.select("row", F.inline("rare"))
+
+    def looked_up(df: DataFrame, word: str, own: str, n: str) -> DataFrame:
+        """Class and count of a word that no task holds; an unseen one keeps the class of its ending."""
+        there = rare.select(F.col("word").alias(word), F.col("class").alias("_class"), F.col("n").alias(n))
+        joined = df.join(there, word, "left").withColumn(own, F.coalesce("_class", own)).withColumn(n, F.coalesce(n, F.lit(0)))
+        return joined.drop("_class")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = known.value[3]
+        for batch in batches:
+            own, before, after, n = (batch.column(c).to_numpy() for c in ("own", "before", "after", "n"))
+            base = np.where(n >= 0, np.log10(np.maximum(n, 0) + ADDED), 0.0)  # of a pair of rare words only the step counts
+            part = np.where(n >= 0, base - model.divisor[own], 0.0)
+            for known_, step in ((before >= 0, model.transition[before, own]), (after >= 0, model.transition[own, after])):
+                part[known_] += step[known_]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array((n > 0).astype(np.int64)), pa.array(base), pa.array(part)],
+                names=["row", "known", "rare_base", "rare_part"],
+            )
+
+    columns = ["row", "own", "before", "after", "n"]
+    alone = looked_up(open_, "word", "own", "n").select(*columns)
+    pairs = looked_up(looked_up(open_.where("before < 0"), "word", "own", "m"), "a", "ac", "k")
+    pairs = pairs.select("row", "own", F.col("ac").alias("before"), F.lit(-1).alias("after"), F.lit(-1).cast("long").alias("n"))
+    added = alone.unionByName(pairs).mapInArrow(add, "row long, known long, rare_base double, rare_part double")
+    open_sums = added.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("known", "rare_base", "rare_part")))
     joined = scored.drop("rare").join(open_sums, "row", "left")
-    n_rare, rare_sum = F.coalesce("n_rare", F.lit(0)), F.coalesce("rare_sum", F.lit(0.0))
-    base = F.col("base") + rare_sum - F.col("n_tokens") * F.log10(F.lit(float(total) + ADDED * (distinct + 1)))
-    full = F.col("part") + rare_sum
+    n_rare, rare_base, rare_part = (F.coalesce(c, F.lit(0)) for c in ("known", "rare_base", "rare_part"))
+    base = F.col("base") + rare_base - F.col("n_tokens") * F.log10(F.lit(float(total) + ADDED * (distinct + 1)))
+    full = F.col("part") + rare_part
     return joined.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_resident") + n_rare).cast("long").alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), full.alias("score"),
