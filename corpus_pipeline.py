@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from stratalens.llm import langid, minhash, mixing, packing
 from stratalens.session import save_shared
 
+SHINGLE_WORDS = 5
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is determined; those without a letter or with no clear language go."""
@@ -20,7 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the least doc_id."""
-    return minhash.deduplicated(docs)
+    return minhash.deduplicated(docs, width=SHINGLE_WORDS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

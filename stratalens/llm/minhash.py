@@ -18,6 +18,8 @@ from stratalens.session import save_shared
 #: 60 give 24 bands of 5 values: a pair of likeness 0.8 shares no band with probability 7e-5.
 PERMUTATIONS = 60
 BAND_VALUES = 5
+#: Words of a shingle where the caller names none.
+WIDTH = 2
 #: Linked if 100 * shared >= PERCENT * united shingles.
 PERCENT = 80
 #: Partners that share one copy of a hub's text, and documents of a block when a bucket is compared in full.
@@ -49,13 +51,13 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, content (a digest of the whole set, NULL if empty), bands (NULL if empty)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, bands = [], [], []
-            for shingles in shingle_sets(batch.column("text")):
+            for shingles in shingle_sets(batch.column("text"), width):
                 sizes.append(len(shingles))
                 some = len(shingles) > 0
                 digests.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if some else None)
@@ -77,7 +79,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return shared > 0 and 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def _spokes(buckets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _spokes(buckets: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
     """Edges a, b between the least document of each bucket and its other members, confirmed on full sets.
 
     A hub's text is sent once per ``HUB_PARTNERS`` partners, each partner's once per hub.
@@ -102,7 +104,7 @@ def _spokes(buckets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             found = []
             rows = zip(*(batch.column(c).to_pylist() for c in ("hub", "part", "role", "doc_id")))
-            for (hub, part, role, doc), own in zip(rows, shingle_sets(batch.column("text"))):
+            for (hub, part, role, doc), own in zip(rows, shingle_sets(batch.column("text"), width)):
                 if (hub, part) != at:
                     at, sets = (hub, part), []
                 if role == 0:
@@ -118,7 +120,7 @@ def _spokes(buckets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return dealt.select(*order, "doc_id", "text").mapInArrow(confirm, "a long, b long")
 
 
-def _blocks(buckets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _blocks(buckets: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
     """Edges a, b between members of a bucket that are in different components, all pairs confirmed on full sets.
 
     ``buckets``: bucket, doc_id, component. Members of a bucket's largest
@@ -152,7 +154,7 @@ def _blocks(buckets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         for group in grouped(batches, keys):
             own, doc, component = (group.column(c).to_numpy() for c in ("own", "doc_id", "component"))
             component = component.copy()
-            sets = list(shingle_sets(group.column("text")))
+            sets = list(shingle_sets(group.column("text"), width))
             sizes = np.array([len(s) for s in sets])
             flat, at = np.concatenate(sets), np.r_[0, np.cumsum(sizes)]
             apart = group.column("i")[0] != group.column("j")[0]
@@ -180,10 +182,10 @@ def _blocks(buckets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return dealt.select(*keys, "own", "doc_id", "component", "text").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
-    A document's set is its distinct 2-word shingles (of one word: that word).
+    A document's set is its distinct shingles of ``width`` words (of fewer words: all of them as one).
     Documents are linked if their sets reach ``percent`` in likeness; a
     component is named by its least doc_id, and that document is kept.
 
@@ -199,7 +201,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     cannot be named as a copy or have any: it is kept, with NULL component. An
     empty table gives an empty result; other columns are not read.
     """
-    signed = save_shared(signatures(docs), "signed")
+    signed = save_shared(signatures(docs, width), "signed")
     usable = signed.where("doc_id IS NOT NULL AND content IS NOT NULL")
     classes = save_shared(usable.groupBy("content").agg(F.min("doc_id").alias("rep")), "classes")
     copies = usable.select("content", "doc_id").join(classes, "content").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
@@ -217,7 +219,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # The texts of all documents move once; from here on only those that share a bucket with another one do.
     met = members.select("doc_id").distinct()
     docs = save_shared(docs.select("doc_id", "text").join(met.hint("merge"), "doc_id", "left_semi"), "near-texts")
-    links = save_shared(copies.unionByName(_spokes(members, docs, percent)), "near-links")
+    links = save_shared(copies.unionByName(_spokes(members, docs, percent, width)), "near-links")
     found = save_shared(connected_components(links), "components")
     placed = members.join(found, members.doc_id == found.vertex, "left").select(
         "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")
@@ -228,7 +230,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         .where("least <> greatest").select("bucket"),
         "split-buckets",
     )
-    more = save_shared(_blocks(placed.join(split, "bucket"), docs, percent), "more-links")
+    more = save_shared(_blocks(placed.join(split, "bucket"), docs, percent, width), "more-links")
     found = save_shared(connected_components(links.unionByName(more)), "components")
     named = signed.join(found, signed.doc_id == found.vertex, "left")
     component = F.coalesce("component", "doc_id")
@@ -238,13 +240,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
-def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """The rows of ``docs``, with all their columns, of which one of each component of near-duplicates stays.
 
     That is the row with the component's least doc_id; of rows that repeat
     this id, the one with the least text. Rows without words or without id stay.
     """
-    found = save_shared(near_duplicates(docs, percent), "near-duplicates")
+    found = save_shared(near_duplicates(docs, percent, width), "near-duplicates")
     repeats = found.where("kept AND n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     repeats = save_shared(repeats.where("doc_id IS NOT NULL").select("doc_id"), "repeated-ids")
     left_out = found.where("NOT kept").select("doc_id").distinct().unionByName(repeats)

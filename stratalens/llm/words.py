@@ -95,13 +95,17 @@ def texts_to_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarr
         yield row, hashes, np.r_[0, np.cumsum(counts)]
 
 
-def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
-    """The sorted distinct 2-word shingles of each text; of one word, that word; of none, nothing."""
+def shingle_sets(column: pa.Array, width: int = 2) -> Iterator[np.ndarray]:
+    """The sorted distinct shingles of ``width`` words of each text; of fewer words, the whole sequence; of none, nothing."""
     for _, words, offsets in texts_to_words(column):
         for first, last in zip(offsets[:-1], offsets[1:]):
             own = words[first:last]
-            if len(own) > 1:
-                own = mix(own[:-1] * np.uint64(0x9E3779B97F4A7C15) + own[1:])
+            if len(own):
+                size = min(width, len(own))
+                found = own[: len(own) - size + 1]
+                for k in range(1, size):
+                    found = mix(found * np.uint64(0x9E3779B97F4A7C15) + own[k : len(own) - size + 1 + k])
+                own = found
             yield np.unique(own)
 
 
