@@ -502,6 +502,20 @@ def payload_files(spark, sf_dir):
     return found.select("length", F.rtrim(F.decode("payload", "utf-8"), F.lit("\n")).alias("content"))
 
 
+@query
+def payload_bodies(spark, sf_dir):
+    """The bodies of all pages, landed as lines of id and hexadecimal bytes in files of at most 64 pages, read as bytes."""
+    path = shared_path(spark, "bodies")
+    body = F.coalesce(F.hex(F.col("html").cast("binary")), F.lit("-"))
+    lines = views.table(spark, sf_dir, "pages").select(F.concat_ws(" ", F.col("page_id").cast("string"), body).alias("value"))
+    lines.write.option("maxRecordsPerFile", 64).text(path)
+    found = tables.read_payloads(spark, path, glob="*.txt")
+    line = found.select(F.explode(F.split(F.decode("payload", "utf-8"), "\n")).alias("line")).where("line <> ''")
+    field = F.split("line", " ")
+    landed = line.select(field[0].cast("long").alias("page_id"), F.unhex(F.nullif(field[1], F.lit("-"))).alias("body"))
+    return landed.select("page_id", F.octet_length("body").cast("long").alias("length"), F.md5("body").alias("digest"))
+
+
 @query
 def payload_present(spark, sf_dir):
     pages = views.payloads(spark, sf_dir)

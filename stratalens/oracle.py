@@ -487,6 +487,7 @@ def oracle_queries() -> dict[str, str]:
         FROM documents"""
     sql["payload_files"] = """
         SELECT cast(strlen(n_name) + 1 AS bigint) length, n_name content FROM nation"""
+    sql["payload_bodies"] = "SELECT page_id, cast(strlen(html) AS bigint) length, md5(html) digest FROM pages"
     sql["payload_present"] = f"SELECT url, page_id FROM pages WHERE url IN ({fetched})"
     sql["payload_missing"] = f"SELECT url, page_id FROM pages WHERE url NOT IN ({fetched})"
 
