@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratalens.llm import brown, embeddings, langid, merkle, minhash, mixing, packing, sharding, token_files, warc
+from stratalens.llm import (
+    brown,
+    content_sort,
+    embeddings,
+    langid,
+    merkle,
+    minhash,
+    mixing,
+    packing,
+    periodic,
+    sharding,
+    simplex,
+    token_files,
+    warc,
+)
 from stratalens.llm.common import table
 from stratalens.llm.sql import ORACLE  # noqa: F401, read with QUERIES
 
@@ -64,4 +78,44 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_embeddings, op3_warc, op4_merkle, op5_tokens, op6_packing, op7_minhash, op8_brown, op9_sharding, op10_mixing)}
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(periodic.with_planted_runs(table(spark, sf_dir, "documents")))
+    found = found.select("doc_id", "runs", "collapsed", periodic.longest(F.col("runs")).alias("best"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periodic.listed(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_sort.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_simplex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simplex.clustered(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_langid,
+        op2_embeddings,
+        op3_warc,
+        op4_merkle,
+        op5_tokens,
+        op6_packing,
+        op7_minhash,
+        op8_brown,
+        op9_sharding,
+        op10_mixing,
+        op11_runs,
+        op12_content,
+        op13_simplex,
+    )
+}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratalens.llm import mixing
+from stratalens.llm import mixing, simplex
 
 SOURCES = " ".join(f"WHEN {i} THEN {float(w)}" for i, w in enumerate(mixing.WEIGHTS))
 
@@ -72,5 +72,71 @@ least AS (SELECT a, min(b) component_id FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n, 0) n_shingles, component_id, d.doc_id = component_id kept
 FROM documents d JOIN least ON least.a = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id"""
 
-ORACLE = {"op2_embeddings": EMBEDDINGS, "op3_warc": WARC, "op7_minhash": MINHASH, "op10_mixing": MIXING}
+#: CRC-32 bit by bit: a list element of 0 or more is a byte of the id, -1 one step of the division.
+CRC32 = """xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(coalesce(cast(doc_id AS varchar), ''), ''),
+    lambda d: list_concat([ascii(d)::bigint], list_transform(range(8), lambda i: -1::bigint))))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"""
+
+#: Words p apart whose next five words are equal; stretches of such places are runs, of equal stretches the least period counts.
+PERIODIC = rf"""
+WITH hashed AS (SELECT row_number() OVER () r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w, {CRC32} h FROM documents),
+cut AS (SELECT *, len(w) n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END a, (h // 10) % 8 g FROM hashed),
+docs AS (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n),
+    lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g)) END]) END w FROM cut),
+words AS (SELECT r, unnest(range(n)) i, unnest(w) w FROM docs),
+grams AS (SELECT r, i, concat_ws(' ', w, lead(w, 1) OVER s, lead(w, 2) OVER s, lead(w, 3) OVER s, lead(w, 4) OVER s) gram,
+    lead(w, 4) OVER s IS NOT NULL whole FROM words WINDOW s AS (PARTITION BY r ORDER BY i)),
+pairs AS (SELECT x.r, x.i, y.i - x.i p FROM grams x JOIN grams y ON x.r = y.r AND x.gram = y.gram AND x.i < y.i WHERE x.whole AND y.whole),
+stretches AS (SELECT r, p, min(i) s, count(*) + 4 + p m FROM (SELECT *, i - row_number() OVER (PARTITION BY r, p ORDER BY i) g FROM pairs)
+  GROUP BY r, p, g HAVING count(*) + 4 >= 3 * p AND count(*) + 4 + p >= 6),
+runs AS (SELECT r, s, m, min(p) p FROM stretches GROUP BY r, s, m),
+listed AS (SELECT r, count(*) n_runs, string_agg(concat(s, ',', m, ',', p, chr(10)), '' ORDER BY s, p) runs,
+    first(struct_pack(s := s, m := m, p := p) ORDER BY m DESC, s, p) best FROM runs GROUP BY r),
+dropped AS (SELECT DISTINCT r, unnest(range(s + p, s + m)) i FROM runs),
+kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) t FROM words ANTI JOIN dropped USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) n_runs, best.s "start", best.m length, best.p period, 1000 * best.m // best.p exponent_milli,
+  sha256(coalesce(runs, '')) runs_sha256, sha256(coalesce(t, '')) collapsed_sha256
+FROM docs LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)"""
+
+#: Groups of equal normalised texts.
+CONTENT = """
+WITH norm AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) keep_id, count(*) OVER (PARTITION BY t) group_size,
+  row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 kept, sha256(t) text_sha256 FROM norm"""
+
+
+def _simplex() -> str:
+    """Lloyd's rounds one after the other: distances to all centroids, the least, floors of the means."""
+
+    def assigned(centroids: str) -> str:
+        return f"""(SELECT id, v, d.d.d, d.d.c FROM (SELECT id, p.v, (SELECT min(struct_pack(d := list_sum(list_transform(list_zip(p.v, k.v),
+            lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, c := k.c)) FROM {centroids} k) d FROM points p) d)"""
+
+    steps = [
+        f"""raw AS (SELECT vec_id, cast(embedding AS double[]) e FROM embeddings WHERE embedding IS NOT NULL),
+points AS (SELECT row_number() OVER () id, vec_id, list_transform(e, lambda x: cast(floor({simplex.SCALE} * x) AS bigint)) v FROM raw
+  WHERE len(e) = {simplex.DIMENSIONS} AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 c, v FROM (SELECT v, sha256(concat('{simplex.SEED}:', vec_id)) h FROM points
+  ORDER BY h, v LIMIT {simplex.CLUSTERS}))"""
+    ]
+    for k in range(simplex.ROUNDS):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT c, unnest(v) x, unnest(range({simplex.DIMENSIONS})) i FROM {assigned(f"c{k}")}),
+m{k} AS (SELECT c, list(f ORDER BY i) v FROM (SELECT c, i, cast(floor(cast(sum(x) AS double) / count(*)) AS bigint) f FROM a{k} GROUP BY c, i) GROUP BY c),
+c{k + 1} AS MATERIALIZED (SELECT c, coalesce(m{k}.v, c{k}.v) v FROM c{k} LEFT JOIN m{k} USING (c))""")
+    last = f"c{simplex.ROUNDS}"
+    return f"""WITH {", ".join(steps)}, final AS MATERIALIZED {assigned(last)}
+SELECT vec_id, cast(final.c AS int) cluster, d distance, cast(sum(d) OVER (PARTITION BY final.c) AS bigint) cluster_inertia,
+  cast(sum(d) OVER () AS bigint) inertia, sha256(array_to_string({last}.v, ',')) centroid_sha256
+FROM final JOIN points USING (id) JOIN {last} ON {last}.c = final.c"""
+
+
+ORACLE = {
+    "op2_embeddings": EMBEDDINGS,
+    "op3_warc": WARC,
+    "op7_minhash": MINHASH,
+    "op10_mixing": MIXING,
+    "op11_runs": PERIODIC,
+    "op12_content": CONTENT,
+    "op13_simplex": _simplex(),
+}
 ORACLE = {name: text.strip() for name, text in ORACLE.items()}
