@@ -713,9 +713,7 @@ def train_labels(spark, sf_dir):
 @query
 def collate_pad(spark, sf_dir):
     examples = tokens.train_labels(views.prompt_completion_ids(spark, sf_dir, 512), max_len=512)
-    docs = views.table(spark, sf_dir, "documents").select("doc_id")
-    batches = rows.assign_batches(docs, ["doc_id"], 8).select("doc_id", "batch_id")
-    padded = tokens.collate_pad(examples.join(batches, "doc_id"), pad_id=0)
+    padded = tokens.collate_pad(examples, "doc_id", batch_size=8, pad_id=0)
     return padded.select(
         "batch_id", "doc_id", id_text("input_ids"), id_text("attention_mask"), id_text("labels")
     )

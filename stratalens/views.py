@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stratalens.functions.text import tokens, words
+from stratalens.functions.text import tokens
 from stratalens.operators.rows import enumerate_rows
 from stratalens.operators.tokens import word_ids
 from stratalens.session import spread
@@ -196,17 +196,18 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, sf_dir: str, first: int | None = None) -> DataFrame:
     """Documents as word ids, whole or their ``first`` words; the vocabulary is that of the whole texts."""
-    listed = texts(spark, sf_dir).withColumn("words", words(F.lower("text")))
-    wanted = F.col("words") if first is None else F.slice("words", 1, first)
-    return word_ids(listed, "doc_id", F.col("words"), {"input_ids": wanted})
+    wanted = {"input_ids": lambda w: w if first is None else F.slice(w, 1, first)}
+    return word_ids(texts(spark, sf_dir), "doc_id", F.lower("text"), wanted)
 
 
 def prompt_completion_ids(spark: SparkSession, sf_dir: str, max_len: int) -> DataFrame:
     """The first half of a document's words is the prompt, the rest the completion; ids of ``max_len`` words of each."""
-    listed = texts(spark, sf_dir).withColumn("words", words(F.lower("text")))
-    half = F.floor(F.size("words") / 2).cast("int")
+
+    def half(w):
+        return F.floor(F.size(w) / 2).cast("int")
+
     sides = {
-        "prompt_ids": F.slice("words", F.lit(1), F.least(half, F.lit(max_len))),
-        "completion_ids": F.slice("words", half + 1, F.least(F.size("words") - half, F.lit(max_len))),
+        "prompt_ids": lambda w: F.slice(w, F.lit(1), F.least(half(w), F.lit(max_len))),
+        "completion_ids": lambda w: F.slice(w, half(w) + 1, F.least(F.size(w) - half(w), F.lit(max_len))),
     }
-    return word_ids(listed, "doc_id", F.col("words"), sides)
+    return word_ids(texts(spark, sf_dir), "doc_id", F.lower("text"), sides)
