@@ -368,16 +368,26 @@ def rouge_l_turns(spark, sf_dir):
 def meteor_synonym_turns(spark, sf_dir):
     made, asked = views.turns(spark, sf_dir)
     matched = captions.match_references(made, asked)
-    scores = captions.meteor_scores(matched, stemming=False, synonyms=views.alike_words(spark, sf_dir))
+    scores = captions.meteor_scores(matched, stemming=False, synsets=views.alike_words(spark, sf_dir))
     return scores.select("sample_id.conv_id", "sample_id.turn", six("meteor"))
 
 
+@query
+def meteor_stem_turns(spark, sf_dir):
+    """All three stages: equal words, equal stems, words of a synset."""
+    made, asked = views.turns(spark, sf_dir)
+    matched = captions.match_references(made, asked)
+    stems = captions.meteor_scores(matched).withColumnRenamed("meteor", "meteor_stem")
+    every = captions.meteor_scores(matched, synsets=views.alike_words(spark, sf_dir))
+    return stems.join(every, "sample_id").select("sample_id.conv_id", "sample_id.turn", six("meteor_stem"), six("meteor"))
+
+
 def turn_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three scores of both runs over the assistant's turns, one row per run and metric."""
     made = views.turn_captions(spark, sf_dir)
     bleu = captions.bleu4(made, keys=("run_id",)).select("run_id", F.lit("bleu4").alias("metric"), F.col("bleu4").alias("value"))
     rouge = captions.mean_score(captions.rouge_l_scores(made), "rouge_l", ("run_id",))
-    meteor = captions.mean_score(captions.meteor_scores(made, stemming=False), "meteor", ("run_id",))
+    meteor = captions.mean_score(captions.meteor_scores(made, keys=("run_id", "sample_id")), "meteor", ("run_id",))
     return bleu.unionByName(rouge.select("run_id", F.lit("rougeL").alias("metric"), F.col("rouge_l").alias("value"))).unionByName(
         meteor.select("run_id", F.lit("meteor").alias("metric"), F.col("meteor").alias("value"))
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict, deque
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -86,63 +86,84 @@ def rouge_l_f1(predicted: list[str], reference: list[str]) -> float:
     return 2 * lcs_length(predicted, reference) / length if length else 0.0
 
 
-def _pair_by(
-    predicted: list[tuple[int, str]], reference: list[tuple[int, str]], key: Callable[[str], str]
-) -> list[tuple[int, int]]:
-    """Left to right, each prediction token takes the first free reference token with its key."""
-    free: dict[str, deque[int]] = defaultdict(deque)
-    for at, token in reference:
-        free[key(token)].append(at)
-    return [(at, free[key(token)].popleft()) for at, token in predicted if free.get(key(token))]
-
-
-def _pair_synonyms(
-    predicted: list[tuple[int, str]], reference: list[tuple[int, str]], synonyms: dict[str, set[str]]
-) -> list[tuple[int, int]]:
-    free: dict[str, deque[int]] = defaultdict(deque)
-    for at, token in reference:
-        free[token].append(at)
-    token_at = dict(reference)
-    pairs = []
-    for at, token in predicted:
-        first = min((free[s][0] for s in synonyms.get(token, ()) if free.get(s)), default=None)
-        if first is not None:
-            pairs.append((at, first))
-            free[token_at[first]].popleft()
-    return pairs
-
-
-def align(
-    predicted: list[str],
-    reference: list[str],
-    stem: Callable[[str], str] | None = None,
-    synonyms: dict[str, set[str]] | None = None,
-) -> list[tuple[int, int]]:
-    """Matched positions: equal tokens, then equal stems, then synonyms among the rest."""
-    left, right = list(enumerate(predicted)), list(enumerate(reference))
-    matched: list[tuple[int, int]] = []
-    stages = [lambda a, b: _pair_by(a, b, lambda token: token)]
-    if stem:
-        stages.append(lambda a, b: _pair_by(a, b, stem))
-    if synonyms:
-        stages.append(lambda a, b: _pair_synonyms(a, b, synonyms))
+def _occurrence(key: np.ndarray) -> np.ndarray:
+    """How many equal values stand before each."""
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0]) if len(key) else np.zeros(0, np.int64)
+    found = np.empty(len(key), np.int64)
+    found[order] = np.arange(len(key)) - np.repeat(starts, np.diff(np.r_[starts, len(key)]))
+    return found
+
+
+def equal_pairs(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places in (owner, class) of both sides where the k-th of a class on the left meets the k-th on the right."""
+    owner, kind = (np.concatenate(both).astype(np.int64) for both in zip(left, right))
+    key = np.unique(owner * (int(kind.max(initial=0)) + 1) + kind, return_inverse=True)[1]
+    sides = key[: len(left[0])], key[len(left[0]) :]
+    ranks = [_occurrence(side) for side in sides]
+    width = max(int(rank.max(initial=0)) for rank in ranks) + 1
+    own = [side * width + rank for side, rank in zip(sides, ranks)]
+    return np.intersect1d(*own, assume_unique=True, return_indices=True)[1:]
+
+
+def synset_pairs(
+    left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], synsets: list[list[int]]
+) -> tuple[np.ndarray, np.ndarray]:
+    """Left to right, each word takes the first free word of its owner that shares a synset; classes are word codes."""
+    if max(map(len, synsets), default=0) < 2:  # sharing is an equivalence then
+        of_word = np.array([own[0] if own else -1 for own in synsets], dtype=np.int64)
+        sides = [(owner, of_word[code], np.flatnonzero(of_word[code] >= 0)) for owner, code in (left, right)]
+        found = equal_pairs(*((owner[at], kind[at]) for owner, kind, at in sides))
+        return sides[0][2][found[0]], sides[1][2][found[1]]
+    free: dict[tuple[int, int], deque[int]] = defaultdict(deque)
+    for at, (owner, code) in enumerate(zip(right[0].tolist(), right[1].tolist())):
+        for synset in synsets[code]:
+            free[owner, synset].append(at)
+    used, pairs = set(), []
+    for at, (owner, code) in enumerate(zip(left[0].tolist(), left[1].tolist())):
+        firsts = []
+        for synset in synsets[code]:
+            queue = free.get((owner, synset), ())
+            while queue and queue[0] in used:
+                queue.popleft()
+            firsts += [queue[0]] if queue else []
+        if firsts:
+            used.add(min(firsts))
+            pairs.append((at, min(firsts)))
+    return tuple(np.array(pairs, dtype=np.int64).reshape(-1, 2).T)
+
+
+Lists = tuple[np.ndarray, np.ndarray]
+
+
+def meteor(predicted: Lists, reference: Lists, stems: np.ndarray | None = None, synsets: list[list[int]] | None = None) -> np.ndarray:
+    """METEOR of every pair of texts, given as word codes and the number of words of each text.
+
+    Equal words are matched first, then those with equal ``stems`` (by word
+    code), then those that share one of ``synsets``; each stage takes what the
+    ones before left, from left to right.
+    """
+    sides = [(np.repeat(np.arange(len(counts)), counts), codes) for codes, counts in (predicted, reference)]
+    free = [np.arange(len(codes)) for _, codes in sides]
+    stages = [equal_pairs]
+    if stems is not None:
+        stages.append(lambda left, right: equal_pairs((left[0], stems[left[1]]), (right[0], stems[right[1]])))
+    if synsets is not None:
+        stages.append(lambda left, right: synset_pairs(left, right, synsets))
+    matched = []
     for stage in stages:
-        pairs = stage(left, right)
-        matched += pairs
-        used_left, used_right = {a for a, _ in pairs}, {b for _, b in pairs}
-        left = [entry for entry in left if entry[0] not in used_left]
-        right = [entry for entry in right if entry[0] not in used_right]
-    return sorted(matched)
-
-
-def meteor_score(predicted: list[str], reference: list[str], **stages) -> float:
-    pairs = align(predicted, reference, **stages)
-    if not pairs:
-        return 0.0
-    matches = len(pairs)
-    chunks = 1 + sum(
-        (a2, b2) != (a1 + 1, b1 + 1) for (a1, b1), (a2, b2) in zip(pairs, pairs[1:])
-    )
-    precision, recall = matches / len(predicted), matches / len(reference)
-    f_mean = 10 * precision * recall / (recall + 9 * precision)
-    return f_mean * (1 - 0.5 * (chunks / matches) ** 3)
+        pairs = stage(*((owner[at], codes[at]) for (owner, codes), at in zip(sides, free)))
+        matched.append([at[own] for at, own in zip(free, pairs)])
+        free = [np.delete(at, own) for at, own in zip(free, pairs)]
+    at, to = (np.concatenate(own) for own in zip(*matched))
+    order = np.argsort(at)
+    at, to = at[order], to[order]
+    owner = sides[0][0][at]
+    goes_on = (np.diff(owner) == 0) & (np.diff(at) == 1) & (np.diff(to) == 1)
+    n = len(predicted[1])
+    matches = np.bincount(owner, minlength=n).astype(float)
+    chunks = np.bincount(owner[np.r_[True, ~goes_on]] if len(at) else owner, minlength=n)
+    any_ = np.maximum(matches, 1)
+    precision, recall = any_ / np.maximum(predicted[1], 1), any_ / np.maximum(reference[1], 1)
+    score = 10 * precision * recall / (recall + 9 * precision) * (1 - 0.5 * (chunks / any_) ** 3)
+    return np.where(matches > 0, score, 0.0)

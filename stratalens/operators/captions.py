@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -11,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from stratalens.functions import overlap
-from stratalens.functions.stem import porter
-from stratalens.functions.text import UNICODE_SEPARATORS, clean_generated, strip, token_text, tokens
+from stratalens.functions.stem import with_stems
+from stratalens.functions.text import UNICODE_SEPARATORS, clean_generated, strip, token_text
+from stratalens.operators import coding
 
 EMPTY_MARK = "(empty)"  # fixed value: shown for an empty caption
 
@@ -89,54 +89,75 @@ def rouge_l_scores(captions: DataFrame, separators: str = UNICODE_SEPARATORS) ->
     return captions.withColumn("rouge_l", _rouge_l(predicted, reference))
 
 
-def _meteor(stemming: bool):
-    @F.pandas_udf("double")
-    def score(generated: pd.Series, reference: pd.Series, entries: pd.Series) -> pd.Series:
-        scores = []
-        stem = lru_cache(100_000)(porter) if stemming else None
-        for predicted, target, listed in zip(generated, reference, entries):
-            synonyms = {entry["word"]: set(entry["synonyms"]) for entry in listed}
-            stages = {"stem": stem, "synonyms": synonyms}
-            scores.append(overlap.meteor_score(predicted.split(), target.split(), **stages))
-        return pd.Series(scores, dtype=float)
+def _lists(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    lists = table.column(name).combine_chunks()
+    return lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
 
-    return score
 
-
-_NO_ENTRIES = "array<struct<word string, synonyms array<string>>>"
-
-
-def _with_synonyms(captions: DataFrame, synonyms: DataFrame, separators: str) -> DataFrame:
-    """Add the dictionary entries of the caption's words."""
-    dictionary = synonyms.groupBy("word").agg(F.collect_set("synonym").alias("synonyms"))
-    found = captions.select(
-        "sample_id", F.explode(F.array_distinct(tokens(F.col("generated"), separators))).alias("word")
-    )
-    found = found.join(dictionary, "word")
-    entries = found.groupBy("sample_id").agg(F.collect_list(F.struct("word", "synonyms")).alias("entries"))
-    return captions.join(entries, "sample_id", "left").withColumn(
-        "entries", F.coalesce("entries", F.array().cast(_NO_ENTRIES))
-    )
+def _word_facts(words: DataFrame, stemming: bool, synsets: DataFrame | None) -> DataFrame:
+    """Per chunk, in the order of its codes: the stems and the synsets of its words (NULL where not asked for)."""
+    distinct = words.select("word").distinct()
+    known = with_stems(distinct) if stemming else distinct.withColumn("stem", F.lit(None).cast("string"))
+    if synsets is None:
+        known = known.withColumn("synsets", F.lit(None).cast("array<string>"))
+    else:
+        listed = synsets.select("word", F.col("synset").cast("string").alias("synset")).groupBy("word")
+        known = known.join(listed.agg(F.collect_set("synset").alias("synsets")), "word", "left")
+    return coding.per_chunk(words.join(known, "word"), stems="stem", synsets="synsets")
 
 
 def meteor_scores(
     captions: DataFrame,
     stemming: bool = True,
-    synonyms: DataFrame | None = None,
+    synsets: DataFrame | None = None,
     separators: str = UNICODE_SEPARATORS,
+    keys: tuple[str, ...] = ("sample_id",),
 ) -> DataFrame:
-    """METEOR of every caption with its first reference.
+    """``keys`` and the METEOR of every caption with its first reference.
 
-    ``synonyms`` holds ``(word, synonym)`` rows and may have any size: it is
-    joined by word, and a caption takes along only the entries of its words.
+    ``synsets`` holds ``(word, synset)`` rows, words being synonyms if they
+    share one; it may have any size. Captions become word codes with a
+    dictionary per chunk. Stems are computed once per distinct word; they and
+    the synsets meet the dictionaries in a join, so no word is shuffled as often
+    as it occurs. A chunk is aligned as a whole, on integers.
     """
-    if synonyms is None:
-        listed = captions.withColumn("entries", F.array().cast(_NO_ENTRIES))
-    else:
-        listed = _with_synonyms(captions, synonyms, separators)
-    predicted = token_text(F.col("generated"), separators)
-    reference = token_text(first_reference(F.col("refs")), separators)
-    return listed.withColumn("meteor", _meteor(stemming)(predicted, reference, F.col("entries"))).drop("entries")
+    texts = {
+        "_predicted": token_text(F.col("generated"), separators),
+        "_reference": token_text(first_reference(F.col("refs")), separators),
+    }
+    names = list(texts)
+    if not stemming and synsets is None:  # nothing to look up
+        chosen = captions.select(*keys, *[text.alias(name) for name, text in texts.items()])
+        schema = T.StructType([*[chosen.schema[key] for key in keys], T.StructField("meteor", T.DoubleType())])
+
+        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in coding.pieces(whole, names) if whole.num_rows else ():
+                    (predicted, n), (reference, m) = (coding.split_words(batch.column(name)) for name in names)
+                    codes = pa.concat_arrays([predicted, reference]).dictionary_encode().indices.to_numpy().astype(np.int64)
+                    scores = overlap.meteor((codes[: len(predicted)], n), (codes[len(predicted) :], m))
+                    yield pa.RecordBatch.from_arrays([*[batch.column(key) for key in keys], pa.array(scores)], names=[*keys, "meteor"])
+
+        return chosen.mapInArrow(exact, schema)
+
+    table, with_synsets = coding.coded(captions, list(keys), texts), synsets is not None
+    schema = T.StructType([*[table.schema[key] for key in keys], T.StructField("meteor", T.DoubleType())])
+
+    def align(rows: pa.Table, facts: pa.Table) -> pa.Table:
+        stages = {}
+        if facts.num_rows and stemming:
+            stems = facts.column("stems").combine_chunks().flatten().dictionary_encode()
+            stages["stems"] = stems.indices.to_numpy().astype(np.int64)
+        if facts.num_rows and with_synsets:
+            lists = facts.column("synsets").combine_chunks().flatten()
+            codes = lists.flatten().dictionary_encode().indices.to_pylist()
+            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy()).tolist()
+            stages["synsets"] = [codes[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+        scores = overlap.meteor(*(_lists(rows, name) for name in names), **stages)
+        return pa.Table.from_arrays([*[rows.column(key) for key in keys], pa.array(scores)], names=[*keys, "meteor"])
+
+    facts = _word_facts(coding.chunk_words(table), stemming, synsets)
+    return coding.with_facts(table.drop("_words"), facts, align, schema)
 
 
 def mean_score(scores: DataFrame, name: str, keys: tuple[str, ...] = ()) -> DataFrame:

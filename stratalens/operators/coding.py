@@ -15,7 +15,7 @@ from stratalens.session import save_shared
 CHUNK_WORDS = 1 << 20
 
 
-def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts, and how many each has; NULL has none."""
     found = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
     flat = found.flatten()
@@ -24,7 +24,7 @@ def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(filled), np.bincount(row[filled.to_numpy(zero_copy_only=False)], minlength=len(texts))
 
 
-def _pieces(batch: pa.RecordBatch, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts are not much longer than a chunk can hold (six bytes a word)."""
     size = sum(pc.binary_length(batch.column(name).fill_null("")).cast(pa.int64()).to_numpy() for name in names)
     block = (np.cumsum(size) - size) // (6 * CHUNK_WORDS)
@@ -67,8 +67,8 @@ def coded(df: DataFrame, keys: Sequence[str], texts: Mapping[str, Column]) -> Da
 
         number, held, n = TaskContext.get().partitionId() << 33, [], 0
         for whole in batches:
-            for batch in _pieces(whole, names) if whole.num_rows else ():
-                lists = [_split(batch.column(name)) for name in names]
+            for batch in pieces(whole, names) if whole.num_rows else ():
+                lists = [split_words(batch.column(name)) for name in names]
                 size = sum(len(flat) for flat, _ in lists)
                 if held and n + size > CHUNK_WORDS:
                     yield finish(held, number)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import textwrap
 
+from stratalens.functions import stem
+
 N_LAYERS = 24
 TOKEN = r"[^\p{L}\p{N}]+"
 # The code points that count as blank, and the headings of an unwanted suffix.
@@ -160,6 +162,110 @@ rouge AS (SELECT {keys}, CASE WHEN len(p) + len(r) = 0 THEN 0 ELSE 2.0 * row_[-1
   FROM rows_ JOIN pairs_ USING ({keys}) WHERE i = len(p))"""
 
 
+def caption_sides(reference: str) -> str:
+    return f"""
+sides AS (SELECT sample_id, 0 src, {toks('generated')} w FROM captions
+          UNION ALL SELECT sample_id, 1, {toks(reference)} FROM captions)"""
+
+
+# Porter's rules over shapes of letters; y is a vowel after a consonant.
+CONSONANTS, VOWELS = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+VOWEL = f"^({CONSONANTS}[aeiouy]|[aeiou])"
+M_ABOVE_0 = f"{VOWEL}[aeiou]*{CONSONANTS}"
+M_ABOVE_1 = f"{M_ABOVE_0}{VOWELS}{CONSONANTS}"
+M_1 = f"{M_ABOVE_0}({VOWELS})?$"
+SHORT = "^[^aeiou][^aeiouy]*[aeiouy][^aeiouwxy]$"
+
+
+def porter(source: str) -> str:
+    """``stems (t, s)`` of the distinct words ``t`` of ``source``, step by step."""
+
+    def has(sql: str, pattern: str) -> str:
+        return f"regexp_matches({sql}, '{pattern}')"
+
+    def cut(n: int) -> str:
+        return f"left(s, length(s) - {n})"
+
+    def by_suffix(suffixes, result) -> str:
+        cases = " ".join(f"WHEN suffix(s, '{x}') THEN {result(x)}" for x in sorted(suffixes, key=len, reverse=True))
+        return f"CASE {cases} ELSE s END"
+
+    def past(x: str) -> str:
+        stem = cut(len(x))
+        double = f"right({stem}, 1) = left(right({stem}, 2), 1) AND length({stem}) > 1 AND NOT {has(f'right({stem}, 1)', '[aeiouylsz]')}"
+        return f"""CASE WHEN NOT {has(stem, VOWEL)} THEN s WHEN {has(stem, '(at|bl|iz)$')} OR {has(stem, SHORT)} THEN concat({stem}, 'e')
+          WHEN ({double}) OR {has(stem, '((^|[aeiou])y|[^aeiouy])(yy)+$')} THEN {cut(len(x) + 1)} ELSE {stem} END"""
+
+    def replaced(table: dict[str, str]) -> str:
+        return by_suffix(table, lambda x: f"CASE WHEN {has(cut(len(x)), M_ABOVE_0)} THEN concat({cut(len(x))}, '{table[x]}') ELSE s END")
+
+    def derived(x: str) -> str:
+        mark = f" AND {has(cut(3), '[st]$')}" if x == "ion" else ""
+        return f"CASE WHEN {has(cut(len(x)), M_ABOVE_1)}{mark} THEN {cut(len(x))} ELSE s END"
+
+    steps = [
+        f"CASE WHEN {has('s', '(sses|ies)$')} THEN {cut(2)} WHEN {has('s', '(^|[^s])s$')} THEN {cut(1)} ELSE s END",
+        f"CASE WHEN suffix(s, 'eed') THEN CASE WHEN {has(cut(3), M_ABOVE_0)} THEN {cut(1)} ELSE s END ELSE {by_suffix(('ed', 'ing'), past)} END",
+        f"CASE WHEN suffix(s, 'y') AND {has(cut(1), VOWEL)} THEN concat({cut(1)}, 'i') ELSE s END",
+        replaced(stem.STEP_2),
+        replaced(stem.STEP_3),
+        by_suffix(stem.STEP_4, derived),
+        f"""CASE WHEN suffix(s, 'e') AND ({has(cut(1), M_ABOVE_1)} OR ({has(cut(1), M_1)} AND NOT {has(cut(1), SHORT)})) THEN {cut(1)} ELSE s END""",
+        f"CASE WHEN suffix(s, 'll') AND {has('s', M_ABOVE_1)} THEN {cut(1)} ELSE s END",
+    ]
+    parts = [f"stem0 AS (SELECT DISTINCT t, t s FROM {source})"]
+    parts += [f"stem{k + 1} AS MATERIALIZED (SELECT t, {step} s FROM stem{k})" for k, step in enumerate(steps)]
+    return ",\n".join([*parts, f"stems AS (SELECT t, CASE WHEN length(t) > 2 THEN s ELSE t END s FROM stem{len(steps)})"])
+
+
+def meteor(m: str = "m", ch: str = "ch") -> str:
+    f_mean = f"10 * ({m} / p) * ({m} / r) / ({m} / r + 9 * ({m} / p))"
+    return f"CASE WHEN {m} IS NULL THEN 0 ELSE {f_mean} * (1 - 0.5 * power({ch} / {m}, 3)) END"
+
+
+def aligned(keys: str, *stages: str, name: str = "") -> str:
+    """``found{name}`` (matches and chunks) from ``pos`` (keys, src, t, s, g, i): each stage pairs the k-th of a class on both sides."""
+    own = [key.strip() for key in keys.split(",")]
+    parts, free = [], "pos"
+    for k, column in enumerate(stages):
+        at = f"{k}{name}"
+        parts.append(f"occ{at} AS (SELECT *, row_number() OVER (PARTITION BY {keys}, src, {column} ORDER BY i) k FROM {free})")
+        parts.append(f"""hit{at} AS MATERIALIZED (SELECT {", ".join("p." + key for key in own)}, p.i a, r.i b
+            FROM occ{at} p JOIN occ{at} r USING ({keys}, {column}, k) WHERE p.src = 0 AND r.src = 1)""")
+        parts.append(f"""free{at} AS MATERIALIZED (SELECT * FROM {free} ANTI JOIN
+            (SELECT {keys}, 0 src, a i FROM hit{at} UNION ALL SELECT {keys}, 1, b FROM hit{at}) USING ({keys}, src, i))""")
+        free = f"free{at}"
+    every = " UNION ALL ".join(f"FROM hit{k}{name}" for k in range(len(stages)))
+    parts.append(f"steps{name} AS (SELECT *, lag(a) OVER w pa, lag(b) OVER w pb FROM ({every}) WINDOW w AS (PARTITION BY {keys} ORDER BY a))")
+    parts.append(f"""found{name} AS (SELECT {keys}, count(*) m, sum(CASE WHEN a = pa + 1 AND b = pb + 1 THEN 0 ELSE 1 END) ch
+        FROM steps{name} GROUP BY ALL)""")
+    return ",\n".join(parts)
+
+
+def word_positions(keys: str) -> str:
+    """``pos`` with stems and starts of words, and ``sizes``, from ``sides`` (keys, src, w)."""
+    return f"""
+said_ AS (SELECT {keys}, src, unnest(w) t, generate_subscripts(w, 1) i FROM sides),
+{porter("said_")},
+pos AS MATERIALIZED (SELECT said_.*, s, substr(t, 1, 5) g FROM said_ JOIN stems USING (t)),
+sizes AS (SELECT {keys}, max(CASE WHEN src = 0 THEN len(w) END) p, max(CASE WHEN src = 1 THEN len(w) END) r FROM sides GROUP BY ALL)"""
+
+
+#: The longest common subsequence of two texts by thresholds: ``s[k]`` is the least place of the reference at which a
+#: common subsequence of k words ends, ``x[v]`` the first place from v on with the prediction's next word.
+THRESHOLDS = f"""
+sides AS (SELECT sample_id, {toks('generated')} p, {toks('refs[1]')} r FROM captions),
+places AS (SELECT sample_id, t, list(j ORDER BY j) js, any_value(n) n
+  FROM (SELECT sample_id, len(r) n, unnest(r) t, unnest(range(1, len(r) + 1)) j FROM sides) GROUP BY ALL),
+nexts AS (SELECT sample_id, t, flatten(list_transform(list_zip(list_append(js, n + 1), list_prepend(0, js)),
+    lambda z: list_resize(cast([] AS int[]), z[1] - z[2], CASE WHEN z[1] <= n THEN cast(z[1] AS int) END))) x FROM places),
+hits AS (SELECT sample_id, list(x ORDER BY i) h FROM (SELECT sample_id, unnest(p) t, unnest(range(len(p))) i FROM sides)
+  JOIN nexts USING (sample_id, t) GROUP BY sample_id),
+folded AS (SELECT sample_id, len(list_reduce(h, lambda s, x: list_filter(list_transform(list_zip(list_append(s, NULL),
+    list_select(x, list_prepend(1, list_transform(s, lambda v: v + 1)))), lambda z: least(z[1], z[2])), lambda v: v IS NOT NULL),
+    cast([] AS int[]))) n FROM hits)"""
+
+
 METRICS = f"""
 sides AS (SELECT run_id, sample_id, 0 src, {toks('generated')} w FROM captions
           UNION ALL SELECT run_id, sample_id, 1, {toks('ref')} FROM captions),
@@ -171,14 +277,9 @@ matched AS (SELECT run_id, n, sum(least(p.c, coalesce(r.c, 0))) m, sum(p.c) t FR
 lens AS (SELECT run_id, sum(CASE WHEN src = 0 THEN len(w) END) c, sum(CASE WHEN src = 1 THEN len(w) END) r FROM sides GROUP BY 1),
 bleu AS (SELECT run_id, CASE WHEN min(m) = 0 THEN 0 ELSE exp(avg(CASE WHEN m > 0 THEN ln(m / t) END)) END * max(CASE WHEN c > r THEN 1 ELSE exp(1 - r / c) END) v
          FROM matched JOIN lens USING (run_id) GROUP BY run_id),
-pos AS (SELECT run_id, sample_id, src, unnest(w) t, generate_subscripts(w, 1) i FROM sides),
-occ AS (SELECT *, row_number() OVER (PARTITION BY run_id, sample_id, src, t ORDER BY i) k FROM pos),
-hits AS (SELECT p.run_id, p.sample_id, p.i a, r.i b FROM occ p JOIN occ r USING (run_id, sample_id, t, k) WHERE p.src = 0 AND r.src = 1),
-steps AS (SELECT *, lag(a) OVER w pa, lag(b) OVER w pb FROM hits WINDOW w AS (PARTITION BY run_id, sample_id ORDER BY a)),
-found AS (SELECT run_id, sample_id, count(*) m, sum(CASE WHEN a = pa + 1 AND b = pb + 1 THEN 0 ELSE 1 END) ch FROM steps GROUP BY ALL),
-sizes AS (SELECT run_id, sample_id, max(CASE WHEN src = 0 THEN len(w) END) p, max(CASE WHEN src = 1 THEN len(w) END) r FROM sides GROUP BY ALL),
-meteor AS (SELECT run_id, avg(CASE WHEN m IS NULL THEN 0 ELSE 10 * (m / p) * (m / r) / (m / r + 9 * (m / p)) * (1 - 0.5 * power(ch / m, 3)) END) v
-           FROM sizes LEFT JOIN found USING (run_id, sample_id) GROUP BY run_id),
+{word_positions("run_id, sample_id").strip()},
+{aligned("run_id, sample_id", "t", "s")},
+meteor AS (SELECT run_id, avg({meteor()}) v FROM sizes LEFT JOIN found USING (run_id, sample_id) GROUP BY run_id),
 {lcs("captions", "run_id, sample_id", toks("generated"), toks("ref")).strip()},
 metrics AS (SELECT run_id, 'bleu4' metric, v FROM bleu UNION ALL SELECT run_id, 'rougeL', avg(rouge_l) FROM rouge GROUP BY 1
             UNION ALL SELECT run_id, 'meteor', v FROM meteor)"""
@@ -239,7 +340,7 @@ def padded(sql: str, length: str, value: int) -> str:
 
 
 def oracle_queries() -> dict[str, str]:
-    """SQL by query name; ``rouge_l`` and ``meteor_full`` have none."""
+    """SQL by query name."""
     sql: dict[str, str] = {}
     row = "n, block_start, block_end, round(average_distance, 6) average_distance"
     sql["block_distance_all"] = with_parts(*LAYERED, select=f"SELECT {row} FROM dist")
@@ -432,6 +533,22 @@ def oracle_queries() -> dict[str, str]:
                       10 * (m / p) * (m / r) / (m / r + 9 * (m / p)) * (1 - 0.5 * power(ch / m, 3)) END, 6) meteor
                   FROM sizes LEFT JOIN found USING (conv_id, turn)""",
     )
+    sql["meteor_stem_turns"] = with_parts(
+        TURNS, caption_sides("refs[1]"), word_positions("sample_id"),
+        aligned("sample_id", "t", "s", name="_stem"), aligned("sample_id", "t", "s", "g"),
+        "stemmed AS (SELECT sample_id, m ms, ch chs FROM found_stem)",
+        select=f"""SELECT sample_id.c conv_id, sample_id.t turn, round({meteor('ms', 'chs')}, 6) meteor_stem,
+                     round({meteor()}, 6) meteor FROM sizes LEFT JOIN found USING (sample_id) LEFT JOIN stemmed USING (sample_id)""",
+    )
+    sql["meteor_full"] = with_parts(
+        CAPTIONS, caption_sides("refs[1]"), word_positions("sample_id"), aligned("sample_id", "t", "s"),
+        select=f"SELECT count(*) n_samples, round(avg({meteor()}), 6) meteor FROM sizes LEFT JOIN found USING (sample_id)",
+    )
+    sql["rouge_l"] = with_parts(
+        CAPTIONS, THRESHOLDS,
+        select="""SELECT count(*) n_samples, round(avg(coalesce(2.0 * n / nullif(len(p) + len(r), 0), 0)), 6) rouge_l
+                  FROM sides LEFT JOIN folded USING (sample_id)""",
+    )
     scored = (TURN_CAPTIONS, METRICS)
     sql["caption_scores"] = with_parts(
         *scored, recursive=True, select="SELECT run_id, metric, round(v, 6) AS \"value\" FROM metrics"

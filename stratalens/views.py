@@ -126,11 +126,10 @@ def turns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def alike_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A synonym table: words of the conversations that begin with the same five letters."""
+    """A synonym table: words of the conversations that begin with the same five letters share a synset."""
     word = F.explode(tokens(F.col("text"))).alias("word")
-    found = table(spark, sf_dir, "conversations").select(word).distinct().withColumn("_start", F.left("word", F.lit(5)))
-    other = found.select("_start", F.col("word").alias("synonym"))
-    return found.join(other, "_start").where("word <> synonym").select("word", "synonym")
+    found = table(spark, sf_dir, "conversations").select(word).distinct()
+    return found.withColumn("synset", F.left("word", F.lit(5)))
 
 
 def turn_captions(spark: SparkSession, sf_dir: str) -> DataFrame:

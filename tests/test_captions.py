@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalens.functions import overlap, text
-from stratalens.functions.stem import porter
-from stratalens.operators import captions
+from stratalens.functions.stem import STEP_2, STEP_3, STEP_4, with_stems
+from stratalens.operators import captions, coding
+from plain_porter import porter
 
 CASES = [
     ("", ["a cat sits here"]),
@@ -151,15 +152,18 @@ def test_meteor_stages(spark):
         ("cats running quickly home", ["a cat runs home quick"]),
         ("the big dog walked walked", ["a large hound walks walking big"]),
     ]
-    linked = {("big", "large"), ("dog", "hound"), ("a", "f"), ("b", "e"), ("a", "e")}
-    synonyms = spark.createDataFrame(sorted(linked), "word string, synonym string")
+    groups = [{"big", "large"}, {"dog", "hound"}, {"a", "f"}, {"b", "e"}, {"a", "e"}, {"d"}]
+    synsets = spark.createDataFrame([(w, f"s{k}") for k, g in enumerate(groups) for w in sorted(g)], "word string, synset string")
+    one_each = spark.createDataFrame([(w, k) for k, g in enumerate(groups[:2] + [set("abc")]) for w in sorted(g)], "word string, synset int")
     exact = lambda p, r: p == r
     stem = lambda p, r: porter(p) == porter(r)
-    synonym = lambda p, r: (p, r) in linked
+    synonym = lambda p, r: any(p in g and r in g for g in groups)
+    once = lambda p, r: any(p in g and r in g for g in groups[:2] + [set("abc")])
     for options, tests in [
         ({"stemming": False}, [exact]),
         ({"stemming": True}, [exact, stem]),
-        ({"stemming": True, "synonyms": synonyms}, [exact, stem, synonym]),
+        ({"stemming": True, "synsets": synsets}, [exact, stem, synonym]),
+        ({"stemming": False, "synsets": one_each}, [exact, once]),
     ]:
         found = {r.sample_id: r.meteor for r in captions.meteor_scores(frame(spark, cases), **options).collect()}
         assert len(found) == len(cases)
@@ -167,7 +171,7 @@ def test_meteor_stages(spark):
             assert found[i] == pytest.approx(meteor_by_loop(toks(generated), toks(refs[0]), tests)), (i, options)
 
 
-def test_porter_on_the_examples_of_the_paper():
+def test_porter_on_the_examples_of_the_paper(spark):
     pairs = """caresses caress ponies poni cats cat feed feed agreed agre plastered plaster bled bled motoring motor
     sing sing conflated conflat troubled troubl sized size hopping hop falling fall hissing hiss filing file happy happi
     sky sky relational relat conditional condit digitizer digit vietnamization vietnam operator oper hopefulness hope
@@ -175,6 +179,23 @@ def test_porter_on_the_examples_of_the_paper():
     adjustable adjust replacement replac adoption adopt effective effect probate probat rate rate cease ceas
     controll control roll roll""".split()
     assert [porter(w) for w in pairs[::2]] == pairs[1::2]
+    rng = random.Random(11)
+    words = pairs + ["", "y", "yy", "ayying", "byyed", "yed", "ying", "\u00e9t\u00e9s", "123ing", "\u732b", "\u732b\u732bs"]
+    endings = [*STEP_2, *STEP_3, *STEP_4, "s", "ies", "sses", "eed", "ed", "ing", "y", "e", "ll", "yyed", "tted"]
+    words += ["".join(rng.choice("aeiouybcdlstxw") for _ in range(rng.randrange(7))) + rng.choice(endings) for _ in range(4000)]
+    found = with_stems(spark.createDataFrame([(w,) for w in sorted(set(words))], "word string")).collect()
+    assert [(r.word, r.stem) for r in found if r.stem != porter(r.word)] == []
+
+
+def test_meteor_in_small_chunks_and_of_texts_without_words(spark, monkeypatch):
+    cases = random_cases(9, 120) + [("", [""]), ("...", ["a"]), ("a", ["--"])]
+    whole = {r.sample_id: r.meteor for r in captions.meteor_scores(frame(spark, cases)).collect()}
+    monkeypatch.setattr(coding, "CHUNK_WORDS", 40)
+    assert {r.sample_id: r.meteor for r in captions.meteor_scores(frame(spark, cases)).collect()} == whole
+    assert len(whole) == len(cases) and whole[len(cases) - 1] == 0.0
+    assert captions.meteor_scores(frame(spark, cases).where("false")).collect() == []
+    only = captions.meteor_scores(frame(spark, [("", [""]), (None, [None])])).collect()
+    assert [r.meteor for r in only] == [0.0, 0.0]
 
 
 def test_inspection_rows(spark):

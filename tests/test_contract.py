@@ -11,7 +11,6 @@ from stratalens.catalog import QUERIES
 from stratalens.oracle import oracle_queries
 
 SF_DIR = Path("/root/testdata/sf0.001")
-NO_SQL = {"rouge_l", "meteor_full"}
 
 pytestmark = pytest.mark.skipif(not SF_DIR.exists(), reason="driver tables are not here")
 
@@ -24,17 +23,13 @@ def con():
     return connection
 
 
-def test_only_the_named_queries_lack_sql():
-    assert set(QUERIES) - set(oracle_queries()) == NO_SQL
-    assert set(oracle_queries()) <= set(QUERIES) <= set(contract.queries())
+def test_all_queries_have_sql():
+    assert set(oracle_queries()) == set(QUERIES) <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
     found = contract.queries()[name](spark, str(SF_DIR)).toPandas()
-    if name in NO_SQL:
-        assert len(found) == 1
-        return
     expected = con.execute(contract.oracle_sql()[name]).df()
     assert sorted(found.columns) == sorted(expected.columns)
     assert canonical(found).equals(canonical(expected))
