@@ -13,7 +13,7 @@ from stratalens.inference import generate, hidden_states
 from stratalens.operators import accuracy, blocks, captions, losses, payloads, rows, runs, telemetry, tokens
 from stratalens.plans import pruning
 from stratalens.session import shared_path
-from stratalens.sources import reports, tables
+from stratalens.sources import bodies, reports, tables
 from stratalens.streaming.latency import drain, windowed_latency
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -503,27 +503,22 @@ def normalised_refs(spark, sf_dir):
 
 
 @query
-def payload_files(spark, sf_dir):
-    """One landed file for each nation, read as bytes."""
-    path = shared_path(spark, "landed")
-    nations = views.table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("value"))
-    nations.repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
-    found = tables.read_payloads(spark, path, glob="*.txt")
-    return found.select("length", F.rtrim(F.decode("payload", "utf-8"), F.lit("\n")).alias("content"))
+def payload_bodies(spark, sf_dir):
+    """The bodies of all pages, written to a container and read back as bytes."""
+    path = shared_path(spark, "bodies")
+    bodies.write_bodies(views.table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), F.col("html").alias("body")), path)
+    found = bodies.read_bodies(spark, path, ("key", "length", "body"))
+    return found.select(F.col("key").cast("long").alias("page_id"), "length", F.md5("body").alias("digest"))
 
 
 @query
-def payload_bodies(spark, sf_dir):
-    """The bodies of all pages, landed as lines of id and hexadecimal bytes in files of at most 64 pages, read as bytes."""
+def payload_lengths(spark, sf_dir):
+    """Keys and lengths alone: the bodies of the container are not read. Every third page has no body."""
     path = shared_path(spark, "bodies")
-    body = F.coalesce(F.hex(F.col("html").cast("binary")), F.lit("-"))
-    lines = views.table(spark, sf_dir, "pages").select(F.concat_ws(" ", F.col("page_id").cast("string"), body).alias("value"))
-    lines.write.option("maxRecordsPerFile", 64).text(path)
-    found = tables.read_payloads(spark, path, glob="*.txt")
-    line = found.select(F.explode(F.split(F.decode("payload", "utf-8"), "\n")).alias("line")).where("line <> ''")
-    field = F.split("line", " ")
-    landed = line.select(field[0].cast("long").alias("page_id"), F.unhex(F.nullif(field[1], F.lit("-"))).alias("body"))
-    return landed.select("page_id", F.octet_length("body").cast("long").alias("length"), F.md5("body").alias("digest"))
+    body = F.when(F.col("page_id") % 3 != 0, F.col("html")).alias("body")
+    bodies.write_bodies(views.table(spark, sf_dir, "pages").select(F.col("url").alias("key"), body), path)
+    found = bodies.read_bodies(spark, path, ("key", "length"))
+    return found.select(F.col("key").alias("url"), "length")
 
 
 @query
