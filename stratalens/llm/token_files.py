@@ -14,36 +14,68 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from stratalens.llm import files, perfect_hash
+from stratalens.llm import files, perfect_hash, words
 from stratalens.session import save_shared, shared_path
 
 #: Parameters of the registered query. The end id closes every document.
 END_ID = 2
 TOKENIZER = "byte_bpe_50k.json"
-#: Bounds of a task's memory: characters encoded in one step and words whose ids are remembered.
-STEP_CHARS = 2 << 20
-REMEMBERED = 600_000
+#: Bounds of a worker's memory: units whose ids are remembered (some 20 bytes each), and new units encoded at once.
+REMEMBERED = 1 << 20
+NEW_UNITS = 10_000
 MAGIC = b"TOKENS01"
 NO_ID = -(2**63)
 
 
+#: White space of one byte, and lead bytes under which Unicode has white space.
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_MAY_BE_BLANK = _BLANK.astype(np.int32)
+_MAY_BE_BLANK[[0xC2, 0xE1, 0xE2, 0xE3]] = 1
+
+
+def _separators(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places of spaces and line feeds that stand alone between two other characters of a text (``starts``: first bytes)."""
+    at = np.flatnonzero((data == 0x20) | (data == 0x0A))
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[starts] = edge[len(data)] = True
+    at = at[~edge[at] & ~edge[at + 1]]
+    wide = np.r_[np.zeros(3, np.uint8), data, np.zeros(2, np.uint8)]
+    before, after = wide[at + 2], wide[at + 4]
+    # Lead bytes under which Unicode has white space; some of what they lead is none, which only makes a unit longer.
+    leads = (0xC285, 0xC2A0, 0xE19A, 0xE280, 0xE281, 0xE380)
+    last, first, following = (wide[at + k].astype(np.int64) << 8 | wide[at + k + 1] for k in (1, 0, 4))
+    odd = np.isin(last, leads[:2]) | np.isin(first, leads[2:]) | np.isin(following, leads)
+    return at[~(_BLANK[before] | _BLANK[after] | odd)]
+
+
 class Encoder:
-    """Whole texts to ids by a byte-level BPE tokenizer, encoding each distinct word once.
+    """Whole texts to ids by a byte-level BPE tokenizer, encoding each distinct unit once.
 
-    The tokenizer never merges across a space between two other characters,
-    so a text is cut there, the distinct words of a step are encoded by the
-    library, and their ids put together. A text with a space beside other white
-    space or at its ends goes to the library whole.
+    The tokenizer splits texts before it merges: a single space between two
+    other characters begins a piece, a single line feed is a piece. So texts
+    are cut there into units (a space belongs to the unit after it), units are
+    looked up by a 64-bit hash in sorted arrays, and only new ones become
+    strings for the library. Other white space stays inside a unit.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
         with open(path) as file:
-            pre = json.load(file)["pre_tokenizer"]
-        self.by_word = pre is not None and pre["type"] == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"]
+            held = json.load(file)
+        pre = held["pre_tokenizer"]
+        self.by_unit = (
+            pre is not None and pre["type"] == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"] and not held["normalizer"]
+            and not any(t["lstrip"] or t["rstrip"] or t["normalized"] or any(c.isspace() for c in t["content"]) for t in held["added_tokens"])
+        )
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.hashes = np.zeros(0, np.uint64)
+        self.starts = self.sizes = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, self.kind)
+        line = self._encode(["\n"])[0]
+        self.line = int(line[0]) if len(line) == 1 else None
 
     @classmethod
     def of_process(cls, path: str) -> Encoder:
@@ -55,52 +87,93 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.kind) for x in found]
 
-    def _ids_of(self, words: list[str]) -> list[bytes]:
-        found = [self.known.get(word) for word in words]
-        new = [i for i, ids in enumerate(found) if ids is None]
-        for i, ids in zip(new, self._encode([words[i] for i in new])):
-            found[i] = ids.tobytes()
-            if len(self.known) < REMEMBERED:
-                self.known[words[i]] = found[i]
-        return found
+    def _encode_lines(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units one after the other, and how many each has, for units in which no line feed can merge or hide.
+
+        They are encoded as one text of as many lines; the id of the line feed
+        tells them apart.
+        """
+        found, counts = [np.zeros(0, self.kind)], []
+        for at in range(0, len(units), NEW_UNITS):
+            ids = self._encode([b"\n".join(units[at : at + NEW_UNITS]).decode()])[0]
+            line = ids == self.line
+            found.append(ids[~line])
+            counts.append(np.diff(np.r_[-1, np.flatnonzero(line), len(ids)]) - 1)
+        return np.concatenate(found), np.concatenate([np.zeros(0, np.int64), *counts])
+
+    def _encode_units(self, units: list[bytes], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the units of ``order`` one after the other, how many each has, and ``order``: plain ones first."""
+        order = np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]
+        n = int(plain.sum())
+        ids, counts = self._encode_lines([units[i] for i in order[:n].tolist()])
+        others = self._encode([units[i].decode() for i in order[n:].tolist()])
+        return np.concatenate([ids, *others]), np.r_[counts, [len(own) for own in others]].astype(np.int64), order
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text; NULL is the empty text."""
-        texts = texts.fill_null("").cast(pa.large_string())
-        lengths = np.cumsum(pc.utf8_length(texts).to_numpy())
+        if not self.by_unit:
+            for at in range(0, len(texts), 16):
+                yield from self._encode(texts.slice(at, 16).fill_null("").to_pylist())
+            return
+        for _, data, offsets in words.steps(texts):
+            if len(offsets) == 2 and len(data) > 2 * words.STEP_BYTES:
+                yield np.concatenate([self._step(piece, np.array([0, len(piece)]))[0] for piece in self._cut(data)])
+            else:
+                yield from self._step(data, offsets)
+
+    def _cut(self, data: np.ndarray) -> Iterator[np.ndarray]:
+        """A long text in pieces of one step at least, which end where a unit ends."""
         at = 0
-        while at < len(texts):
-            before = lengths[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(lengths, before + STEP_CHARS, side="right")))
-            yield from self._step(texts.slice(at, end - at)) if self.by_word else self._encode(texts.slice(at, end - at).to_pylist())
+        while at < len(data):
+            end, reach = len(data), 4096
+            while at + words.STEP_BYTES + reach < len(data):  # look for a separator behind one step
+                near = at + words.STEP_BYTES - 3
+                found = _separators(data[near : near + reach], np.zeros(0, np.int64))
+                found = found[found >= 3]  # what stands before an earlier one is not in view
+                if len(found):
+                    end = near + int(found[0])
+                    break
+                reach *= 2
+            yield data[at:end]
             at = end
 
-    def _step(self, texts: pa.Array) -> list[np.ndarray]:
-        split = pc.split_pattern(texts, " ")
-        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
-        words = split.flatten().dictionary_encode()
-        distinct, code = words.dictionary.to_pylist(), words.indices.to_numpy().astype(np.int64)
-        odd = np.array([not w or w[0].isspace() or w[-1].isspace() for w in distinct], dtype=bool)
-        whole = np.add.reduceat(odd[code], offsets[:-1]) > 0
-        later = np.ones(len(code), dtype=bool)
-        later[offsets[:-1]] = False
-        code += later * len(distinct)  # with the space before it, a word is another one
-        code = np.where(np.repeat(whole, np.diff(offsets)), -1, code)
-        used = np.unique(code[code >= 0])
-        n = len(distinct)
-        ids = self._ids_of([distinct[c] if c < n else " " + distinct[c - n] for c in used.tolist()])
-        sizes = np.array([len(x) for x in ids], dtype=np.int64) // self.kind.itemsize
-        flat, starts = np.frombuffer(b"".join(ids), dtype=self.kind), np.r_[0, np.cumsum(sizes)]
-        place = np.searchsorted(used, code)
-        count = np.where(code >= 0, np.r_[sizes, 0][np.minimum(place, len(sizes))], 0)
+    def _step(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        if not len(data):
+            return [self.ids[:0]] * (len(offsets) - 1)
+        at = _separators(data, offsets[:-1][offsets[:-1] < len(data)])
+        begins = np.zeros(len(data) + 1, dtype=bool)
+        begins[offsets] = begins[at] = begins[at[data[at] == 0x0A] + 1] = True
+        cuts = np.flatnonzero(begins[:-1])
+        sizes = np.diff(np.r_[cuts, len(data)])
+        unit, first, code = np.unique(words.slice_hashes(data, cuts, sizes), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hashes, unit)
+        known = np.r_[self.hashes, np.uint64(0)][place] == unit
+        known &= place < len(self.hashes)
+        starts, counts = np.zeros(len(unit), np.int64), np.zeros(len(unit), np.int64)
+        starts[known], counts[known] = self.starts[place[known]], self.sizes[place[known]]
+        new = np.flatnonzero(~known)
+        flat = self.ids
+        if len(new):
+            text = data.tobytes()
+            blanks = np.add.reduceat(_MAY_BE_BLANK[data], cuts)[first[new]]
+            lead = data[cuts[first[new]]] == 0x20
+            plain = (blanks == lead) & (sizes[first[new]] > lead) & (self.line is not None)
+            own = [text[a:b] for a, b in zip(cuts[first[new]].tolist(), (cuts + sizes)[first[new]].tolist())]
+            ids, n, order = self._encode_units(own, plain)
+            new = new[order]
+            counts[new], starts[new] = n, len(flat) + np.cumsum(n) - n
+            flat = np.concatenate([flat, ids])
+            if len(self.hashes) + len(new) <= REMEMBERED:
+                new = np.sort(new)
+                self.ids = flat
+                self.starts = np.insert(self.starts, place[new], starts[new])
+                self.sizes = np.insert(self.sizes, place[new], counts[new])
+                self.hashes = np.insert(self.hashes, place[new], unit[new])
+        count = counts[code]
         ends = np.cumsum(count)
-        spot = np.arange(ends[-1]) + np.repeat(starts[np.minimum(place, len(sizes))] - (ends - count), count)
-        joined, bounds = flat[spot], np.r_[0, ends][offsets]
-        found = [joined[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-        for i in np.flatnonzero(whole):
-            text = texts[int(i)].as_py()
-            found[i] = self._encode([text])[0] if text else np.zeros(0, dtype=self.kind)
-        return found
+        joined = flat[np.arange(ends[-1]) + np.repeat(starts[code] - (ends - count), count)]
+        bounds = np.r_[0, ends][np.searchsorted(cuts, offsets)]
+        return [joined[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:

@@ -88,6 +88,15 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return hashes, np.diff(np.searchsorted(starts, offsets)), endings
 
 
+def slice_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of the byte strings that ``data`` falls into at ``starts`` (the first is 0, none is empty)."""
+    place = np.arange(len(data)) - np.repeat(starts, lengths)
+    values = _AT_PLACE[place % PLACES, data]
+    if lengths.max(initial=0) > PLACES:
+        values = values * (2 * (place // PLACES) + 1).astype(np.uint64)
+    return mix(np.add.reduceat(values, starts) + lengths.astype(np.uint64))
+
+
 def texts_to_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """First row, hashes of all words, and word offsets of its rows, for each slice of a text column."""
     for row, data, offsets in steps(column):

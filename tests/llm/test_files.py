@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import os
+import random
 import zlib
 
 import numpy as np
@@ -83,6 +84,30 @@ def test_encoder_equals_the_library():
     assert list(token_files.Encoder(TOKENIZER).encode(pa.array([], pa.string()))) == []
 
 
+def random_texts(seed, n=400):
+    rng = random.Random(seed)
+    pieces = ["word", "Word", "the", "it's", "12", "é", "—", "„", "\u00a0", "\u3000", "\u2003", "\u1680", "\u2028", "\x85", "中文", "\x1c", "<|endoftext|>", "a.b", "x" * 200]
+    gaps = [" ", " ", " ", " ", "\n", "\n", "", "  ", "\n\n", "\t", " \n", "\r\n", "\n \n"]
+    return ["".join(rng.choice(pieces) + rng.choice(gaps) for _ in range(rng.randrange(40))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("remembered", [0, 5, 10**6])
+def test_units_of_all_kinds_of_white_space(monkeypatch, remembered):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    library, texts = Tokenizer.from_file(TOKENIZER), random_texts(remembered)
+    texts.append(" ".join(texts[:200]) * 3)
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(token_files, "REMEMBERED", remembered)
+    monkeypatch.setattr(token_files, "NEW_UNITS", 7)
+    encoder = token_files.Encoder(TOKENIZER)
+    for step in (1 << 19, 3000, 100):
+        monkeypatch.setattr(token_files.words, "STEP_BYTES", step)
+        assert [x.tolist() for x in encoder.encode(pa.array(texts))] == expected
+    assert len(encoder.hashes) <= remembered
+
+
 def token_rows():
     rows = [(i * 3, t) for i, t in enumerate(TEXTS)]
     return rows + [(6, "a repeated id"), (6, "a repeated id"), (None, "no id"), (None, None), (-5, "negative")]
