@@ -157,13 +157,17 @@ def report_names(spark, sf_dir):
 
 @query
 def report_round_trip(spark, sf_dir):
+    """Reports of all block sizes; for as many layers as the model has there is no pair, so no row and no best block."""
     path = shared_path(spark, "reports")
     found = distances(spark, sf_dir).withColumn("dataset", F.lit(DATASET)).withColumn("model", F.lit(views.MODEL))
-    reports.write_distance_reports(found, path, layout="text")
+    sizes = spark.range(1, views.N_LAYERS + 1).select(
+        F.lit(DATASET).alias("dataset"), F.lit(views.MODEL).alias("model"), F.col("id").cast("int").alias("n")
+    )
+    reports.write_distance_reports(found, path, layout="text", sizes=sizes)
     stored, named = reports.read_distance_reports(spark, path)
     named = named.withColumnsRenamed({"block_start": "best_start", "block_end": "best_end"})
     columns = ["dataset", "model", "n", "block_start", "block_end", six("average_distance"), "best_start", "best_end"]
-    return stored.join(named, reports.KEYS).select(*columns)
+    return sizes.join(stored, reports.KEYS, "left").join(named, reports.KEYS, "left").select(*columns)
 
 
 # --- pruning plans ------------------------------------------------------------------------------
@@ -213,6 +217,7 @@ def accuracy_history(spark, sf_dir):
     tables.append_history(scored.select("run_id", F.lit(1).cast("long").alias("seq"), "accuracy"), path)
     again = tables.read_history(spark, path).withColumn("seq", F.col("seq") + 1)
     tables.append_history(again, path)
+    tables.append_history(again.withColumn("accuracy", F.lit(0.0)), path)  # a repeated append counts for nothing
     return tables.read_history(spark, path).select("run_id", "seq", six("accuracy"))
 
 
@@ -225,6 +230,22 @@ def corpus_first_n(spark, sf_dir):
     return corpus.select("doc_id", "text")
 
 
+@query
+def corpus_first_third(spark, sf_dir):
+    """A third of all documents, without a task that holds them; the length of the text makes ties."""
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("size"))
+    return rows.first_n(docs, ["size", "doc_id"], docs.count() // 3, few=100)
+
+
+@query
+def epoch_orders(spark, sf_dir):
+    """The order of two epochs over all documents, sorted once: by the identifier."""
+    numbered = rows.enumerate_rows(views.table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"])
+    order = rows.Permutation(numbered.count(), seed=7)
+    epochs = [order.with_places(numbered, epoch).withColumn("epoch", F.lit(epoch)) for epoch in (0, 1)]
+    return epochs[0].unionByName(epochs[1]).select("doc_id", "epoch", "place", F.floor(F.col("place") / 32).alias("batch_id"))
+
+
 @query
 def items_of_split(spark, sf_dir):
     path = shared_path(spark, "items")
@@ -476,6 +497,22 @@ def caption_round_trip(spark, sf_dir):
     return stored.withColumn("refs", F.array_join("refs", "\n---\n"))
 
 
+@query
+def caption_envelope(spark, sf_dir):
+    """Runs of a hundred samples, each stored as one indented object with its samples."""
+    path = shared_path(spark, "envelopes")
+    shown = shown_captions(spark, sf_dir).withColumn("part", F.floor(F.col("sample_idx") / 100))
+    sample = F.struct("sample_idx", "coco_id", "img_file", "generated", "refs")
+    run = F.struct(
+        F.lit(views.MODEL).alias("model_id"), F.lit("Name what you see.").alias("prompt"),
+        F.array_sort(F.collect_list(sample)).alias("samples"),
+    )
+    texts = shown.groupBy("part").agg(F.to_json(run, {"pretty": "true"}).alias("value"))
+    texts.repartition("part").write.partitionBy("part").text(path)
+    stored = tables.read_captions(spark, path, layout="envelope")
+    return stored.select("model_id", "prompt", "sample_idx", "coco_id", "img_file", "generated", F.array_join("refs", "\n---\n").alias("refs"))
+
+
 @query
 def first_sentence(spark, sf_dir):
     return views.captions(spark, sf_dir).select(
@@ -654,6 +691,18 @@ def quality_gate(spark, sf_dir):
     return found.select("metric", six("baseline"), six("candidate"), six("ratio"), six("target"), "passed")
 
 
+@query
+def run_pairs(spark, sf_dir):
+    """Every run against the first one by name, for two metrics."""
+    log = views.inference_log(spark, sf_dir)
+    wide = log.groupBy("run_id").agg(F.avg("latency_ms").alias("mean"), F.max("latency_ms").alias("max"))
+    values = wide.unpivot(["run_id"], ["mean", "max"], "metric", "value")
+    first = wide.agg(F.min("run_id").alias("baseline_run"))
+    pairs = wide.select(F.col("run_id").alias("candidate_run")).join(F.broadcast(first))
+    found = runs.compare_pairs(values, pairs)
+    return found.select("baseline_run", "candidate_run", "metric", six("baseline"), six("candidate"), six("ratio"))
+
+
 @query
 def stream_latency(spark, sf_dir):
     """The events arrive in six files in no order of time, one file per trigger."""

@@ -72,7 +72,7 @@ def append_runs(history: DataFrame, run: DataFrame) -> DataFrame:
 
 
 def compare_runs(baseline: DataFrame, candidate: DataFrame, on: Sequence[str] = ("metric",)) -> DataFrame:
-    """Candidate value over baseline value, per metric."""
+    """Candidate value over baseline value, per metric. ``on`` must name one row on each side."""
     left = baseline.select(*on, F.col("value").alias("baseline"))
     right = candidate.select(*on, F.col("value").alias("candidate"))
     return left.join(right, list(on)).withColumn(
@@ -80,6 +80,20 @@ def compare_runs(baseline: DataFrame, candidate: DataFrame, on: Sequence[str] =
     )
 
 
+def compare_pairs(values: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Candidate value over baseline value for each metric of each pair of runs.
+
+    ``values`` holds (run_id, metric, value), one row per run and metric;
+    ``pairs`` (baseline_run, candidate_run) names what is compared, so that the result has a
+    row per pair and common metric, not one for every two runs.
+    """
+    named = pairs.select("baseline_run", "candidate_run").distinct()
+    left = values.select(F.col("run_id").alias("baseline_run"), "metric", F.col("value").alias("baseline"))
+    right = values.select(F.col("run_id").alias("candidate_run"), "metric", F.col("value").alias("candidate"))
+    found = named.join(left, "baseline_run").join(right, ["candidate_run", "metric"])
+    return found.withColumn("ratio", F.col("candidate") / F.nullif("baseline", F.lit(0.0)))
+
+
 def quality_gate(
     baseline: DataFrame, candidate: DataFrame, share: float = 0.8, on: Sequence[str] = ("metric",)
 ) -> DataFrame:

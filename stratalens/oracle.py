@@ -5,6 +5,7 @@ from __future__ import annotations
 import textwrap
 
 from stratalens.functions import stem
+from stratalens.operators.rows import Permutation
 
 N_LAYERS = 24
 TOKEN = r"[^\p{L}\p{N}]+"
@@ -339,6 +340,27 @@ def padded(sql: str, length: str, value: int) -> str:
     return f"list_concat({sql}, list_transform(range({length} - len({sql})), lambda x: {value}))"
 
 
+def permuted(n: str, seed: int, epoch: int) -> str:
+    """``walk`` of every ``row_idx`` of ``numbered`` through the rounds until it is below ``n`` (a scalar subquery)."""
+    order = Permutation(1, seed)
+
+    def hashed(x: str, key: int) -> str:
+        first, second = order.FACTORS
+        return f"((((((({x} + {key}) & {order.MASK}) * {first}) & {order.MASK}) >> {order.SHIFT}) * {second}) & {order.MASK})"
+
+    def once(number: str) -> str:
+        steps, keys = f"SELECT {number} // r x, {number} % r y, l, r", order.keys(epoch)
+        for k in range(0, len(keys), 2):
+            steps = f"SELECT (x + {hashed('y', keys[k])}) % l x, y, l, r FROM ({steps})"
+            steps = f"SELECT x, (y + {hashed('x', keys[k + 1])}) % r y, l, r FROM ({steps})"
+        return f"(SELECT x * r + y FROM ({steps}))"
+
+    return f"""
+sized{epoch} AS (SELECT n, l, cast(ceil(n / l) AS bigint) r FROM (SELECT n, cast(floor(sqrt(n - 1)) AS bigint) + 1 l FROM (SELECT {n} n))),
+walk{epoch} AS (SELECT row_idx, {once('row_idx')} v, n, l, r FROM numbered, sized{epoch}
+  UNION ALL SELECT row_idx, {once('v')}, n, l, r FROM walk{epoch} WHERE v >= n)"""
+
+
 def oracle_queries() -> dict[str, str]:
     """SQL by query name."""
     sql: dict[str, str] = {}
@@ -392,10 +414,10 @@ def oracle_queries() -> dict[str, str]:
         letter_states(), PAIRS, DIST, select="SELECT n, block_start, round(average_distance, 6) average_distance FROM dist"
     )
     sql["report_round_trip"] = with_parts(
-        *LAYERED, BEST,
+        *LAYERED, BEST, "sizes AS (SELECT cast(n AS int) n FROM range(1, 25) r(n))",
         select="""SELECT 'driver' dataset, 'm24' model, n, d.block_start, d.block_end,
                     round(d.average_distance, 6) average_distance, b.block_start best_start, b.block_end best_end
-                  FROM dist d JOIN best b USING (n)""",
+                  FROM sizes LEFT JOIN dist d USING (n) LEFT JOIN best b USING (n)""",
     )
 
     keep = {
@@ -431,6 +453,16 @@ def oracle_queries() -> dict[str, str]:
     )
 
     sql["corpus_first_n"] = "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 100"
+    sql["corpus_first_third"] = """
+        SELECT doc_id, length(text) size FROM documents ORDER BY size NULLS FIRST, doc_id LIMIT (SELECT count(*) // 3 FROM documents)"""
+    sql["epoch_orders"] = with_parts(
+        "numbered AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 row_idx FROM documents)",
+        permuted("(SELECT count(*) FROM documents)", 7, 0), permuted("(SELECT count(*) FROM documents)", 7, 1),
+        recursive=True,
+        select=" UNION ALL ".join(
+            f"SELECT doc_id, cast({k} AS int) epoch, v place, v // 32 batch_id FROM walk{k} JOIN numbered USING (row_idx) WHERE v < n" for k in (0, 1)
+        ),
+    )
     sql["items_of_split"] = with_parts(
         ITEMS,
         select="SELECT item_id, question, cast(len(choices) AS int) n_choices, answer FROM items WHERE answer <> 0",
@@ -580,6 +612,10 @@ def oracle_queries() -> dict[str, str]:
                       10 * (m / p) * (m / r) / (m / r + 9 * (m / p)) * (1 - 0.5 * power(ch / m, 3)) END, 6) meteor
                   FROM sizes LEFT JOIN found USING (sample_id)""",
     )
+    sql["caption_envelope"] = with_parts(
+        CAPTIONS, SHOWN,
+        select=f"""SELECT 'm24' model_id, 'Name what you see.' prompt, sample_idx, coco_id, {FILE_NAME}, generated, refs FROM shown""",
+    )
     sql["comparison_rows"] = with_parts(CAPTIONS, SHOWN, select=f"SELECT *, {FILE_NAME} FROM shown")
     sql["caption_round_trip"] = with_parts(
         CAPTIONS, SHOWN,
@@ -607,6 +643,11 @@ def oracle_queries() -> dict[str, str]:
     sql["payload_present"] = f"SELECT url, page_id FROM pages WHERE url IN ({fetched})"
     sql["payload_missing"] = f"SELECT url, page_id FROM pages WHERE url NOT IN ({fetched})"
 
+    sql["run_pairs"] = """
+        WITH r AS (SELECT event_type run_id, avg(value) mean, max(value) mx FROM events GROUP BY 1),
+        v AS (SELECT run_id, 'mean' metric, mean x FROM r UNION ALL SELECT run_id, 'max', mx FROM r)
+        SELECT b.run_id baseline_run, c.run_id candidate_run, metric, round(b.x, 6) baseline, round(c.x, 6) candidate,
+          round(c.x / nullif(b.x, 0), 6) ratio FROM v b JOIN v c USING (metric) WHERE b.run_id = (SELECT min(run_id) FROM r)"""
     sql["latency_summary"] = with_parts(
         SPEED,
         select="""SELECT run_id, n_samples, round(mean_latency_ms, 6) mean_latency_ms,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -91,9 +94,36 @@ def read_run_results(spark: SparkSession, path: str, layout: str = "lines") -> D
     return spark.read.schema(schemas.RUN_RESULT).option("multiLine", layout == "files").json(path)
 
 
+def _publish(spark: SparkSession, folder: str, content: str) -> None:
+    """Create the next numbered file of a log; whoever else takes the number first makes this one take a later."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    version = 1 + max((int(f.getPath().getName().split(".")[0]) for f in system.listStatus(path)), default=0)
+    while True:
+        target = hadoop.Path(f"{folder}/{version:020d}.json")
+        if not system.exists(target):
+            hidden = hadoop.Path(f"{folder}/../.{uuid.uuid4().hex}")
+            out = system.create(hidden, False)
+            out.write(bytearray(content.encode()))
+            out.close()
+            if system.rename(hidden, target):  # a file system that renames atomically lets one writer win
+                return
+            system.delete(hidden, False)
+        version += 1
+
+
 def append_history(entries: DataFrame, path: str) -> None:
-    """Add accuracies (``run_id``, ``seq``, ``accuracy``); earlier ones are never rewritten."""
-    entries.write.mode("append").parquet(path)
+    """Add accuracies (``run_id``, ``seq``, ``accuracy``); earlier ones are never rewritten.
+
+    The rows are written first and then named by the next file of a log, so a
+    reader sees all rows of an append or none. An entry whose ``run_id`` and
+    ``seq`` an earlier append has holds for nothing: appends may be repeated.
+    """
+    name = uuid.uuid4().hex
+    entries.write.parquet(f"{path}/data/append={name}")
+    _publish(entries.sparkSession, f"{path}/log", json.dumps({"append": name}))
 
 
 def read_history(spark: SparkSession, path: str, layout: str = "table") -> DataFrame:
@@ -102,7 +132,12 @@ def read_history(spark: SparkSession, path: str, layout: str = "table") -> DataF
     With ``array``, every file is a JSON array of accuracies, named after its run.
     """
     if layout == "table":
-        return spark.read.schema(schemas.HISTORY).parquet(path)
+        log = spark.read.schema("append string").json(f"{path}/log").select(
+            "append", F.regexp_extract("_metadata.file_name", r"^(\d+)", 1).cast("long").alias("version")
+        )
+        rows = spark.read.schema(f"{schemas.HISTORY}, append string").parquet(f"{path}/data").join(log, "append")
+        first = F.min(F.struct("version", "accuracy"))
+        return rows.groupBy("run_id", "seq").agg(first.alias("first")).select("run_id", "seq", "first.accuracy")
     files = spark.read.text(path, wholetext=True)
     listed = F.from_json("value", "array<double>", {"mode": "FAILFAST"})
     name = F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.json)?$", 1)

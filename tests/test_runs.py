@@ -119,3 +119,13 @@ def test_append_runs(spark):
     a = spark.createDataFrame([("r", 1.0)], "run_id string, accuracy double")
     b = spark.createDataFrame([("s", 2.0, 1)], "run_id string, accuracy double, seq int")
     assert {tuple(r) for r in runs.append_runs(a, b).collect()} == {("r", 1.0, None), ("s", 2.0, 1)}
+
+
+def test_pairs_of_runs_have_one_row_per_metric(spark):
+    data = [(f"r{i}", m, float(i * k)) for i in range(30) for k, m in enumerate("ab", 1)]
+    values = spark.createDataFrame(data, "run_id string, metric string, value double")
+    named = [("r1", "r2"), ("r0", "r5"), ("r1", "r2"), ("r1", "none")]
+    found = runs.compare_pairs(values, spark.createDataFrame(named, "baseline_run string, candidate_run string")).collect()
+    assert sorted((r.baseline_run, r.candidate_run, r.metric, r.ratio) for r in found) == [
+        ("r0", "r5", "a", None), ("r0", "r5", "b", None), ("r1", "r2", "a", 2.0), ("r1", "r2", "b", 2.0)
+    ]

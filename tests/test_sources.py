@@ -1,4 +1,5 @@
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,6 +129,18 @@ def test_run_results_history_plans_payloads(spark, tmp_path):
     for seq in (1, 2):
         tables.append_history(spark.createDataFrame([("r", seq, 0.5 * seq)], schemas.HISTORY), history)
     assert [r.accuracy for r in tables.read_history(spark, history).orderBy("seq").collect()] == [0.5, 1.0]
+    rows = spark.createDataFrame([("r", 2, 9.0), ("s", 1, 0.25)], schemas.HISTORY)
+    tables.append_history(rows, history)
+    tables.append_history(rows, history)
+    rows.write.parquet(f"{history}/data/append=never-published")
+    found = sorted(tuple(r) for r in tables.read_history(spark, history).collect())
+    assert found == [("r", 1, 0.5), ("r", 2, 1.0), ("s", 1, 0.25)]
+    with ThreadPoolExecutor(4) as pool:
+        one = [spark.createDataFrame([("t", i % 3, float(i % 3))], schemas.HISTORY) for i in range(6)]
+        list(pool.map(lambda entry: tables.append_history(entry, history), one))
+    found = sorted(tuple(r) for r in tables.read_history(spark, history).where("run_id = 't'").collect())
+    assert found == [("t", 0, 0.0), ("t", 1, 1.0), ("t", 2, 2.0)]
+    assert len(list((tmp_path / "history" / "log").glob("*.json"))) == 10
     arrays = tmp_path / "arrays"
     arrays.mkdir()
     (arrays / "first.json").write_text(json.dumps([0.5, 0.25], indent=2))
@@ -136,8 +149,8 @@ def test_run_results_history_plans_payloads(spark, tmp_path):
     (arrays / "first.json").write_text("[0.5, ")
     with pytest.raises(Exception):
         tables.read_history(spark, str(arrays), layout="array").collect()
-    (tmp_path / "broken").mkdir()
-    (tmp_path / "broken" / "x.parquet").write_text("not parquet")
+    tables.append_history(rows, str(tmp_path / "broken"))
+    next((tmp_path / "broken" / "data").glob("*/*.parquet")).write_text("not parquet")
     with pytest.raises(Exception):
         tables.read_history(spark, str(tmp_path / "broken")).collect()
 
