@@ -14,6 +14,7 @@ from stratalens.operators import accuracy, blocks, captions, losses, payloads, r
 from stratalens.plans import pruning
 from stratalens.session import shared_path
 from stratalens.sources import bodies, reports, tables
+from stratalens.sources.states import read_states, write_states
 from stratalens.streaming.latency import drain, windowed_latency
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +64,14 @@ def block_distance_all(spark, sf_dir):
     return distances(spark, sf_dir).select("n", "block_start", "block_end", six("average_distance"))
 
 
+@query
+def bucketed_block_distance(spark, sf_dir):
+    """From states stored in buckets by sample: no vector is shuffled after the table is written."""
+    stored = read_states(spark, write_states(views.hidden_states(spark, sf_dir)))
+    layers = blocks.pack_stored_layers(blocks.drop_embedding_state(stored), views.N_LAYERS)
+    return blocks.block_distances(layers).select("n", "block_start", "block_end", six("average_distance"))
+
+
 @query
 def best_block(spark, sf_dir):
     return best(spark, sf_dir).select("n", "block_start", "block_end", six("average_distance"))

@@ -51,6 +51,18 @@ def pack_layers(states: DataFrame, n_layers: int) -> DataFrame:
     return ordered.mapInArrow(pack_kernel(n_layers), T.StructType([states.schema["sample_id"], layers]))
 
 
+def pack_stored_layers(states: DataFrame, n_layers: int) -> DataFrame:
+    """As ``pack_layers``, for a table in buckets by sample: vectors stay in the task that reads them.
+
+    A sample's states are gathered by an aggregation, whose demand for rows by
+    sample the buckets meet. Two states of one sample and layer are an error.
+    """
+    entries = F.map_from_entries(F.collect_list(F.struct(F.col("layer").cast("int"), "v")))
+    gathered = states.groupBy("sample_id").agg(entries.alias("_of"))
+    numbers = F.sequence(F.lit(0), F.lit(n_layers - 1))
+    return gathered.select("sample_id", F.transform(numbers, lambda layer: F.try_element_at("_of", layer)).alias("layers"))
+
+
 def pair_layers(states: DataFrame, n: int) -> DataFrame:
     """State of layer ``l`` with that of ``l + n``, same sample, one row per pair."""
     low = states.select("sample_id", F.col("layer").alias("low_layer"), F.col("v").alias("low_v"))

@@ -366,6 +366,7 @@ def oracle_queries() -> dict[str, str]:
     sql: dict[str, str] = {}
     row = "n, block_start, block_end, round(average_distance, 6) average_distance"
     sql["block_distance_all"] = with_parts(*LAYERED, select=f"SELECT {row} FROM dist")
+    sql["bucketed_block_distance"] = sql["block_distance_all"]
     sql["block_distance_n"] = with_parts(*LAYERED, select=f"SELECT {row} FROM dist WHERE n = 3")
     sql["best_block"] = with_parts(*LAYERED, BEST, select=f"SELECT {row} FROM best")
     sql["pair_layers"] = with_parts(

@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from stratalens.operators import blocks
+from stratalens.sources.states import read_states, write_states
 
 
 def states(spark):
@@ -37,3 +38,19 @@ def test_small_batches_do_not_cut_a_sample(spark):
         assert packed.where(F.exists("layers", lambda v: v.isNull())).count() == 0
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_stored_states_meet_without_an_exchange_of_vectors(spark, tmp_path):
+    one = states(spark).where("pos = 0 AND NOT (sample_id = 7 AND layer = 2)")
+    stored = read_states(spark, write_states(one, path=str(tmp_path / "states"), buckets=5))
+    assert len(list((tmp_path / "states").glob("*.parquet"))) == 5
+    packed = blocks.pack_stored_layers(stored, 3)
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    assert sorted(map(str, packed.collect())) == sorted(map(str, blocks.pack_layers(one, 3).collect()))
+    found = blocks.block_distances(packed)
+    exchanges = re.findall(r"Exchange [^\n]*", found._jdf.queryExecution().executedPlan().toString())
+    assert len(exchanges) == 1 and "hashpartitioning(n#" in exchanges[0]  # of sums alone
+    rounded = F.round("average_distance", 9).alias("average_distance")
+    both = [sorted(map(str, d.select("n", "block_start", rounded).collect())) for d in (found, blocks.block_distances(blocks.pack_layers(one, 3)))]
+    assert both[0] == both[1]
