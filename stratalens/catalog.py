@@ -15,6 +15,7 @@ from stratalens.plans import pruning
 from stratalens.session import shared_path
 from stratalens.sources import bodies, reports, tables
 from stratalens.sources.states import read_states, write_states
+from stratalens.streaming import progress
 from stratalens.streaming.latency import drain, windowed_latency
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -727,6 +728,36 @@ def stream_latency(spark, sf_dir):
     )
 
 
+def streamed_losses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The training log arrives in six files in no order, half of them before the stream is stopped and started again."""
+    path, out, state = (shared_path(spark, name) for name in ("losses", "loss-rows", "loss-state"))
+    log = views.training_log(spark, sf_dir)
+    parts = log.withColumn("part", F.pmod(F.hash("run_id", "batch_idx"), F.lit(6)))
+    before = spark.conf.get(progress.STORE)
+    spark.conf.set(progress.STORE, progress.ROCKS_DB)
+    try:
+        for arrived in (F.col("part") < 3, F.col("part") >= 3):
+            parts.where(arrived).repartition(3, "part").drop("part").write.mode("append").parquet(path)
+            stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path)
+            found = progress.running_loss_stream(stream, chunk=4096)
+            progress.store(found, out, state)
+    finally:
+        spark.conf.set(progress.STORE, before)
+    return progress.settled(spark, out, found.schema)
+
+
+@query
+def stream_running_loss(spark, sf_dir):
+    found, _ = streamed_losses(spark, sf_dir)
+    return found.select("run_id", "epoch", "batch_idx", (F.round("loss_sum", 4) / F.col("seen")).alias("running_loss"))
+
+
+@query
+def stream_epoch_loss(spark, sf_dir):
+    _, found = streamed_losses(spark, sf_dir)
+    return found.select("run_id", "epoch", "batches", "valid_batches", six("average_loss"))
+
+
 # --- training data and logs ---------------------------------------------------------------------
 
 

@@ -719,6 +719,12 @@ def oracle_queries() -> dict[str, str]:
                     count(loss) valid_batches, round(avg(loss), 6) valid_loss FROM log GROUP BY 1, 2""",
     )
     sql["running_loss"] = with_parts(LOSSES, select="SELECT run_id, epoch, batch_idx, running_loss FROM running")
+    sql["stream_running_loss"] = sql["running_loss"]
+    sql["stream_epoch_loss"] = with_parts(
+        LOSSES,
+        select="""SELECT run_id, epoch, count(*) batches, count(loss) valid_batches, round(sum(loss) / count(*), 6) average_loss
+                  FROM log GROUP BY 1, 2""",
+    )
     sql["running_loss_progress"] = with_parts(
         LOSSES,
         select="""SELECT run_id, epoch, batch_idx, batches, running_loss FROM running
