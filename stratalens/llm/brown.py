@@ -13,17 +13,22 @@ from stratalens.llm.words import mix, steps, word_hashes
 from stratalens.session import save_shared
 
 #: Parameters of the registered query. The classes start from at most UNITS words and ENDINGS groups by the last two
-#: bytes of the others; then every word moves by its own counts: the RESIDENT most frequent ones, whose counts and
-#: classes are in every task, in ROUNDS rounds that take them in PARTS turns, and after them all rarer ones once.
+#: bytes of the others; then every word moves by its own counts: the RESIDENT most frequent ones, whose classes are in
+#: every task, in ROUNDS rounds, the first of which takes them in PARTS turns, each later one in one more (a turn that
+#: overshoots is halved DAMPED times at most); after them all rarer ones once.
 UNITS = 512
-ROUNDS = 4
+ROUNDS = 2
 PARTS = 2
+DAMPED = 2
 ENDINGS = 128
 CLASSES = 50
 RESIDENT = 200_000
 EXCHANGES = 8
-#: Tokens that a task counts before it passes the counts on.
+#: Tokens that a task counts before it passes the counts on, cells of one word that it holds before it adds them up, and
+#: tasks among which the counts of a frequent word are dealt.
 COUNTED = 2_000_000
+HELD_CELLS = 1 << 20
+SPLIT = 16
 #: Added to counts of units and words, and the weight of the class frequencies in a class's transitions.
 ADDED = 0.5
 BACKOFF = 10.0
@@ -146,32 +151,24 @@ class Units:
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         return np.where(self.words[at] == hashes, at, len(self.words) + group)
 
-    def before(self, unit: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The unit before each token; before a text stands an end."""
-        shifted = np.r_[0, unit[:-1]]
-        shifted[offsets[:-1]] = np.searchsorted(self.words, END)
-        return shifted
 
-
-def pair_counts(docs: DataFrame, units: Units) -> np.ndarray:
+def pair_counts(texts: DataFrame, words: np.ndarray, unit_of: np.ndarray, n_units: int) -> np.ndarray:
     """How often each unit follows each other one. A task sends at most one row for each pair, and so does the result."""
+    known = texts.sparkSession.sparkContext.broadcast((words, unit_of))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(units.n**2, dtype=np.int64)
-        for batch in batches:
-            for _, hashes, group, offsets in tokens(batch.column("text")):
-                unit = units.of(hashes, group)
-                total += np.bincount(units.before(unit, offsets) * units.n + unit, minlength=len(total))
+        words, unit_of = known.value
+        total = np.zeros(n_units**2, dtype=np.int64)
+        for left, right, _, ending in _neighbours(batches, words):
+            unit = np.r_[unit_of, n_units - ENDINGS + ending]
+            total += np.bincount(unit[left] * n_units + unit[right], minlength=len(total))
         pair = np.flatnonzero(total)
         for at in range(0, len(pair), 100_000):
             part = pair[at : at + 100_000]
             yield pa.RecordBatch.from_pydict({"pair": pa.array(part), "n": pa.array(total[part])})
 
-    counted = docs.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    found = counted.toArrow()  # at most (UNITS + 1 + ENDINGS) ** 2 rows
-    pairs = np.zeros(units.n**2)
-    pairs[found["pair"].to_numpy()] = found["n"].to_numpy()
-    return pairs.reshape(units.n, units.n)
+    found = texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return _table_of(found.toArrow(), n_units)  # at most (UNITS + 1 + ENDINGS) ** 2 rows
 
 
 def transitions(table: np.ndarray, used: np.ndarray) -> np.ndarray:
@@ -183,26 +180,6 @@ def transitions(table: np.ndarray, used: np.ndarray) -> np.ndarray:
         return np.log10((table + BACKOFF * share) / (table.sum(axis=1, keepdims=True) + BACKOFF))
 
 
-class Model:
-    """The start: classes of units; log10 of class transitions and of unit emissions, the step from a group to its word left open.
-
-    The chance of a token is P(class | class before) * P(unit | class), and,
-    where the unit is a group of endings, * P(word | group) = (c + 0.5) /
-    (N_group + 0.5 * (V_group + 1)): one unknown word has its share. All sum up to 1.
-    """
-
-    def __init__(self, units: Units, pairs: np.ndarray, groups: dict[int, tuple[int, int]], classes: int):
-        self.units = units
-        self.class_of = exchange(pairs, classes)
-        member = np.eye(classes)[self.class_of]
-        unit_n = pairs.sum(axis=0)
-        self.transition = transitions(member.T @ pairs @ member, member.any(axis=0))
-        self.emission = np.log10((unit_n + ADDED) / (unit_n @ member + ADDED * member.sum(axis=0))[self.class_of])
-        for group in range(ENDINGS):
-            n, v = groups.get(group, (0, 0))
-            self.emission[len(units.words) + group] -= np.log10(n + ADDED * (v + 1))
-
-
 class WordModel:
     """log10 of class transitions and the parts of P(word | class) = (n + 0.5) / (N_class + 0.5 * (V_class + G_class)).
 
@@ -267,53 +244,60 @@ def _table_of(found: pa.Table, classes: int) -> np.ndarray:
     return table.reshape(classes, classes)
 
 
-def class_table(texts: DataFrame, words: np.ndarray, class_of: np.ndarray, group_class: np.ndarray | None, classes: int) -> np.ndarray:
-    """How often each class follows each other one; without ``group_class`` only where both words are among ``words``."""
-    known = texts.sparkSession.sparkContext.broadcast((words, class_of, group_class))
+class Contexts:
+    """Where the cells of a word's context stand: n * stride + key.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, class_of, group_class = known.value
-        total = np.zeros(classes**2, dtype=np.int64)
-        for left, right, rare, ending in _neighbours(batches, words):
-            own = np.r_[class_of, group_class[ending] if group_class is not None else np.full(len(rare), -1)]
-            before, after = own[left], own[right]
-            total += np.bincount((before * classes + after)[(before >= 0) & (after >= 0)], minlength=len(total))
-        pair = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"pair": pa.array(pair), "n": pa.array(total[pair])})
+    Keys are in turn the place in ``words`` of the word before it, or the group of
+    a rare word before it, the same for the word after it, and the word beside itself.
+    """
 
-    found = texts.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    return _table_of(found.toArrow(), classes)
+    @staticmethod
+    def stride(n_words: int) -> int:
+        return 2 * (n_words + ENDINGS) + 1
 
+    @staticmethod
+    def columns(class_of: np.ndarray, group_class: np.ndarray, classes: int) -> np.ndarray:
+        """The column of each key in a row of 4 * classes + 1: classes before it, of one of ``words`` or a rare word, and after it."""
+        side = np.r_[class_of, classes + group_class]
+        return np.r_[side, 2 * classes + side, 4 * classes]
 
-def class_counts(texts: DataFrame, words: np.ndarray, class_of: np.ndarray, group_class: np.ndarray, classes: int, rare: bool) -> DataFrame:
-    """word, ending, cells for each of ``words``, or for each rare word: its counts per class before and after it, and beside itself.
 
-    A cell is n * stride + key, stride = 4 * classes + 1; key is in turn the
-    class before it, of one of ``words`` or of a rare word, the class after it
-    in the same way, or the last for the word beside itself. A task sends at
-    most one row for each word and ``COUNTED`` tokens.
+def contexts(texts: DataFrame, words: np.ndarray, frequent: np.ndarray) -> DataFrame:
+    """word, ending (-1: one of ``words``), cells of every word: how often each word, or group of rare words, stands beside it.
+
+    These counts hold whatever the classes are. A task sends at most one row
+    for each word and ``COUNTED`` tokens; the rows of the ``frequent`` words are
+    dealt among ``SPLIT`` tasks first.
     """
-    stride = 4 * classes + 1
-    known = texts.sparkSession.sparkContext.broadcast((words, class_of, group_class))
+    n_words, stride = len(words), Contexts.stride(len(words))
+    known = texts.sparkSession.sparkContext.broadcast((words, frequent))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, class_of, group_class = known.value
+        from pyspark import TaskContext
+
+        words, frequent = known.value
+        salt = TaskContext.get().partitionId() % SPLIT
+        dealt = np.where(np.isin(words, frequent), salt, 0).astype(np.int32)
         for left, right, others, ending in _neighbours(batches, words):
-            key = np.r_[class_of, classes + group_class[ending]]
-            code = np.r_[right * stride + key[left], left * stride + 2 * classes + key[right], right[left == right] * stride + 4 * classes]
-            code = code[(code >= len(words) * stride) == rare]
+            key = np.r_[np.arange(n_words), n_words + ending]
+            code = np.r_[right * stride + key[left], left * stride + n_words + ENDINGS + key[right], right[left == right] * stride + stride - 1]
             code, n = np.unique(code, return_counts=True)
-            starts = np.flatnonzero(np.diff(code // stride, prepend=-1))
-            cells, ends = n * stride + code % stride, np.r_[starts[1:], len(code)]
-            names, groups = np.r_[words, others], np.r_[np.zeros(len(words), dtype=np.int64), ending]
+            word = code // stride
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            cells, ends = n * stride + code - word * stride, np.r_[starts[1:], len(code)]
+            names = np.r_[words, others]
+            groups = np.r_[np.full(n_words, -1), ending].astype(np.int32)
+            salts = np.r_[dealt, np.zeros(len(others), np.int32)]
             for at in range(0, len(starts), 20_000):
                 first, last = starts[at : at + 20_000], ends[at : at + 20_000]
-                offsets = np.r_[first, last[-1]] - first[0]
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(cells[first[0] : last[-1]]))
-                word = code[first] // stride
-                yield pa.RecordBatch.from_arrays([pa.array(names[word]), pa.array(groups[word].astype(np.int32)), lists], names=["word", "ending", "cells"])
+                own = word[first]
+                offsets = (np.r_[first, last[-1]] - first[0]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cells[first[0] : last[-1]]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names[own]), pa.array(groups[own]), lists, pa.array(salts[own])], names=["word", "ending", "cells", "salt"]
+                )
 
-    def added(table: pa.Table) -> pa.RecordBatch:
+    def added(table: pa.Table) -> pa.Table:
         names, first, at = np.unique(table["word"].to_numpy(), return_index=True, return_inverse=True)
         lists = table["cells"].combine_chunks()
         lengths, values = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
@@ -321,7 +305,7 @@ def class_counts(texts: DataFrame, words: np.ndarray, class_of: np.ndarray, grou
         n = np.bincount(place, weights=values // stride, minlength=len(code)).astype(np.int64)
         offsets = np.searchsorted(code, np.arange(len(names) + 1) * stride).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(n * stride + code % stride))
-        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(table["ending"].to_numpy()[first]), lists], names=["word", "ending", "cells"])
+        return pa.Table.from_arrays([pa.array(names), pa.array(table["ending"].to_numpy()[first]), lists], names=["word", "ending", "cells"])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -329,27 +313,59 @@ def class_counts(texts: DataFrame, words: np.ndarray, class_of: np.ndarray, grou
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([held, table]) if held is not None else table
+            table = (pa.concat_tables([held, table]) if held is not None else table).combine_chunks()
             names = table["word"].to_numpy()
             cut = int(np.searchsorted(names, names[-1]))
             held = table.slice(cut).combine_chunks()
+            if held["cells"].nbytes > 8 * HELD_CELLS:
+                held = added(held)
             if cut:
-                yield added(table.slice(0, cut).combine_chunks())
+                yield from added(table.slice(0, cut).combine_chunks()).to_batches()
         if held is not None:
-            yield added(held)
+            yield from added(held).to_batches()
 
     kinds = "word long, ending int, cells array<long>"
-    return texts.mapInArrow(count, kinds).repartition("word").sortWithinPartitions("word").mapInArrow(add_up, kinds)
+    dealt = texts.mapInArrow(count, f"{kinds}, salt int").repartition("word", "salt").sortWithinPartitions("word")
+    found = save_shared(dealt.drop("salt").mapInArrow(add_up, kinds), "contexts")
+    split = F.col("word").isin([int(word) for word in frequent])
+    whole = found.where(split).repartition("word").sortWithinPartitions("word").mapInArrow(add_up, kinds)
+    return found.where(~split).unionByName(save_shared(whole, "frequent-contexts"))
 
 
-def _dense(batch: pa.RecordBatch, classes: int) -> np.ndarray:
-    """The cells of a batch as words x keys."""
-    stride, lists = 4 * classes + 1, batch.column("cells")
+def _dense(batch: pa.RecordBatch, columns: np.ndarray) -> np.ndarray:
+    """The cells of a batch as words x columns of classes."""
+    width, lists = int(columns[-1]) + 1, batch.column("cells")
     values = lists.flatten().to_numpy()
     row = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
-    dense = np.zeros((len(batch), stride))
-    dense[row, values % stride] = values // stride
-    return dense
+    place = row * width + columns[values % len(columns)]
+    return np.bincount(place, weights=values // len(columns), minlength=len(batch) * width).reshape(len(batch), width)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, len(batch), 1024):
+            yield batch.slice(start, 1024)
+
+
+def class_table(found: DataFrame, words: np.ndarray, class_of: np.ndarray, group_class: np.ndarray, classes: int, rare: bool) -> np.ndarray:
+    """How often each class follows each other one, from the contexts; without ``rare`` only where both words are among ``words``."""
+    known = found.sparkSession.sparkContext.broadcast((words, class_of, group_class))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, class_of, group_class = known.value
+        columns, total = Contexts.columns(class_of, group_class, classes), np.zeros((classes, classes))
+        for part in _parts(batches):
+            ending = part.column("ending").to_numpy()
+            own = np.where(ending < 0, class_of[places(words, part.column("word").to_numpy())[0]], group_class[np.maximum(ending, 0)])
+            dense = _dense(part, columns)
+            before = dense[:, :classes] + (dense[:, classes : 2 * classes] if rare else 0)
+            total += before.T @ np.eye(classes)[own]
+        pair = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"pair": pa.array(pair), "n": pa.array(total.ravel()[pair].astype(np.int64))})
+
+    rows = found if rare else found.where("ending < 0")
+    counted = rows.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return _table_of(counted.toArrow(), classes)
 
 
 def likelihood(table: np.ndarray) -> float:
@@ -383,67 +399,89 @@ def gains(own: np.ndarray, before: np.ndarray, after: np.ndarray, beside: np.nda
     return gain
 
 
-def moved(counts: DataFrame, words: np.ndarray, class_of: np.ndarray, group_class: np.ndarray, table: np.ndarray, turn: int | None) -> DataFrame:
-    """word, ending, class, n, cells after each word of this turn (of none: each word) has moved to its best class, all at once."""
+def moved(
+    found: DataFrame, words: np.ndarray, class_of: np.ndarray, group_class: np.ndarray, table: np.ndarray, turn: tuple[int, int] | None
+) -> DataFrame:
+    """word, class of those of ``words`` that move to a better class in a turn (which one, of how many), all at once.
+
+    Without ``turn``: word, ending, class, n, cells of every rare word, in its best class.
+    """
     classes = len(table)
-    known = counts.sparkSession.sparkContext.broadcast((words, class_of, group_class, table))
+    known = found.sparkSession.sparkContext.broadcast((words, class_of, group_class, table))
+
+    def best(part: pa.RecordBatch, columns: np.ndarray, own: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        dense = _dense(part, columns)
+        before, after = (dense[:, k : k + classes] + dense[:, k + classes : k + 2 * classes] for k in (0, 2 * classes))
+        gain = gains(own, before, after, dense[:, -1], table)
+        first, every = gain.argmax(axis=1), np.arange(len(own))
+        return np.where(gain[every, first] > gain[every, own] + 1e-6, first, own), before.sum(axis=1)
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, class_of, group_class, table = known.value
-        for batch in batches:
-            for start in range(0, len(batch), 1024):
-                part = batch.slice(start, 1024)
-                names, dense = part.column("word").to_numpy(), _dense(part, classes)
-                before, after = (dense[:, k : k + classes] + dense[:, k + classes : k + 2 * classes] for k in (0, 2 * classes))
-                at, here = places(words, names)
-                own = np.where(here, class_of[at], group_class[part.column("ending").to_numpy()])
-                gain = gains(own, before, after, dense[:, -1], table)
-                best, every = gain.argmax(axis=1), np.arange(len(own))
-                go = gain[every, best] > gain[every, own] + 1e-6
-                if turn is not None:
-                    go &= mix(names.view(np.uint64)) % np.uint64(PARTS) == turn % PARTS
-                found = np.where(go, best, own).astype(np.int32)
+        columns = Contexts.columns(class_of, group_class, classes)
+        for part in _parts(batches):
+            names = part.column("word").to_numpy()
+            if turn is None:
+                to, n = best(part, columns, group_class[part.column("ending").to_numpy()], table)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("word"), part.column("ending"), pa.array(found), pa.array(before.sum(axis=1).astype(np.int64)), part.column("cells")],
+                    [part.column("word"), part.column("ending"), pa.array(to.astype(np.int32)), pa.array(n.astype(np.int64)), part.column("cells")],
                     names=["word", "ending", "class", "n", "cells"],
                 )
-
-    return counts.mapInArrow(move, "word long, ending int, class int, n long, cells array<long>")
-
-
-def word_classes(training: DataFrame, words: np.ndarray, class_of: np.ndarray, group_class: np.ndarray, classes: int) -> tuple[np.ndarray, DataFrame, np.ndarray]:
+                continue
+            mine = mix(names.view(np.uint64)) % np.uint64(turn[1]) == turn[0]
+            part, names = part.filter(pa.array(mine)), names[mine]
+            if len(names):
+                own = class_of[places(words, names)[0]]
+                to, _ = best(part, columns, own, table)
+                go = to != own
+                yield pa.RecordBatch.from_arrays([pa.array(names[go]), pa.array(to[go].astype(np.int32))], names=["word", "class"])
+
+    if turn is None:
+        return found.where("ending >= 0").mapInArrow(move, "word long, ending int, class int, n long, cells array<long>")
+    return found.where("ending < 0").mapInArrow(move, "word long, class int")
+
+
+def word_classes(
+    texts: DataFrame, words: np.ndarray, frequent: np.ndarray, class_of: np.ndarray, group_class: np.ndarray, classes: int
+) -> tuple[np.ndarray, DataFrame, np.ndarray]:
     """Classes of ``words``; word, ending, class, n of all other training words; and the class table.
 
     The start are the classes ``class_of`` the words and ``group_class`` of the
-    endings of the others. A round of ``words`` stands only if the likelihood
-    has grown by it; the others move once, against the table of the last round.
+    endings of the others. The contexts of all words are counted once. In a
+    round every one of ``words`` has its turn; a turn stands if the likelihood has
+    grown by it, else fewer of its words move, and a round in which none stands
+    is the last. The rare words,
+    which have the class of their ending in the contexts of others, move once,
+    against the table of the last round.
     """
-    texts = save_shared(encoded(training, words), "encoded")
-    table = class_table(texts, words, class_of, group_class, classes)
-    for turn in range(ROUNDS):
-        counts = class_counts(texts, words, class_of, group_class, classes, rare=False)
-        # At most RESIDENT + UNITS + 1 rows.
-        found = moved(counts, words, class_of, group_class, table, turn).select("word", "class").toArrow()
-        tried = class_of.copy()
-        tried[places(words, found["word"].to_numpy())[0]] = found["class"].to_numpy()
-        after = class_table(texts, words, tried, group_class, classes)
-        if likelihood(after) <= likelihood(table):
+    found = contexts(texts, words, frequent)
+    table = class_table(found, words, class_of, group_class, classes, rare=True)
+    for turns in range(PARTS, PARTS + ROUNDS):
+        stands = False
+        for turn in range(turns):
+            gone = moved(found, words, class_of, group_class, table, (turn, turns)).toArrow()  # at most RESIDENT + UNITS + 1 rows
+            at, to = places(words, gone["word"].to_numpy())[0], gone["class"].to_numpy()
+            for damped in range(DAMPED + 1):  # too many at once can make it worse: then a half of them, a quarter, ...
+                tried, go = class_of.copy(), mix(words[at].view(np.uint64) + np.uint64(turns)) % np.uint64(1 << damped) == 0
+                tried[at[go]] = to[go]
+                after = class_table(found, words, tried, group_class, classes, rare=True)
+                if likelihood(after) > likelihood(table):
+                    class_of, table, stands = tried, after, True
+                    break
+        if not stands:
             break
-        class_of, table = tried, after
-    counts = class_counts(texts, words, class_of, group_class, classes, rare=True)
-    rare = save_shared(moved(counts, words, class_of, group_class, table, None), "rare-classes")
+    rare = save_shared(moved(found, words, class_of, group_class, table, None), "rare-classes")
+    columns = Contexts.columns(class_of, group_class, classes)
 
     def beside_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((classes, classes))
-        for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.slice(at, 1024)
-                dense, own = _dense(part, classes), np.eye(classes)[part.column("class").to_numpy()]
-                total += dense[:, :classes].T @ own + own.T @ dense[:, 2 * classes : 3 * classes]
+        for part in _parts(batches):
+            dense, own = _dense(part, columns), np.eye(classes)[part.column("class").to_numpy()]
+            total += dense[:, :classes].T @ own + own.T @ dense[:, 2 * classes : 3 * classes]
         pair = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"pair": pa.array(pair), "n": pa.array(total.ravel()[pair].astype(np.int64))})
 
-    known = training.sparkSession.sparkContext.broadcast(words)
+    known = texts.sparkSession.sparkContext.broadcast(words)
 
     def both_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for left, right, names, _ in _neighbours(batches, known.value):
@@ -452,8 +490,9 @@ def word_classes(training: DataFrame, words: np.ndarray, class_of: np.ndarray, g
             for at in range(0, len(left), 100_000):
                 yield pa.RecordBatch.from_pydict({"a": pa.array(left[at : at + 100_000]), "b": pa.array(right[at : at + 100_000])})
 
+    table = class_table(found, words, class_of, group_class, classes, rare=False)
     found = rare.select("class", "cells").mapInArrow(beside_words, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    table = class_table(texts, words, class_of, None, classes) + _table_of(found.toArrow(), classes)
+    table = table + _table_of(found.toArrow(), classes)
     pairs = texts.mapInArrow(both_rare, "a long, b long")
     for word, own in (("a", "ac"), ("b", "bc")):
         pairs = pairs.join(rare.select(F.col("word").alias(word), F.col("class").cast("long").alias(own)), word)
@@ -485,7 +524,6 @@ def scores(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     frequent = vocabulary.where(F.col("n") >= _least_count(vocabulary, UNITS)).select("word").toArrow()
     units = Units(frequent["word"].to_numpy().view(np.uint64))
-    unit_class = exchange(pair_counts(training, units), classes)
     of_units = [int(word) for word in units.words.view(np.int64)]
     resident = vocabulary.where((F.col("n") >= _least_count(vocabulary, RESIDENT)) | F.col("word").isin(of_units))
     resident = resident.toArrow()  # at most RESIDENT + UNITS + 1 rows
@@ -493,29 +531,33 @@ def scores(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
     counts, ending = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
     at, _ = places(words, resident["word"].to_numpy())
     counts[at], ending[at] = resident["n"].to_numpy(), resident["ending"].to_numpy()
-    start = unit_class[units.of(words.view(np.uint64), ending)]
-    class_of, rare, table = word_classes(training, words, start, unit_class[len(units.words) :], classes)
+    texts, unit_of = save_shared(encoded(training, words), "encoded"), units.of(words.view(np.uint64), ending)
+    unit_class = exchange(pair_counts(texts, words, unit_of, units.n), classes)
+    class_of, rare, table = word_classes(
+        texts, words, units.words.view(np.int64), unit_class[unit_of], unit_class[len(units.words) :], classes
+    )
 
     kinds = np.zeros((ENDINGS, classes))
     np.add.at(kinds, (ending, class_of), 1)  # the end is a word even if nothing is learned
     for row in rare.groupBy("ending", "class").agg(F.count("*").alias("v")).collect():  # at most ENDINGS * CLASSES rows
         kinds[row["ending"], row["class"]] += row["v"]
     group_class = np.where(kinds.any(axis=1), kinds.argmax(axis=1), unit_class[len(units.words) :])
-    known = spark.sparkContext.broadcast((words, counts, class_of, WordModel(table, kinds.sum(axis=0), group_class)))
+    model = WordModel(table, kinds.sum(axis=0), group_class)
+    known = spark.sparkContext.broadcast((words, counts, class_of, model.group_class, model.transition, model.divisor))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts, class_of, model = known.value
+        words, counts, class_of, group_class, transition, divisor = known.value
         end = int(np.searchsorted(words, END.view(np.int64)))
         for batch in batches:
             sums, sizes, found = np.zeros((4, len(batch))), np.zeros(len(batch), dtype=np.int64), []
             for row, hashes, group, offsets in tokens(batch.column("text")):
                 at, here = places(words, hashes)
-                own, first = np.where(here, class_of[at], model.group_class[group]), offsets[:-1]
+                own, first = np.where(here, class_of[at], group_class[group]), offsets[:-1]
                 before, here_before, word_before = np.r_[0, own[:-1]], np.r_[True, here[:-1]], np.r_[END, hashes[:-1]]
                 before[first], here_before[first], word_before[first] = class_of[end], True, END
                 base = np.where(here, np.log10(counts[at] + ADDED), 0.0)
-                part = np.where(here, base - model.divisor[own], 0.0)
-                part[here & here_before] += model.transition[before, own][here & here_before]
+                part = np.where(here, base - divisor[own], 0.0)
+                part[here & here_before] += transition[before, own][here & here_before]
                 for k, values in enumerate((np.ones(len(hashes)), here & (counts[at] > 0), base, part)):
                     sums[k, row : row + len(first)] = np.add.reduceat(values.astype(np.float64), first)
                 # An end follows every rare word, at the latest; where the neighbour is rare too, the pair is told apart.
@@ -549,12 +591,12 @@ def scores(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
         return joined.drop("_class")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = known.value[3]
+        transition, divisor = known.value[4:]
         for batch in batches:
             own, before, after, n = (batch.column(c).to_numpy() for c in ("own", "before", "after", "n"))
             base = np.where(n >= 0, np.log10(np.maximum(n, 0) + ADDED), 0.0)  # of a pair of rare words only the step counts
-            part = np.where(n >= 0, base - model.divisor[own], 0.0)
-            for known_, step in ((before >= 0, model.transition[before, own]), (after >= 0, model.transition[own, after])):
+            part = np.where(n >= 0, base - divisor[own], 0.0)
+            for known_, step in ((before >= 0, transition[before, own]), (after >= 0, transition[own, after])):
                 part[known_] += step[known_]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array((n > 0).astype(np.int64)), pa.array(base), pa.array(part)],

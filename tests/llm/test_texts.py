@@ -164,20 +164,6 @@ def test_base_scores_equal_brute_force_and_classes_beat_them(spark, monkeypatch)
     assert all(math.isclose(math.log10(r.perplexity), -r.score / r.n_tokens, rel_tol=1e-9) for r in found)
 
 
-def test_chances_sum_to_one():
-    rng = np.random.default_rng(3)
-    units = brown.Units(np.array([5, 9, 11], dtype=np.uint64))
-    pairs = np.zeros((units.n, units.n))
-    pairs[rng.integers(0, 8, 60), rng.integers(0, 8, 60)] += 3
-    model = brown.Model(units, pairs, {2: (40, 7)}, 5)
-    step = 10.0 ** model.emission
-    for group in range(brown.ENDINGS):  # words of a group: v of them with n tokens, and one unknown
-        n, v = (40, 7) if group == 2 else (0, 0)
-        step[len(units.words) + group] *= n + 0.5 * (v + 1)
-    for before in range(5):
-        assert abs((10.0 ** model.transition[before, model.class_of] * step).sum() - 1) < 1e-9
-
-
 def test_exchange_finds_the_blocks():
     pairs = np.kron(np.eye(3), np.ones((6, 6))) * 50 + 1
     order = np.random.default_rng(2).permutation(18)
