@@ -19,14 +19,15 @@ from stratalens.session import save_shared
 UNITS = 512
 ROUNDS = 2
 PARTS = 2
-DAMPED = 2
+DAMPED = 1
 ENDINGS = 128
 CLASSES = 50
 RESIDENT = 200_000
 EXCHANGES = 8
-#: Tokens that a task counts before it passes the counts on, cells of one word that it holds before it adds them up, and
+#: Tokens that a task counts before it passes on the counts of neighbours, and of words alone; cells of one word that it holds before it adds them up, and
 #: tasks among which the counts of a frequent word are dealt.
 COUNTED = 2_000_000
+COUNTED_WORDS = 4_000_000
 HELD_CELLS = 1 << 20
 SPLIT = 16
 #: Added to counts of units and words, and the weight of the class frequencies in a class's transitions.
@@ -61,7 +62,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for _, hashes, group, _ in tokens(batch.column("text")):
                 held.append((hashes, group))
-                if sum(len(hashes) for hashes, _ in held) >= COUNTED:
+                if sum(len(hashes) for hashes, _ in held) >= COUNTED_WORDS:
                     yield distinct(held)
                     held = []
         if held:
@@ -159,9 +160,11 @@ def pair_counts(texts: DataFrame, words: np.ndarray, unit_of: np.ndarray, n_unit
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, unit_of = known.value
         total = np.zeros(n_units**2, dtype=np.int64)
-        for left, right, _, ending in _neighbours(batches, words):
-            unit = np.r_[unit_of, n_units - ENDINGS + ending]
-            total += np.bincount(unit[left] * n_units + unit[right], minlength=len(total))
+        end = int(unit_of[np.searchsorted(words, END.view(np.int64))])
+        for ids, _, ending in _encoded_rows(batches):  # every row ends in an end
+            unit = unit_of[ids]
+            unit[ids < 0] = n_units - ENDINGS + ending.astype(np.int64)
+            total += np.bincount(np.r_[end, unit[:-1]] * n_units + unit, minlength=len(total))
         pair = np.flatnonzero(total)
         for at in range(0, len(pair), 100_000):
             part = pair[at : at + 100_000]
@@ -195,10 +198,29 @@ class WordModel:
         self.divisor = np.log10(np.maximum(table.sum(axis=0) + ADDED * kinds, ADDED))
 
 
-def places(words: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each hash is in the sorted ``words``, and whether it is there."""
+#: Leading bits of a hash that lead to its place in a sorted array.
+LEADING = 18
+
+
+def leading(words: np.ndarray) -> np.ndarray:
+    """For each value of the leading bits the place in the sorted ``words`` where hashes with them begin."""
+    edges = (np.arange(1 << LEADING, dtype=np.int64) - (1 << LEADING - 1)) << np.int64(64 - LEADING)
+    return np.searchsorted(words, edges)
+
+
+def places(words: np.ndarray, hashes: np.ndarray, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Where each hash is in the sorted ``words``, and whether it is there; for many hashes pass ``leading(words)``."""
     hashes = hashes.view(np.int64)
-    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
+    if first is None:
+        at = np.searchsorted(words, hashes)
+    else:
+        at = first[(hashes >> np.int64(64 - LEADING)) + (1 << LEADING - 1)]
+        open_ = np.flatnonzero(words[np.minimum(at, len(words) - 1)] < hashes)
+        while len(open_):  # a few words share their leading bits
+            open_ = open_[at[open_] < len(words)]
+            at[open_] += 1
+            open_ = open_[words[np.minimum(at[open_], len(words) - 1)] < hashes[open_]]
+    at = np.minimum(at, len(words) - 1)
     return at, words[at] == hashes
 
 
@@ -207,15 +229,22 @@ def encoded(docs: DataFrame, words: np.ndarray) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(words)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = leading(known.value)
         for batch in batches:
             for _, hashes, group, _ in tokens(batch.column("text")):
-                at, here = places(known.value, hashes)
+                at, here = places(known.value, hashes, first)
                 parts = np.where(here, at, -1).astype(np.int32), hashes[~here], group[~here].astype(np.int16)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in parts], names=["ids", "rare", "ending"])
 
     return docs.select("text").mapInArrow(encode, "ids binary, rare binary, ending binary")
 
 
+def _encoded_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("ids", "rare", "ending"))):
+            yield tuple(np.frombuffer(x, dtype=kind) for x, kind in zip(row, (np.int32, np.int64, np.int16)))
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Ids of neighbours, the rare words and their groups, for a bounded number of tokens at a time; rare words have ids from len(words) on."""
     end = int(np.searchsorted(words, END.view(np.int64)))
@@ -227,13 +256,13 @@ def _neighbours(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterato
         ids[ids < 0] = len(words) + own
         return np.r_[end, ids[:-1]], ids, rare, ending[first].astype(np.int64)  # every row ends in an end
 
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("ids", "rare", "ending"))):
-            held.append(tuple(np.frombuffer(x, dtype=kind) for x, kind in zip(row, (np.int32, np.int64, np.int16))))
-            if sum(len(ids) for ids, _, _ in held) >= COUNTED:
-                yield of(held)
-                held = []
+    held, n = [], 0
+    for row in _encoded_rows(batches):
+        held.append(row)
+        n += len(row[0])
+        if n >= COUNTED:
+            yield of(held)
+            held, n = [], 0
     if held:
         yield of(held)
 
@@ -348,23 +377,37 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def class_table(found: DataFrame, words: np.ndarray, class_of: np.ndarray, group_class: np.ndarray, classes: int, rare: bool) -> np.ndarray:
-    """How often each class follows each other one, from the contexts; without ``rare`` only where both words are among ``words``."""
+    """How often each class follows each other one where one of both is among ``words``, from their contexts; without ``rare``, where both are."""
     known = found.sparkSession.sparkContext.broadcast((words, class_of, group_class))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, class_of, group_class = known.value
         columns, total = Contexts.columns(class_of, group_class, classes), np.zeros((classes, classes))
         for part in _parts(batches):
-            ending = part.column("ending").to_numpy()
-            own = np.where(ending < 0, class_of[places(words, part.column("word").to_numpy())[0]], group_class[np.maximum(ending, 0)])
-            dense = _dense(part, columns)
-            before = dense[:, :classes] + (dense[:, classes : 2 * classes] if rare else 0)
-            total += before.T @ np.eye(classes)[own]
+            own = np.eye(classes)[class_of[places(words, part.column("word").to_numpy())[0]]]
+            before, rare_before, _, rare_after = np.split(_dense(part, columns)[:, :-1], 4, axis=1)
+            total += (before + rare_before if rare else before).T @ own
+            if rare:
+                total += own.T @ rare_after
         pair = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"pair": pa.array(pair), "n": pa.array(total.ravel()[pair].astype(np.int64))})
 
-    rows = found if rare else found.where("ending < 0")
-    counted = rows.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    counted = found.where("ending < 0").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return _table_of(counted.toArrow(), classes)
+
+
+def rare_table(found: DataFrame, group_class: np.ndarray, classes: int, n_words: int) -> np.ndarray:
+    """How often each class follows each other one where both words are rare and have the class of their ending."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns, total = Contexts.columns(np.zeros(n_words, np.int64), group_class, classes), np.zeros((classes, classes))
+        for part in _parts(batches):
+            own = np.eye(classes)[group_class[part.column("ending").to_numpy()]]
+            total += _dense(part, columns)[:, classes : 2 * classes].T @ own
+        pair = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"pair": pa.array(pair), "n": pa.array(total.ravel()[pair].astype(np.int64))})
+
+    counted = found.where("ending >= 0").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     return _table_of(counted.toArrow(), classes)
 
 
@@ -455,7 +498,8 @@ def word_classes(
     against the table of the last round.
     """
     found = contexts(texts, words, frequent)
-    table = class_table(found, words, class_of, group_class, classes, rare=True)
+    fixed = rare_table(found, group_class, classes, len(words))  # while words move
+    table = fixed + class_table(found, words, class_of, group_class, classes, rare=True)
     for turns in range(PARTS, PARTS + ROUNDS):
         stands = False
         for turn in range(turns):
@@ -464,7 +508,7 @@ def word_classes(
             for damped in range(DAMPED + 1):  # too many at once can make it worse: then a half of them, a quarter, ...
                 tried, go = class_of.copy(), mix(words[at].view(np.uint64) + np.uint64(turns)) % np.uint64(1 << damped) == 0
                 tried[at[go]] = to[go]
-                after = class_table(found, words, tried, group_class, classes, rare=True)
+                after = fixed + class_table(found, words, tried, group_class, classes, rare=True)
                 if likelihood(after) > likelihood(table):
                     class_of, table, stands = tried, after, True
                     break
@@ -481,14 +525,11 @@ def word_classes(
         pair = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"pair": pa.array(pair), "n": pa.array(total.ravel()[pair].astype(np.int64))})
 
-    known = texts.sparkSession.sparkContext.broadcast(words)
-
     def both_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for left, right, names, _ in _neighbours(batches, known.value):
-            here = (left >= len(known.value)) & (right >= len(known.value))
-            left, right = names[left[here] - len(known.value)], names[right[here] - len(known.value)]
-            for at in range(0, len(left), 100_000):
-                yield pa.RecordBatch.from_pydict({"a": pa.array(left[at : at + 100_000]), "b": pa.array(right[at : at + 100_000])})
+        for ids, names, _ in _encoded_rows(batches):
+            at = np.flatnonzero(ids < 0)
+            beside = np.flatnonzero(np.diff(at) == 1)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(names[beside]), "b": pa.array(names[beside + 1])})
 
     table = class_table(found, words, class_of, group_class, classes, rare=False)
     found = rare.select("class", "cells").mapInArrow(beside_words, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
@@ -547,11 +588,11 @@ def scores(docs: DataFrame, classes: int = CLASSES) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts, class_of, group_class, transition, divisor = known.value
-        end = int(np.searchsorted(words, END.view(np.int64)))
+        end, leads = int(np.searchsorted(words, END.view(np.int64))), leading(words)
         for batch in batches:
             sums, sizes, found = np.zeros((4, len(batch))), np.zeros(len(batch), dtype=np.int64), []
             for row, hashes, group, offsets in tokens(batch.column("text")):
-                at, here = places(words, hashes)
+                at, here = places(words, hashes, leads)
                 own, first = np.where(here, class_of[at], group_class[group]), offsets[:-1]
                 before, here_before, word_before = np.r_[0, own[:-1]], np.r_[True, here[:-1]], np.r_[END, hashes[:-1]]
                 before[first], here_before[first], word_before[first] = class_of[end], True, END
