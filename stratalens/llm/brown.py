@@ -291,8 +291,8 @@ class Contexts:
         return np.r_[side, 2 * classes + side, 4 * classes]
 
 
-def contexts(texts: DataFrame, words: np.ndarray, frequent: np.ndarray) -> DataFrame:
-    """word, ending (-1: one of ``words``), cells of every word: how often each word, or group of rare words, stands beside it.
+def contexts(texts: DataFrame, words: np.ndarray, frequent: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """word, ending, cells of ``words`` (ending -1) and of all rare words: how often each word, or group of rare words, stands beside it.
 
     These counts hold whatever the classes are. A task sends at most one row
     for each word and ``COUNTED`` tokens; the rows of the ``frequent`` words are
@@ -358,7 +358,8 @@ def contexts(texts: DataFrame, words: np.ndarray, frequent: np.ndarray) -> DataF
     found = save_shared(dealt.drop("salt").mapInArrow(add_up, kinds), "contexts")
     split = F.col("word").isin([int(word) for word in frequent])
     whole = found.where(split).repartition("word").sortWithinPartitions("word").mapInArrow(add_up, kinds)
-    return found.where(~split).unionByName(save_shared(whole, "frequent-contexts"))
+    resident = found.where(F.col("ending") < 0).where(~split).unionByName(whole)
+    return save_shared(resident, "resident-contexts"), found.where("ending >= 0")
 
 
 def _dense(batch: pa.RecordBatch, columns: np.ndarray) -> np.ndarray:
@@ -392,7 +393,7 @@ def class_table(found: DataFrame, words: np.ndarray, class_of: np.ndarray, group
         pair = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"pair": pa.array(pair), "n": pa.array(total.ravel()[pair].astype(np.int64))})
 
-    counted = found.where("ending < 0").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    counted = found.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     return _table_of(counted.toArrow(), classes)
 
 
@@ -407,7 +408,7 @@ def rare_table(found: DataFrame, group_class: np.ndarray, classes: int, n_words:
         pair = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"pair": pa.array(pair), "n": pa.array(total.ravel()[pair].astype(np.int64))})
 
-    counted = found.where("ending >= 0").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    counted = found.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
     return _table_of(counted.toArrow(), classes)
 
 
@@ -445,9 +446,9 @@ def gains(own: np.ndarray, before: np.ndarray, after: np.ndarray, beside: np.nda
 def moved(
     found: DataFrame, words: np.ndarray, class_of: np.ndarray, group_class: np.ndarray, table: np.ndarray, turn: tuple[int, int] | None
 ) -> DataFrame:
-    """word, class of those of ``words`` that move to a better class in a turn (which one, of how many), all at once.
+    """word, class of those of ``words`` that move to a better class in a turn (which one, of how many), all at once; ``found`` has their contexts.
 
-    Without ``turn``: word, ending, class, n, cells of every rare word, in its best class.
+    Without ``turn``, of the contexts of rare words: word, ending, class, n, cells of each, in its best class.
     """
     classes = len(table)
     known = found.sparkSession.sparkContext.broadcast((words, class_of, group_class, table))
@@ -480,8 +481,8 @@ def moved(
                 yield pa.RecordBatch.from_arrays([pa.array(names[go]), pa.array(to[go].astype(np.int32))], names=["word", "class"])
 
     if turn is None:
-        return found.where("ending >= 0").mapInArrow(move, "word long, ending int, class int, n long, cells array<long>")
-    return found.where("ending < 0").mapInArrow(move, "word long, class int")
+        return found.mapInArrow(move, "word long, ending int, class int, n long, cells array<long>")
+    return found.mapInArrow(move, "word long, class int")
 
 
 def word_classes(
@@ -497,8 +498,8 @@ def word_classes(
     which have the class of their ending in the contexts of others, move once,
     against the table of the last round.
     """
-    found = contexts(texts, words, frequent)
-    fixed = rare_table(found, group_class, classes, len(words))  # while words move
+    found, others = contexts(texts, words, frequent)
+    fixed = rare_table(others, group_class, classes, len(words))  # while words move
     table = fixed + class_table(found, words, class_of, group_class, classes, rare=True)
     for turns in range(PARTS, PARTS + ROUNDS):
         stands = False
@@ -514,7 +515,7 @@ def word_classes(
                     break
         if not stands:
             break
-    rare = save_shared(moved(found, words, class_of, group_class, table, None), "rare-classes")
+    rare = save_shared(moved(others, words, class_of, group_class, table, None), "rare-classes")
     columns = Contexts.columns(class_of, group_class, classes)
 
     def beside_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
