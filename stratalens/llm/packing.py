@@ -70,8 +70,8 @@ def pack(
 ) -> DataFrame:
     """Every piece of every document in a batch: doc_id, piece, start, length, bucket, batch, row.
 
-    Documents are cut into windows of ``window`` tokens (words unless
-    ``n_tokens`` is given), so the histogram of lengths has at most ``window``
+    Documents are cut into windows of ``window`` tokens (``n_tokens``, as the
+    ids of a tokenizer; without it words), so the histogram of lengths has at most ``window``
     entries and the plan is made from all of them. A piece goes to the bucket
     with the least boundary that holds it; in a bucket, pieces in seeded random
     order fill batches of ``batch_tokens // boundary`` rows, only the last one

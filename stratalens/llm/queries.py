@@ -21,6 +21,7 @@ from stratalens.llm import (
 )
 from stratalens.llm.common import table
 from stratalens.llm.sql import ORACLE  # noqa: F401, read with QUERIES
+from stratalens.session import spread
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +48,10 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    import public_tokenizers
+
+    tokens = token_files.token_count(F.col("text"), public_tokenizers.path(token_files.TOKENIZER))
+    return packing.pack(spread(table(spark, sf_dir, "documents"), "doc_id"), n_tokens=tokens)
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from stratalens.llm import files, perfect_hash, words
 from stratalens.session import save_shared, shared_path
@@ -176,6 +176,16 @@ class Encoder:
         return [joined[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
+def token_count(text: Column, tokenizer: str) -> Column:
+    """How many ids each whole text has, without an end id; NULL has none."""
+
+    @F.arrow_udf("long")
+    def count(texts: pa.Array) -> pa.Array:
+        return pa.array([len(ids) for ids in Encoder.of_process(tokenizer).encode(texts)], pa.int64())
+
+    return count(text)
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into shard files in ascending doc_id order; the manifest, one row per shard.
 

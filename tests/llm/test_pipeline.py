@@ -4,11 +4,13 @@ import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+import public_tokenizers
 from test_near import brute_documents
 from test_order import plain_mix, plain_targets, sized
 from test_texts import texts
+from tokenizers import Tokenizer
 
-from stratalens.llm import mixing, packing
+from stratalens.llm import mixing, packing, token_files
 
 
 def documents():
@@ -51,6 +53,27 @@ def test_stages_and_run(spark, tmp_path):
     tokens = Counter()
     for r in batches:
         tokens[r.doc_id] += r.length
-    assert tokens == Counter(d for d, n in sized([r[:2] for r in kept]) for _ in range(n))
+    library = Tokenizer.from_file(public_tokenizers.path(token_files.TOKENIZER))
+    ids = [(r[0], len(library.encode(r[1], add_special_tokens=False).ids)) for r in kept]
+    assert tokens == Counter(d for d, n in ids for _ in range(n))
     run = corpus_pipeline.run(spark, str(tmp_path))
     assert Counter(tuple(r) for r in run.collect()) == Counter(tuple(r) for r in batches)
+
+
+CLASHES = "_rank int, _size int, _copy int, _language string, _row int, bucket int, lang_pred string, component_id long"
+
+
+def test_stages_on_an_empty_table_and_beside_columns_of_their_own_names(spark, tmp_path):
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {CLASHES}"
+    rows = [(*r, len(r[1] or ""), 1, 2, 3, "x", 4, 5, "y", 6) for r in documents()]
+    for name, data in (("empty", []), ("clashing", rows)):
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        docs = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for step, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path / name))
+            assert out.columns == docs.columns, step
+            out.write.parquet(str(tmp_path / name / step))
+            docs = spark.read.parquet(str(tmp_path / name / step))
+        assert (docs.count() > 0) == bool(data)
+        assert all(tuple(r)[5:] == (1, 2, 3, "x", 4, 5, "y", 6) for r in docs.collect())
+        assert (corpus_pipeline.run(spark, str(tmp_path / name)).count() > 0) == bool(data)
