@@ -176,12 +176,18 @@ class Encoder:
         return [joined[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-def token_count(text: Column, tokenizer: str) -> Column:
-    """How many ids each whole text has, without an end id; NULL has none."""
+def token_count(text: Column, tokenizer: str, keep: bool = True) -> Column:
+    """How many ids each whole text has, without an end id; NULL has none.
+
+    A worker keeps the encoder for its later tasks; without ``keep`` each task
+    has one of its own, which costs time and leaves no memory behind.
+    """
 
     @F.arrow_udf("long")
-    def count(texts: pa.Array) -> pa.Array:
-        return pa.array([len(ids) for ids in Encoder.of_process(tokenizer).encode(texts)], pa.int64())
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = Encoder.of_process(tokenizer) if keep else Encoder(tokenizer)
+        for texts in batches:
+            yield pa.array([len(ids) for ids in encoder.encode(texts)], pa.int64())
 
     return count(text)
 
