@@ -46,7 +46,7 @@ def batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A text without ids (NULL or empty) is one piece of length 0 in no batch; a
     document that stands in the mixture twice is packed twice.
     """
-    tokens = token_files.token_count(F.col("text"), public_tokenizers.path(token_files.TOKENIZER))
+    tokens = token_files.token_count(F.col("text"), public_tokenizers.path(token_files.TOKENIZER), keep=False)
     return packing.pack(docs, n_tokens=tokens)
 
 
