@@ -549,6 +549,17 @@ def normalised_refs(spark, sf_dir):
     return views.texts(spark, sf_dir).select("doc_id", F.array_join(refs, "\n---\n").alias("refs"))
 
 
+@query
+def payload_files(spark, sf_dir):
+    """The addresses of all pages, landed as sixteen files of lines and read as bytes."""
+    path = shared_path(spark, "landed")
+    lines = views.table(spark, sf_dir, "pages").select((F.col("page_id") % 16).alias("part"), "page_id", F.col("url").alias("value"))
+    dealt = lines.repartition("part").sortWithinPartitions("part", "page_id").drop("page_id")
+    dealt.write.partitionBy("part").text(path)
+    found = tables.read_payloads(spark, path, glob="*.txt")
+    return found.select("length", F.md5("payload").alias("digest"))
+
+
 @query
 def payload_bodies(spark, sf_dir):
     """The bodies of all pages, written to a container and read back as bytes."""

@@ -639,6 +639,9 @@ def oracle_queries() -> dict[str, str]:
     sql["normalised_refs"] = """
         SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN concat(text, chr(10), '---', chr(10), lower(text)) ELSE text END refs
         FROM documents"""
+    sql["payload_files"] = """
+        SELECT cast(strlen(t) AS bigint) length, md5(t) digest FROM
+          (SELECT string_agg(concat(url, chr(10)), '' ORDER BY page_id) t FROM pages GROUP BY page_id % 16)"""
     sql["payload_bodies"] = "SELECT page_id, cast(strlen(html) AS bigint) length, md5(html) digest FROM pages"
     sql["payload_lengths"] = "SELECT url, CASE WHEN page_id % 3 <> 0 THEN cast(strlen(html) AS bigint) END length FROM pages"
     sql["payload_present"] = f"SELECT url, page_id FROM pages WHERE url IN ({fetched})"
