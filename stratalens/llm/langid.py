@@ -74,15 +74,22 @@ def features(text: str | None) -> np.ndarray | None:
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = COST, rounds: int = ROUNDS, seed: int = 1) -> np.ndarray:
-    """Weights and bias of a linear SVM (hinge loss) by dual coordinate descent (Hsieh et al., 2008)."""
-    x = np.c_[x, np.ones(len(x), dtype=x.dtype)].astype(np.float64)
-    norms, alpha, weights = (x * x).sum(axis=1), np.zeros(len(x)), np.zeros(x.shape[1])
+    """Weights and bias of a linear SVM (hinge loss) by dual coordinate descent (Hsieh et al., 2008).
+
+    One example at a time is taken in double precision, so ``x`` is not held a second time.
+    """
+    own = np.ones(x.shape[1] + 1)  # the last is the bias
+    norms, alpha, weights = np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(own))
+    for i in range(len(x)):
+        own[:-1] = x[i]
+        norms[i] = (own * own).sum()
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         for i in rng.permutation(len(x)):
-            gradient = y[i] * (x[i] @ weights) - 1
+            own[:-1] = x[i]
+            gradient = y[i] * (own @ weights) - 1
             moved = min(max(alpha[i] - gradient / norms[i], 0.0), cost)
-            weights += (moved - alpha[i]) * y[i] * x[i]
+            weights += (moved - alpha[i]) * y[i] * own
             alpha[i] = moved
     return weights
 
@@ -146,7 +153,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     @F.arrow_udf("binary")
     def featured(texts: pa.Array) -> pa.Array:
-        found = [features(text.as_py()) for text in texts]
+        found = (features(text.as_py()) for text in texts)
         return pa.array([None if x is None else x.tobytes() for x in found], pa.binary())
 
     chosen = save_shared(

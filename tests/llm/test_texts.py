@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -80,6 +81,15 @@ def test_svm_separates():
     assert (np.sign(x @ weights[:-1] + weights[-1]) == y).all()
 
 
+def test_svm_holds_its_examples_once():
+    x = np.random.default_rng(2).random((200, 4000), dtype=np.float32)
+    tracemalloc.start()
+    langid.fit_svm(x, np.r_[np.ones(100), -np.ones(100)], rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < x.nbytes / 4
+
+
 def test_families():
     assert (langid.family_of("en-US"), langid.family_of("es"), langid.family_of("zz")) == ("germanic", "romance", "zz")
 
