@@ -54,7 +54,8 @@ class _Runs:
 
     def _hold(self, batch: pa.RecordBatch, at: int, end: int, run: np.ndarray, new: np.ndarray, waits: bool = False) -> None:
         if end > at:
-            self.held.append((batch.select(["doc_id", "_sha"]).slice(at, end - at), run[at:end]))
+            # Copies: a slice would keep the texts that came in the same batch.
+            self.held.append((batch.select(["doc_id", "_sha"]).take(pa.array(np.arange(at, end))), run[at:end].copy()))
             if waits or self.first:
                 for row in (at + np.flatnonzero(new[at:end])).tolist():
                     self.contents[int(run[row])] = batch.column("_norm")[row].as_py()

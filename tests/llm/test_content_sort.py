@@ -4,6 +4,8 @@ import hashlib
 import random
 from collections import defaultdict
 
+import pyarrow as pa
+
 from stratalens.llm import content_sort
 
 UP = str.maketrans(content_sort.UPPER, content_sort.LOWER)
@@ -67,3 +69,21 @@ def test_tails_that_collide(spark, monkeypatch):
     rows = [(i, "t" + rng.choice("abcde") * rng.randrange(3)) for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     assert shown(content_sort.exact_duplicates(docs)) == groups(rows)
+
+
+def test_a_waiting_group_keeps_no_texts():
+    """A group of long copies waits as ids and digests, however many batches it comes in."""
+    names = ["doc_id", "n", "last_id", "last", "text_sha256", "part", "run", "content"]
+    runs, before = content_sort._Runs(0, names), pa.total_allocated_bytes()
+    for k in range(20):
+        columns = [pa.array([7] * 100), pa.array(["x" * 10_000] * 100), pa.array(range(100 * k, 100 * k + 100)), pa.array(["0" * 64] * 100)]
+        batch = pa.RecordBatch.from_arrays(columns, names=["_tail", "_norm", "doc_id", "_sha"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as stream:
+            stream.write_batch(batch)
+        batch = pa.ipc.open_stream(sink.getvalue()).read_next_batch()  # one buffer for all columns, as from Spark
+        assert not list(runs.take(batch))
+    del batch, columns, sink, stream
+    assert pa.total_allocated_bytes() - before < 2_000_000
+    (found,) = runs.close(True)
+    assert found.column("n").to_pylist() == [2000] * 2000 and found.column("last_id").to_pylist() == [1999] * 2000
