@@ -32,26 +32,37 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+# What Python escapes in a printed string, besides quotes and backslashes; and stretches of a text that hold either
+# one such character or none.
+UNPRINTABLE = r"[\p{C}\p{Z}&&[^ ]]"
+STRETCHES = UNPRINTABLE + r"|[ [\P{C}&&\P{Z}]]+"
+
+
 def _escaped(char: Column) -> Column:
     digits = F.lower(F.hex(F.ascii(char)))
     return (
-        F.when(char == "\t", "\\t")
-        .when(char == "\n", "\\n")
-        .when(char == "\r", "\\r")
-        .when(F.length(digits) <= 2, F.concat(F.lit("\\x"), F.lpad(digits, 2, "0")))
+        F.when(F.length(digits) <= 2, F.concat(F.lit("\\x"), F.lpad(digits, 2, "0")))
         .when(F.length(digits) <= 4, F.concat(F.lit("\\u"), F.lpad(digits, 4, "0")))
         .otherwise(F.concat(F.lit("\\U"), F.lpad(digits, 8, "0")))
     )
 
 
-def _quoted(item: Column) -> Column:
-    body = F.replace(item, F.lit("\\"), F.lit("\\\\"))
-    unprintable = r"[\p{C}\p{Z}&&[^ ]]"
-    body = F.when(
-        body.rlike(unprintable),
-        F.array_join(F.transform(F.split(body, ""), lambda c: F.when(c.rlike(unprintable), _escaped(c)).otherwise(c)), ""),
-    ).otherwise(body)
-    single, double = F.contains(item, F.lit("'")), F.contains(item, F.lit('"'))
+def _with_marks(item: Column) -> Column:
+    """The characters that have an escape of their own, in whole passes over the text."""
+    for char, shown in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+        item = F.replace(item, F.lit(char), F.lit(shown))
+    return item
+
+
+def _with_codes(body: Column) -> Column:
+    """Other unprintable characters by their code; what stands between them stays in one piece."""
+    stretches = F.regexp_extract_all(body, F.lit(STRETCHES), F.lit(0))
+    shown = F.transform(stretches, lambda s: F.when(s.rlike(f"^{UNPRINTABLE}"), _escaped(s)).otherwise(s))
+    return F.when(body.rlike(UNPRINTABLE), F.array_join(shown, "")).otherwise(body)
+
+
+def _in_quotes(body: Column) -> Column:
+    single, double = F.contains(body, F.lit("'")), F.contains(body, F.lit('"'))
     return F.when(single & ~double, F.concat(F.lit('"'), body, F.lit('"'))).otherwise(
         F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'"))
     )
@@ -59,7 +70,9 @@ def _quoted(item: Column) -> Column:
 
 def list_notation(items: Column) -> Column:
     """An array of strings printed the way Python prints a list."""
-    return F.concat(F.lit("["), F.array_join(F.transform(items, _quoted), ", "), F.lit("]"))
+    for step in (_with_marks, _with_codes, _in_quotes):  # each is a pass of its own, so no text is made twice
+        items = F.transform(items, step)
+    return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
 
 
 def first_sentence(generated: Column) -> Column:

@@ -41,6 +41,14 @@ def test_list_notation_equals_python(spark):
     assert [r[0] for r in df.select(list_notation(F.col("x"))).collect()] == [str(x) for x in lists]
 
 
+def test_list_notation_takes_no_text_apart(spark):
+    """Stretches without an unprintable character stay in one piece; only those characters stand alone."""
+    lists = [["a\u00a0b", "\u3000\u3000", "x\n\u200by'\t", " \x85 \U000e0001é\U0001f600", "\\n\n\x7f", "\ue000"], ["plain 'text'\n" * 2000]]
+    df = spark.createDataFrame([(x,) for x in lists], "x array<string>").select(list_notation(F.col("x")).alias("shown"))
+    assert [r[0] for r in df.collect()] == [str(x) for x in lists]
+    assert "split(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_prompts(spark):
     options = ["red", "it's", 'a "b"']
     df = spark.createDataFrame(
