@@ -153,8 +153,8 @@ def meteor_scores(
             codes = lists.flatten().dictionary_encode().indices.to_pylist()
             ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy()).tolist()
             stages["synsets"] = [codes[a:b] for a, b in zip([0, *ends[:-1]], ends)]
-        scores = overlap.meteor(*(_lists(rows, name) for name in names), **stages)
-        return pa.Table.from_arrays([*[rows.column(key) for key in keys], pa.array(scores)], names=[*keys, "meteor"])
+        scores = [overlap.meteor(*(_lists(part, name) for name in names), **stages) for part in coding.steps(rows, names)]
+        return pa.Table.from_arrays([*[rows.column(key) for key in keys], pa.array(np.concatenate(scores))], names=[*keys, "meteor"])
 
     facts = _word_facts(coding.chunk_words(table), stemming, synsets)
     return coding.with_facts(table.drop("_words"), facts, align, schema)

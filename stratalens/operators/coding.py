@@ -13,6 +13,8 @@ from stratalens.session import save_shared
 
 #: Words of a chunk: what a task holds at once, and all that one dictionary serves. A longer text is a chunk of its own.
 CHUNK_WORDS = 1 << 20
+#: Words that are worked on at once where texts do not depend on each other; a longer text is taken alone.
+STEP_WORDS = 1 << 16
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -24,15 +26,26 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(filled), np.bincount(row[filled.to_numpy(zero_copy_only=False)], minlength=len(texts))
 
 
+def _cuts(size: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """First row and end of stretches of rows that are not much larger than ``most`` together."""
+    block = (np.cumsum(size) - size) // most
+    starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    return list(zip(starts, [*starts[1:], len(size)]))
+
+
 def pieces(batch: pa.RecordBatch, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts are not much longer than a chunk can hold (six bytes a word)."""
     size = sum(pc.binary_length(batch.column(name).fill_null("")).cast(pa.int64()).to_numpy() for name in names)
-    block = (np.cumsum(size) - size) // (6 * CHUNK_WORDS)
-    starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-    for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+    for start, end in _cuts(size, 6 * CHUNK_WORDS):
         yield batch.slice(start, end - start)
 
 
+def steps(rows: pa.Table, names: Sequence[str]) -> Iterator[pa.Table]:
+    """Slices of coded rows whose lists of codes have not many more than ``STEP_WORDS`` words together."""
+    for start, end in _cuts(sum(pc.list_value_length(rows.column(name)).to_numpy() for name in names), STEP_WORDS):
+        yield rows.slice(start, end - start)
+
+
 def coded(df: DataFrame, keys: Sequence[str], texts: Mapping[str, Column]) -> DataFrame:
     """``keys``, ``_chunk`` and an array of codes for each of ``texts``, stored once.
 
@@ -58,7 +71,8 @@ def coded(df: DataFrame, keys: Sequence[str], texts: Mapping[str, Column]) -> Da
                 at += len(flat)
         rows = pa.Table.from_batches([batch for batch, _ in held]).combine_chunks()
         n = rows.num_rows
-        listed = pa.array([None] * (n - 1) + [words.dictionary.to_pylist()], pa.list_(pa.string()))
+        entries = pa.ListArray.from_arrays(pa.array([0, len(words.dictionary)], pa.int32()), words.dictionary.cast(pa.string()))
+        listed = pa.concat_arrays([pa.nulls(n - 1, entries.type), entries])
         own = [rows.column(key) for key in keys] + [pa.array(np.full(n, number))] + [pa.concat_arrays(columns[name]) for name in names]
         return pa.Table.from_arrays([*own, listed], names=[f.name for f in schema.fields]).combine_chunks().to_batches()[0]
 

@@ -238,3 +238,20 @@ def test_bleu_plan_shuffles_no_ngrams(spark):
     plan = captions.bleu4(frame(spark, CASES))._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan
     assert np.isfinite(captions.bleu4(frame(spark, CASES)).first().bleu4)
+
+
+def test_meteor_of_a_chunk_is_aligned_in_steps(spark, monkeypatch):
+    """Texts of one chunk are aligned some at a time, with the scores that the whole chunk gives."""
+    rng = random.Random(5)
+    words = ["run", "runs", "running", "cat", "cats", "dog", "a", "the"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(400)] + [""]
+    flat = pa.array(texts + texts[::-1]).dictionary_encode()  # each text stands for one word here
+    codes = pa.array([[c] * (c % 40) for c in flat.indices.to_pylist()], pa.list_(pa.int32()))
+    table = pa.table({"p": codes[: len(texts)], "r": codes[len(texts) :]})
+    monkeypatch.setattr(coding, "STEP_WORDS", 500)
+    parts = list(coding.steps(table, ["p", "r"]))
+    assert len(parts) > 5 and pa.concat_tables(parts).equals(table)
+    assert max(sum(map(len, part.column("p").to_pylist() + part.column("r").to_pylist())) for part in parts) < 500 + 80
+    whole = overlap.meteor(*(captions._lists(table, name) for name in ("p", "r")))
+    again = np.concatenate([overlap.meteor(*(captions._lists(part, name) for name in ("p", "r"))) for part in parts])
+    assert (whole == again).all()
